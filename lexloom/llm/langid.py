@@ -33,6 +33,8 @@ THREE = {"rus": "ru", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre":
 MISSING = ("", "und", "xx")
 
 ORDER = 4
+#: Most nats by which one word speaks for a language; a single foreign word or label can't pay for two changes.
+MOST = 12.0
 _INNER = re.escape(INVISIBLE) + "̀-ͯ"
 _RUN = rf"[^\W\d_]+(?:[{_INNER}]+[^\W\d_]+)*[{_INNER}]*"
 _WORD = re.compile(rf"{_RUN}(?:-{_RUN})*")
@@ -116,7 +118,7 @@ class Model:
                     v += self.unseen
             if len(self.memo) >= 1 << 18:
                 self.memo.clear()
-            self.memo[token] = v = v.astype(np.float32)
+            self.memo[token] = v = np.maximum(v, v.max() - MOST).astype(np.float32)
         return v
 
     def __getstate__(self):
@@ -256,7 +258,7 @@ def label(lang: Column) -> Column:
     return F.when(~short.isin(*MISSING), F.coalesce(known[short], short))
 
 
-def whole_languages(found: DataFrame, id_col: str = "doc_id", least_words: int = 5, least_margin: float = 0.5, least_confidence: float = 0.9) -> DataFrame:
+def whole_languages(found: DataFrame, id_col: str = "doc_id", least_words: int = 7, least_margin: float = 1.0, least_confidence: float = 0.9) -> DataFrame:
     """(id, lang, words, confidence): the languages in which a document holds a whole sentence."""
     return (
         found.where((F.col("words") >= least_words) & (F.col("margin") >= least_margin) & (F.col("confidence") >= least_confidence))

@@ -1,19 +1,21 @@
-"""Queries of the core operators."""
+"""All queries of the core operators, by name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import table
+from .plans import corpus
+
+PLANS = (corpus,)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").count()
+    return corpus.w03_bigrams_kept(spark, d)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for plan in PLANS for f in plan.NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for plan in PLANS for k, v in plan.sql().items()}

@@ -1,10 +1,10 @@
 """Same or near-same records across splits.
 
-Every record is canonicalised to the set of its words in consistent form and lower case.  Sets that are equal
-meet by the hash of the set: evaluation hashes joined with training hashes.  Sets that only share most words
-meet by hashed signatures: with a similarity of s, two sets of n and m words share o >= s / (1 + s) * (n + m) words,
+Every record is canonicalised to the set of its words in consistent form and lower case, and evaluation hashes are
+joined with training hashes.  A record's first hash is that of its whole set: equal sets meet by it.  Sets that
+only share most words meet by hashed signatures: with a similarity of s, two sets of n and m words share o >= s / (1 + s) * (n + m) words,
 so in any common order of words they share two among the first n - ceil(s * n) + 2 of one and the first
-m - ceil(s * m) + 2 of the other (one, where a set has a single word, and then the sets are equal).  Longest words
+m - ceil(s * m) + 2 of the other (a set of a single word has only equals).  Longest words
 come first: they are the rare ones.  A signature is a pair of such words; sets of more than 64 words, and those
 that may be similar to one, also have each such word alone as a signature.
 
@@ -28,15 +28,15 @@ BITS = 64
 PAIRED = 64
 
 
-def word_sets(df: DataFrame, id_col: str = "sent_id", text: str = "text", lang: str = "lang", split: str = "split", held_out=("test", "valid"), train: str = "train") -> DataFrame:
-    """(id, held, words): the distinct words of each record in a split that takes part."""
+def records(df: DataFrame, id_col: str = "sent_id", text: str = "text", lang: str = "lang", split: str = "split", held_out=("test", "valid"), train: str = "train") -> DataFrame:
+    """(id, held, text, lang): the records in a split that takes part."""
     name = F.lower(F.trim(F.col(split)))
-    base = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull() & name.isin(*held_out, train)).select(F.col(id_col).alias("id"), (name != train).alias("held"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return with_words(base).select("id", "held", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
+    return df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull() & name.isin(*held_out, train)).select(F.col(id_col).alias("id"), (name != train).alias("held"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
 
-def _two(x: Column) -> list[Column]:
-    return [F.xxhash64(x), F.xxhash64(F.lit(11), x)]
+def word_sets(recs: DataFrame) -> DataFrame:
+    """(id, words): the distinct words of each record that has any."""
+    return with_words(recs).select("id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
 
 
 def _bitmap(ws: Column) -> Column:
@@ -46,51 +46,45 @@ def _bitmap(ws: Column) -> Column:
 def _signatures(sets: DataFrame, shared: int, of: int) -> DataFrame:
     """(sig, id, n, bits): one row per pair among a set's first words; shared / of is the similarity."""
     n = F.size("words")
-    order = F.transform(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), F.hash(w).alias("h"), w.alias("w")))), lambda x: x["w"])
+    order = F.transform(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), F.xxhash64(w).alias("h")))), lambda x: x["h"])
     first = n - F.ceil(n * shared / of).cast("int") + 2
-    heads = sets.select("id", n.alias("n"), _bitmap(F.col("words")).alias("bits"), F.transform(F.slice(order, 1, first), lambda w: F.xxhash64(w)).alias("head"))
-    # each word with those before it, all at once; a set of one word has no pair and meets its equals by hash of the set
-    each = heads.where((F.col("n") > 1) & (F.col("n") <= PAIRED)).select("id", "n", "bits", "head", F.posexplode("head").alias("p", "x")).where("p > 0")
-    pairs = each.select("id", "n", "bits", "x", F.explode(F.slice("head", F.lit(1), F.col("p"))).alias("y")).select(F.xxhash64("y", "x").alias("sig"), "id", "n", "bits")
-    singles = heads.where(of * F.col("n") >= shared * (PAIRED + 1)).select(F.explode(F.slice("head", F.lit(1), F.size("head") - 1)).alias("sig"), "id", "n", "bits")
-    return pairs.union(singles)
+    heads = sets.select("id", n.alias("n"), _bitmap(F.col("words")).alias("bits"), F.xxhash64(F.array_sort("words")).alias("whole"), F.slice(order, 1, first).alias("head"))
+    # at place 0 the hash of the whole set, then each word with those before it; long sets their single words
+    each = heads.select("id", "n", "bits", "head", F.posexplode(F.concat(F.array("whole"), "head")).alias("p", "x"))
+    none, p = F.array().cast("array<bigint>"), F.col("p")
+    before = F.when((p > 1) & (F.col("n") <= PAIRED), F.transform(F.slice("head", F.lit(1), F.greatest(p - 1, F.lit(0))), lambda y: F.xxhash64(y, F.col("x")))).otherwise(none)
+    alone = F.when((p == 0) | ((p < F.size("head")) & (of * F.col("n") >= shared * (PAIRED + 1))), F.array("x")).otherwise(none)
+    return each.select(F.explode(F.concat(before, alone)).alias("sig"), "id", "n", "bits")
 
 
-def overlaps(sets: DataFrame, shared: int = 7, of: int = 10, broadcast_ids: int = 2_000_000) -> DataFrame:
+def overlaps(recs: DataFrame, shared: int = 7, of: int = 10, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(held_id, train_id): all pairs of a held-out and a training record with at least shared / of of all their words in common.
 
     The meetings that are left after the bitmaps are few beside the records; they are written once (checkpoint) and
     counted.  Up to ``broadcast_ids`` of them their ids are broadcast to the scan that fetches words, beyond that
     they are shuffled.
     """
-    held, train = sets.where("held"), sets.where("NOT held")
-
-    def keyed(s: DataFrame, name: str) -> DataFrame:
-        k1, k2 = _two(F.array_sort("words"))
-        return s.select(F.col("id").alias(name), k1.alias("k1"), k2.alias("k2"))
-
-    same = keyed(held, "held_id").join(keyed(train, "train_id"), ["k1", "k2"]).select("held_id", "train_id")
-
-    h = _signatures(held, shared, of).select("sig", F.col("id").alias("held_id"), F.col("n").alias("hn"), F.col("bits").alias("hb"))
-    t = _signatures(train, shared, of).select("sig", F.col("id").alias("train_id"), F.col("n").alias("tn"), F.col("bits").alias("tb"))
+    held, train = recs.where("held"), recs.where("NOT held")
+    h = _signatures(word_sets(held), shared, of).select("sig", F.col("id").alias("held_id"), F.col("n").alias("hn"), F.col("bits").alias("hb"))
+    t = _signatures(word_sets(train), shared, of).select("sig", F.col("id").alias("train_id"), F.col("n").alias("tn"), F.col("bits").alias("tb"))
     both = F.col("hn") + F.col("tn")
     differ = F.floor(both - 2 * F.ceil(both * shared / (of + shared)))
-    near = (
+    met = (
         h.join(t, "sig")
         .where((of * F.least("hn", "tn") >= shared * F.greatest("hn", "tn")) & (F.bit_count(F.col("hb").bitwiseXOR(F.col("tb"))) <= differ))
         .select("held_id", "train_id")
         .distinct()
         .checkpoint()
     )
-    count = near.count()
-    bounded = (lambda d: F.broadcast(d)) if count <= broadcast_ids else (lambda d: d)
+    bounded = F.broadcast if met.count() <= broadcast_ids else lambda d: d
 
-    def fetched(s: DataFrame, name: str, out: str) -> DataFrame:
-        return s.join(bounded(near.select(F.col(name).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(name), F.col("words").alias(out)).dropDuplicates([name])
+    def fetched(side: DataFrame, name: str, out: str) -> DataFrame:
+        wanted = side.join(bounded(met.select(F.col(name).alias("id")).distinct()), "id", "left_semi")
+        return word_sets(wanted).select(F.col("id").alias(name), F.col("words").alias(out)).dropDuplicates([name])
 
     common = F.size(F.array_intersect("hw", "tw"))
-    checked = near.join(fetched(held, "held_id", "hw"), "held_id").join(fetched(train, "train_id", "tw"), "train_id").where(of * common >= shared * (F.size("hw") + F.size("tw") - common)).select("held_id", "train_id")
-    return same.union(checked).distinct()
+    checked = met.join(fetched(held, "held_id", "hw"), "held_id").join(fetched(train, "train_id", "tw"), "train_id")
+    return checked.where(of * common >= shared * (F.size("hw") + F.size("tw") - common)).select("held_id", "train_id")
 
 
 def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str = "sent_id", split: str = "split", source: str = "source") -> DataFrame:

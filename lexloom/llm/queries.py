@@ -51,7 +51,7 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(overlap.word_sets(table(ready(spark), d, "build_frames")))
+    return overlap.overlaps(overlap.records(table(ready(spark), d, "build_frames")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -114,12 +114,14 @@ def evidence(typed: DataFrame, rules: DataFrame) -> DataFrame:
 
 # Commas
 
+BACK = 16
+
 
 def gaps(sents: DataFrame, id_col: str = "sent_id") -> DataFrame:
     """(lang, id, pos, a, b, comma, first, and_before): pairs of words with nothing or only a comma between them.
 
-    ``first``: a begins a sentence.  ``and_before``: «и» among the three words up to a since the last comma or end.
-    All of it is read from slices of a sentence's own tokens.
+    ``first``: a begins a sentence.  ``and_before``: «и» among the three words before a since the last comma or end.
+    Both are read from the last ``BACK`` tokens before a, in the sentence's own array.
     """
     t = F.col("toks")
     word = lambda x: X.is_word(x)
@@ -127,10 +129,9 @@ def gaps(sents: DataFrame, id_col: str = "sent_id") -> DataFrame:
     nxt, then = F.get(t, F.col("pos") + 1), F.get(t, F.col("pos") + 2)
     comma = (nxt == ",") & word(then)
     b = F.when(comma, then).when(word(nxt), nxt)
-    before = F.slice(t, F.lit(1), F.col("pos"))
+    back = F.slice(t, F.greatest(F.lit(1), F.col("pos") - BACK + 1), F.least(F.lit(BACK), F.col("pos")))
     marks = lambda xs: F.filter(xs, lambda x: x.isin(".", "!", "?") | word(x))
-    last = F.element_at(F.concat(F.array(F.lit(".")), marks(before)), -1)
-    back = F.slice(t, F.greatest(F.lit(1), F.col("pos") - 6), F.least(F.lit(7), F.col("pos") + 1))  # the last words and what stands between
+    last = F.element_at(F.concat(F.array(F.lit(".")), marks(back)), -1)
     since = F.aggregate(back, F.array().cast("array<string>"), lambda acc, x: F.when(x.isin(",", ".", "!", "?"), F.array().cast("array<string>")).when(word(x), F.concat(acc, F.array(x))).otherwise(acc))
     three = F.slice(since, F.greatest(F.lit(1), F.size(since) - 2), F.lit(3))
     return at.select("lang", "id", "pos", "a", b.alias("b"), F.coalesce(comma, F.lit(False)).alias("comma"), last.isin(".", "!", "?").alias("first"), F.array_contains(three, "и").alias("and_before")).where(F.col("b").isNotNull())

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus
+from .plans import context, corpus, decode, interactive
 
-PLANS = (corpus,)
+PLANS = (corpus, context, decode, interactive)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.w03_bigrams_kept(spark, d)
+    return decode.l04_suggest(spark, d)
 
 
 def queries() -> dict:

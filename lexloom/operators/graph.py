@@ -20,14 +20,20 @@ def facts_of(df: DataFrame, s: str, r: str, o: str) -> DataFrame:
     return df.select(F.col(s).cast("string").alias("s"), F.lit(r).alias("r"), F.col(o).cast("string").alias("o")).where("s <> o").distinct()
 
 
-def bodies(facts: DataFrame, two: bool = True) -> DataFrame:
-    """(body, x, y): what one atom, or two on a shared entity, connect; ~ marks a relation read backwards."""
+def bodies(facts: DataFrame, two: bool = True, max_pairs: int = 3_000_000) -> DataFrame:
+    """(body, x, y): what one atom, or two on a shared entity, connect; ~ marks a relation read backwards.
+
+    A body of two atoms that would join more than ``max_pairs`` rows says nothing and is left out; its size is summed
+    from the degrees of the shared entities before anything is joined.
+    """
     steps = facts.select(F.col("r").alias("step"), F.col("s").alias("a"), F.col("o").alias("b")).union(facts.select(F.concat(F.lit("~"), "r"), "o", "s"))
     one = steps.select(F.col("step").alias("body"), F.col("a").alias("x"), F.col("b").alias("y"))
     if not two:
         return one.distinct()
     l, r = steps.select(F.col("step").alias("s1"), F.col("a").alias("x"), F.col("b").alias("z")), steps.select(F.col("step").alias("s2"), F.col("a").alias("z"), F.col("b").alias("y"))
-    both = l.join(r, "z").where("x <> y").select(F.concat_ws(" ", "s1", "s2").alias("body"), "x", "y")
+    reach = l.groupBy("s1", "z").agg(F.count("*").alias("n1")).join(r.groupBy("s2", "z").agg(F.count("*").alias("n2")), "z")
+    small = reach.groupBy("s1", "s2").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).where(F.col("n") <= max_pairs).select("s1", "s2")
+    both = l.join(small, "s1").join(r, ["s2", "z"]).where("x <> y").select(F.concat_ws(" ", "s1", "s2").alias("body"), "x", "y")
     return one.union(both).distinct()
 
 
@@ -36,7 +42,7 @@ def code_gain(n: int, k: int, bits: float, fact_bits: float) -> float:
     return k * fact_bits - bits - math.log2(n + 1) - (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
 
 
-def mine_rules(facts: DataFrame, two: bool = True, min_support: int = 2, min_pca: float = 0.1) -> DataFrame:
+def mine_rules(facts: DataFrame, two: bool = True, min_support: int = 5, min_pca: float = 0.3) -> DataFrame:
     """(head, body, support, size, pca_size, head_coverage, confidence, pca, prob, gain): Horn rules worth their bits.
 
     ``pca_size`` counts body pairs whose x has the head relation at all.  ``prob`` is the rule of succession.

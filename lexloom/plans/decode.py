@@ -241,7 +241,7 @@ def sql() -> dict[str, str]:
     ranked = f"{LEX}, {PRIOR}, rk AS (SELECT lang, word, count, prior_milli, row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS rk FROM pri)"
     facts = """f AS (SELECT 'n' || n_nationkey AS s, 'in_region' AS r, 'r' || n_regionkey AS o FROM nation UNION SELECT 'c' || c_custkey, 'lives_in', 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'sits_in', 'n' || s_nationkey FROM supplier
       UNION SELECT 'c' || c_custkey, 'of_region', 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0 UNION SELECT 's' || s_suppkey, 'of_region', 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'r' || r_regionkey, 'named', r_name FROM region)"""
-    gap = "g AS (SELECT user_id, ts, event_id, CAST(epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS DOUBLE) AS gap FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)"
+    gap = "g AS (SELECT user_id, ts, event_id, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS DOUBLE) AS gap FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)"
     glued = f"{S}, {TOK}, {NB}, {LEX}, {PRIOR}, {PAIRS}, gl AS (SELECT DISTINCT lang, prev || word AS typed FROM prs WHERE n >= 3), sp AS (SELECT * FROM (SELECT lang, typed, l AS left_w, r AS right_w, {r3('0.4 * (pl + pr) + 3000')} AS cost_milli, row_number() OVER (PARTITION BY lang, typed ORDER BY {r3('0.4 * (pl + pr) + 3000')}, l) AS rn FROM (SELECT c.*, a.prior_milli AS pl, b.prior_milli AS pr FROM (SELECT lang, typed, left(typed, i) AS l, substr(typed, i + 1) AS r FROM (SELECT *, CAST(unnest(range(1, length(typed))) AS INTEGER) AS i FROM gl)) c JOIN pri a ON a.lang = c.lang AND a.word = l JOIN pri b ON b.lang = c.lang AND b.word = r)) WHERE rn = 1)"
     return {
         "e01_typos": f"WITH {LEX}, {typos('lex')} SELECT * FROM ty",
@@ -262,17 +262,17 @@ def sql() -> dict[str, str]:
         "l15_context_cost": f"""WITH {pairs}, ep AS (WITH {en}), {B.frames_sql('hs', True)}, hn AS (SELECT DISTINCT lang, t[i] AS prev, t[i + 2] AS word FROM (SELECT lang, t, unnest(range(1, len(t) - 1)) AS i FROM hs) WHERE t[i + 1] = ' ' AND {B.is_word('t[i]')} AND {B.is_word('t[i + 2]')}), {PRIOR}
           SELECT h.lang, h.prev, h.word, {r3("-ln(0.5 * coalesce(exp(-(nats_milli / 1000)), 0) + 0.5 * exp(greatest(-4.0, least(4.0, coalesce(pmi8_milli / 1000 - 8, 0.0))) - prior_milli / 1000)) * 1000")} AS cost_milli FROM hn h JOIN pri ON pri.lang = h.lang AND pri.word = h.word LEFT JOIN bg ON bg.lang = h.lang AND bg.prev = h.prev AND bg.word = h.word LEFT JOIN ep ON ep.lang = h.lang AND ep.lclass = {B.left_class('h.prev')} AND ep.rclass = {B.right_class('h.word')}""",
         "g11_lemma_fit": "SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(range(1, len(x.embedding) + 1), lambda i: CAST(x.embedding[i] AS DOUBLE) * CAST(y.embedding[i] AS DOUBLE))), 4) AS fit FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",
-        "g01_rules": f"""WITH {facts}, f2 AS (SELECT * FROM f WHERE r <> 'named'), st AS (SELECT r AS step, s AS a, o AS b FROM f2 UNION SELECT '~' || r, o, s FROM f2), bd AS (SELECT step AS body, a AS x, b AS y FROM st UNION SELECT l.step || ' ' || k.step, l.a, k.b FROM st l JOIN st k ON l.b = k.a WHERE l.a <> k.b),
-          sz AS (SELECT body, count(*) AS size FROM bd GROUP BY 1), sp AS (SELECT r AS head, body, count(*) AS support FROM bd JOIN f2 ON s = x AND o = y GROUP BY ALL HAVING count(*) >= 2), kn AS (SELECT DISTINCT r AS head, s AS x FROM f2), pc AS (SELECT head, body, count(*) AS pca_size FROM bd JOIN kn USING (x) GROUP BY ALL), hd AS (SELECT r AS head, count(*) AS hs FROM f2 GROUP BY 1),
+        "g01_rules": f"""WITH {facts}, f2 AS (SELECT * FROM f WHERE r <> 'named'), st AS (SELECT r AS step, s AS a, o AS b FROM f2 UNION SELECT '~' || r, o, s FROM f2), sm AS (SELECT s1, s2 FROM (SELECT step AS s1, b AS z, count(*) AS n1 FROM st GROUP BY ALL) JOIN (SELECT step AS s2, a AS z, count(*) AS n2 FROM st GROUP BY ALL) USING (z) GROUP BY ALL HAVING sum(n1 * n2) <= 3000000), bd AS (SELECT step AS body, a AS x, b AS y FROM st UNION SELECT l.step || ' ' || k.step, l.a, k.b FROM st l JOIN sm ON s1 = l.step JOIN st k ON l.b = k.a AND k.step = s2 WHERE l.a <> k.b),
+          sz AS (SELECT body, count(*) AS size FROM bd GROUP BY 1), sp AS (SELECT r AS head, body, count(*) AS support FROM bd JOIN f2 ON s = x AND o = y GROUP BY ALL HAVING count(*) >= 5), kn AS (SELECT DISTINCT r AS head, s AS x FROM f2), pc AS (SELECT head, body, count(*) AS pca_size FROM bd JOIN kn USING (x) GROUP BY ALL), hd AS (SELECT r AS head, count(*) AS hs FROM f2 GROUP BY 1),
           nn AS (SELECT count(*) AS ne FROM (SELECT s FROM f2 UNION SELECT o FROM f2)), nr AS (SELECT count(DISTINCT r) AS nr FROM f2),
           al AS (SELECT *, support / pca_size AS p, CASE WHEN body LIKE '% %' THEN log2(nr * (2 * nr) ** 2) ELSE log2(nr * 2 * nr) END AS bits FROM sp JOIN pc USING (head, body) JOIN sz USING (body) JOIN hd USING (head), nn, nr WHERE body <> head)
-          SELECT head, body, support, size, pca_size, round(support / hs, 6) AS head_coverage, round(support / size, 6) AS confidence, round(p, 6) AS pca, round((support + 1) / (pca_size + 2), 6) AS prob FROM al WHERE p >= 0.1 AND support * 2 * log2(greatest(ne, 2)) - bits - log2(pca_size + 1) - (lgamma(pca_size + 1) - lgamma(support + 1) - lgamma(pca_size - support + 1)) / ln(2) > 0""",
+          SELECT head, body, support, size, pca_size, round(support / hs, 6) AS head_coverage, round(support / size, 6) AS confidence, round(p, 6) AS pca, round((support + 1) / (pca_size + 2), 6) AS prob FROM al WHERE p >= 0.3 AND support * 2 * log2(greatest(ne, 2)) - bits - log2(pca_size + 1) - (lgamma(pca_size + 1) - lgamma(support + 1) - lgamma(pca_size - support + 1)) / ln(2) > 0""",
         "g02_closure": f"""WITH {facts}, base AS (SELECT *, 1.0::DOUBLE AS credence FROM f), r1 AS (SELECT a.s, 'of_region' AS r, b.o, CASE a.r WHEN 'lives_in' THEN 0.9 ELSE 0.8 END::DOUBLE AS credence FROM f a JOIN f b ON a.o = b.s AND b.r = 'in_region' WHERE a.r IN ('lives_in', 'sits_in')),
           k1 AS (SELECT s, r, o, max(credence) AS credence FROM (SELECT * FROM base UNION ALL SELECT * FROM r1) GROUP BY ALL), r2 AS (SELECT a.s, 'under' AS r, b.o, 0.7 * a.credence * b.credence AS credence FROM k1 a JOIN k1 b ON a.o = b.s AND b.r = 'named' WHERE a.r = 'of_region')
           SELECT s, r, o, round(max(credence), 9) AS credence FROM (SELECT * FROM k1 UNION ALL SELECT * FROM r2) GROUP BY s, r, o""",
         "a36_calibration": "SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS conf, round(avg(y::INT), 6) AS acc FROM (SELECT value / (value + 50) AS p, event_type IN ('purchase', 'click') AS y FROM events) WHERE p >= 0 GROUP BY 1",
-        "a33_rhythm": f"""WITH {gap}, rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM g WHERE gap > 0 AND gap <= 10000000000) WHERE rn <= 40), m AS (SELECT user_id, count(*) AS n, quantile_cont(gap, 0.5) AS med FROM rc GROUP BY 1 HAVING count(*) >= 12),
-          dv AS (SELECT user_id, n, med, quantile_cont(abs(gap - med), 0.5) AS mad FROM rc JOIN m USING (user_id) GROUP BY ALL) SELECT user_id, n, round(med, 3) AS med, round(mad, 3) AS mad, round(greatest(1.8 * med, med + 4 * mad, med + 60), 3) AS held_above FROM dv""",
+        "a33_rhythm": f"""WITH {gap}, rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM g WHERE gap > 0 AND gap <= 10000000000000) WHERE rn <= 40), m AS (SELECT user_id, count(*) AS n, quantile_cont(gap, 0.5) AS med FROM rc GROUP BY 1 HAVING count(*) >= 12),
+          dv AS (SELECT user_id, n, med, quantile_cont(abs(gap - med), 0.5) AS mad FROM rc JOIN m USING (user_id) GROUP BY ALL) SELECT user_id, n, round(med, 1) AS med, round(mad, 1) AS mad, round(greatest(1.8 * med, med + 4 * mad, med + 60000), 1) AS held_above FROM dv""",
         "a34_fit_line": "SELECT user_id, count(*) AS n, round(regr_slope(value, (hour(ts) * 60 + minute(ts))::DOUBLE), 6) AS slope, round(regr_intercept(value, (hour(ts) * 60 + minute(ts))::DOUBLE), 6) AS intercept FROM events GROUP BY user_id",
         "d13_strip": f"WITH {pairs}, t AS (SELECT lang || ':' || prev AS qid, word, row_number() OVER (PARTITION BY lang, prev ORDER BY nats_milli, word) AS rk FROM bg) SELECT qid, max(word) FILTER (rk = 2) AS s1, max(word) FILTER (rk = 1) AS s2, max(word) FILTER (rk = 3) AS s3 FROM t WHERE rk <= 3 GROUP BY qid",
         "d06_prefer_split": f"WITH {glued}, one AS (SELECT gl.lang, typed, {r3('0.4 * prior_milli')} AS c1 FROM gl JOIN pri ON pri.lang = gl.lang AND pri.word = typed) SELECT lang, typed, CASE WHEN cost_milli IS NOT NULL AND (c1 IS NULL OR cost_milli + 1000 < c1) THEN left_w || ' ' || right_w ELSE typed END AS chosen FROM sp FULL JOIN one USING (lang, typed)",

@@ -75,7 +75,8 @@ def together(df: DataFrame, terms: DataFrame, id_col: str = "sent_id", text: str
     baskets = with_words(base).where(F.size("words") > 0).select("id", "lang", F.array_distinct("words").alias("words"))
 
     # Deliveries can only overstate how often a term stands here, so this keeps every term that has the support.
-    sizes = baskets.groupBy("lang", "id").agg(F.lit(1).alias("x")).groupBy("lang").agg(F.count("*").alias("n"))
+    # A text holds a word exactly if it holds a letter: the consistent form makes letters of letters only.
+    sizes = base.where(F.col("text").rlike(r"\p{L}")).select("lang", "id").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     seen = baskets.select("lang", F.explode("words").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("seen"))
     n_of = sizes.toPandas().set_index("lang")["n"]  # one row per language
     enough = seen.join(F.broadcast(df.sparkSession.createDataFrame([(k, int(v)) for k, v in n_of.items()], "lang string, n long")), "lang").where((F.col("seen") >= at_least) & (1000 * F.col("seen") >= per_mille * F.col("n")))

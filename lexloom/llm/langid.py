@@ -43,9 +43,17 @@ _ONLY_CYRILLIC, _ONLY_LATIN = re.compile("[бвгджзийклмнптфцчш
 
 
 def sample_sentences(frames: DataFrame, sample: int = 2000, id_col: str = "sent_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most ``sample`` sentences of each language, those with the least hash: few enough for the driver."""
+    """At most ``sample`` sentences of each language, those with the least hash: few enough for the driver.
+
+    Counts per language first say which hashes can be among them, so that hardly more rows than wanted are ranked.
+    """
     drawn = frames.where(F.col(lang).isin(*LANGS) & (F.length(text) > 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"))
-    ranked = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= sample)
+    n = {r.lang: r.n for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not n:
+        return []
+    below = {k: min(2**63 - 1, round((min(1.0, (1.5 * sample + 200) / v) - 0.5) * 2**64)) for k, v in n.items()}
+    least = F.create_map(*[F.lit(x) for k, v in below.items() for x in (k, v)])
+    ranked = drawn.where(F.col("h") <= least[F.col("lang")]).withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= sample)
     return [(r.lang, r.text) for r in ranked.select("lang", "text").collect()]
 
 

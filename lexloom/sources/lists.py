@@ -21,7 +21,13 @@ from ..functions import text as X
 def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     if encoding.upper() == "UTF-8":
         return spark.read.text(path)
-    return spark.read.option("encoding", encoding).option("sep", "\u0000").option("quote", "").schema("value string").csv(path)
+
+    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in files:
+            for data in pdf["content"]:
+                yield pd.DataFrame({"value": bytes(data).decode(encoding, "replace").splitlines()})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
 
 
 def frequency_list(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,3 +18,11 @@ def ready(spark: SparkSession) -> SparkSession:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
     return spark
+
+
+def spread(df: DataFrame, rows_each: int = 100_000) -> int:
+    """How many partitions a shuffle of ``df`` should have: the session's number, or more where a partition would hold more rows than ``rows_each``.
+
+    The count of a table without filters is read from its files' footers.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows_each))

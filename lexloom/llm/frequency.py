@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .consistent import WORD, consistent, with_words
 
 
@@ -56,7 +57,7 @@ def term_counts(df: DataFrame, id_col: str = "sent_id", text: str = "text", lang
         .select("lang", "record", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "term"))
         .select(F.concat("lang", F.lit("\t"), "term").alias("key"), "record", "pos")
     )
-    scanned = pairs.repartitionByRange("key", "record").sortWithinPartitions("key", "record", "pos").mapInArrow(run_lengths, "key string, occurrences long, records long")
+    scanned = pairs.repartitionByRange(spread(df), "key", "record").sortWithinPartitions("key", "record", "pos").mapInArrow(run_lengths, "key string, occurrences long, records long")
     return (
         scanned.groupBy("key")
         .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

@@ -140,10 +140,10 @@ def gaps(sents: DataFrame, id_col: str = "sent_id") -> DataFrame:
 def comma_table(g: DataFrame, least: int = 50, single: float = 0.5, pair: float = 1.0) -> DataFrame:
     """(lang, key, logit_milli): "@" the base, "<w" after a word, ">w" before one, "a b" a pair that says more than its parts."""
     base = g.groupBy("lang").agg((F.count_if("comma") / F.count("*")).alias("p")).where("p > 0 AND p < 1").withColumn("base", F.ln(F.col("p") / (1 - F.col("p"))))
-    side = lambda c, tag: g.groupBy("lang", c).agg(F.count("*").alias("n"), F.count_if("comma").alias("k")).where(F.col("n") >= least).join(base, "lang").select("lang", F.col(c).alias("w"), N.logit(F.col("k"), F.col("n"), F.col("p")).alias("v"), "base", F.lit(tag).alias("tag"))
+    side = lambda c, tag: g.groupBy("lang", c).agg(F.count("*").alias("n"), F.count_if("comma").alias("k")).where(F.col("n") >= least).join(F.broadcast(base), "lang").select("lang", F.col(c).alias("w"), N.logit(F.col("k"), F.col("n"), F.col("p")).alias("v"), "base", F.lit(tag).alias("tag"))
     before, after = side("b", ">"), side("a", "<")
     pairs = (
-        g.groupBy("lang", "a", "b").agg(F.count("*").alias("n"), F.count_if("comma").alias("k")).where(F.col("n") >= least).join(base, "lang")
+        g.groupBy("lang", "a", "b").agg(F.count("*").alias("n"), F.count_if("comma").alias("k")).where(F.col("n") >= least).join(F.broadcast(base), "lang")
         .select("lang", "a", "b", N.logit(F.col("k"), F.col("n"), F.col("p")).alias("v"), "base")
         .join(before.select("lang", F.col("w").alias("b"), F.col("v").alias("vb")), ["lang", "b"], "left")
         .join(after.select("lang", F.col("w").alias("a"), F.col("v").alias("va")), ["lang", "a"], "left")
@@ -202,7 +202,7 @@ def tag_pairs(pairs: DataFrame, tags: DataFrame) -> DataFrame:
     l, r = both.groupBy("lang", "ltag").agg(F.sum("c").alias("l")), both.groupBy("lang", "rtag").agg(F.sum("c").alias("r"))
     total = both.groupBy("lang").agg(F.sum("c").alias("total"))
     pmi = (F.ln(F.col("c") / F.col("l")) - F.ln(F.col("r") / F.col("total"))) * F.col("c") / (F.col("c") + 5.0)
-    return both.where(F.round(F.col("c"), 6) >= 1).join(l, ["lang", "ltag"]).join(r, ["lang", "rtag"]).join(total, "lang").select("lang", "ltag", "rtag", N.pmi8_milli(pmi).alias("pmi8_milli"))
+    return both.where(F.round(F.col("c"), 6) >= 1).join(l, ["lang", "ltag"]).join(r, ["lang", "rtag"]).join(F.broadcast(total), "lang").select("lang", "ltag", "rtag", N.pmi8_milli(pmi).alias("pmi8_milli"))
 
 
 def frames(governed: DataFrame, outcomes: int = 8, least: int = 100, alpha: float = 20.0, says: float = 0.3) -> DataFrame:
@@ -216,7 +216,7 @@ def frames(governed: DataFrame, outcomes: int = 8, least: int = 100, alpha: floa
     every = governed.groupBy("lang").agg(F.array(*sums).alias("all"), F.sum("weight").alias("total"))
     shares = F.transform("all", lambda x: F.greatest(x / F.col("total"), F.lit(1e-6)))
     values = F.transform(N.smoothed_ratios(F.col("row"), F.col("shares")), lambda v: F.round(v, 3))
-    return rows.join(every.select("lang", shares.alias("shares")), "lang").select("lang", "key", values.alias("values")).where(F.round(F.array_max(F.transform("values", F.abs)), 3) >= says)
+    return rows.join(F.broadcast(every.select("lang", shares.alias("shares"))), "lang").select("lang", "key", values.alias("values")).where(F.round(F.array_max(F.transform("values", F.abs)), 3) >= says)
 
 
 def agree_shares(pairs: DataFrame, alpha: float = 20.0) -> DataFrame:
@@ -224,7 +224,7 @@ def agree_shares(pairs: DataFrame, alpha: float = 20.0) -> DataFrame:
     s = pairs.groupBy("lang", "key").agg(F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n"))
     g = pairs.groupBy("lang").agg((F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(0)) / F.sum("n")).alias("p")).where("p > 0 AND p < 1")
     m = lambda k, p: F.bround(F.round(F.ln((k + alpha * p) / (F.col("n") + alpha) / p) * 1000, 6), 0).cast("int")
-    return s.join(g, "lang").select("lang", "key", m(F.col("yes"), F.col("p")).alias("agree_milli"), m(F.col("n") - F.col("yes"), 1 - F.col("p")).alias("disagree_milli"))
+    return s.join(F.broadcast(g), "lang").select("lang", "key", m(F.col("yes"), F.col("p")).alias("agree_milli"), m(F.col("n") - F.col("yes"), 1 - F.col("p")).alias("disagree_milli"))
 
 
 def kind_fit(pairs: DataFrame) -> DataFrame:

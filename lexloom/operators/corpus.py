@@ -1,7 +1,9 @@
 """Counts over sentences: tokens, neighbours, mixtures of sources, pairs and endings, casing, coverage.
 
 Neighbours are read off the token array of a sentence, so nothing is shuffled before counts are partial sums;
-dictionaries are joined to counts, never to tokens.
+dictionaries are joined to counts, never to tokens.  Only tables of a row per language (and script or source) are
+broadcast: their size is the number of languages, not of rows, and a language of a third of all rows isn't a key of
+any shuffle on its own.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def mixture(counts: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
     """
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
     w = totals.join(weights.select("source", "weight"), "source", "left").select("lang", "source", (F.coalesce("weight", F.lit(1.0)) / F.col("source_n")).alias("unit"))
-    joined = counts.join(w, ["lang", "source"])
+    joined = counts.join(F.broadcast(w), ["lang", "source"])
     return joined.groupBy("lang", *keys).agg(F.sum(F.col("unit") * F.col("n")).alias("mass"), F.sum("n").alias("raw"))
 
 
@@ -78,7 +80,7 @@ def bigrams(uni: DataFrame, pairs: DataFrame, lexicon: DataFrame, min_count: int
     unless that is a pair of its own.
     """
     by_script = uni.groupBy("lang", X.script(F.col("word")).alias("script")).agg(F.sum("mass").alias("script_mass"))
-    right = uni.join(by_script, ["lang"]).where(F.col("script") == X.script(F.col("word"))).select("lang", F.col("word").alias("right"), F.col("mass").alias("mass_b"), "script_mass")
+    right = uni.join(F.broadcast(by_script), ["lang"]).where(F.col("script") == X.script(F.col("word"))).select("lang", F.col("word").alias("right"), F.col("mass").alias("mass_b"), "script_mass")
     left = uni.select("lang", F.col("word").alias("left"), F.col("mass").alias("mass_a"))
     scored = (
         pairs.where(F.col("raw") >= min_count).select("lang", F.col("prev").alias("left"), F.col("word").alias("right"), "mass")
@@ -104,7 +106,7 @@ def ending_pmi(uni: DataFrame, pairs: DataFrame, min_count: int = 3) -> DataFram
     both = pairs.groupBy("lang", X.left_class(F.col("prev")).alias("lclass"), X.right_class(F.col("word")).alias("rclass")).agg(F.sum("n").alias("c"))
     left = both.groupBy("lang", "lclass").agg(F.sum("c").alias("l"))
     pmi = (F.ln(F.col("c") / F.col("l")) - F.ln(F.col("r") / F.col("total"))) * F.col("c") / (F.col("c") + 5.0)
-    return both.where(F.col("c") >= min_count).join(left, ["lang", "lclass"]).join(right, ["lang", "rclass"]).join(total, "lang").select("lang", "lclass", "rclass", N.pmi8_milli(pmi).alias("pmi8_milli"))
+    return both.where(F.col("c") >= min_count).join(left, ["lang", "lclass"]).join(right, ["lang", "rclass"]).join(F.broadcast(total), "lang").select("lang", "lclass", "rclass", N.pmi8_milli(pmi).alias("pmi8_milli"))
 
 
 def casing_counts(sents: DataFrame, text: str = "text") -> DataFrame:

@@ -72,7 +72,7 @@ def with_yo_variants(counts: DataFrame) -> DataFrame:
 def priors(counts: DataFrame) -> DataFrame:
     """(lang, word, prior_milli, rk): prices by language; rank 1 is the commonest."""
     total = counts.groupBy("lang").agg(F.sum("count").alias("total"))
-    return counts.join(total, "lang").select("lang", "word", N.prior_milli(F.col("count"), F.col("total")).alias("prior_milli"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")).alias("rk"))
+    return counts.join(F.broadcast(total), "lang").select("lang", "word", N.prior_milli(F.col("count"), F.col("total")).alias("prior_milli"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")).alias("rk"))
 
 
 def is_offensive(word: Column, prefixes: list[str], exact: list[str]) -> Column:
@@ -122,7 +122,7 @@ def factored_priors(words: DataFrame, exact: int = 1000, step: float = 0.05) ->
     total = words.groupBy("lang").agg(F.sum("count").alias("total"))
     offered = words.join(lemma, ["lang", "lemma"]).groupBy("lang", "slot").agg(F.sum("count").alias("used"), F.sum("lc").alias("offered"))
     steps = lambda x: F.round(F.round(x / step, 6)) * step
-    j = words.join(lemma, ["lang", "lemma"]).join(offered, ["lang", "slot"]).join(total, "lang")
+    j = words.join(lemma, ["lang", "lemma"]).join(offered, ["lang", "slot"]).join(F.broadcast(total), "lang")
     made = steps(F.ln("total") - F.ln(F.col("lc") + 0.5)) + steps(-F.ln((F.col("used") + 0.5) / (F.col("offered") + 1)))
     true = F.ln("total") - F.ln(F.col("count") + 0.5)
     out = j.select("lang", "word", "lemma", "slot", F.round(made * 1000).cast("int").alias("milli"), F.round(F.col("count") * F.abs(made - true), 3).alias("loss"))

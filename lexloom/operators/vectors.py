@@ -63,7 +63,7 @@ def kneser_ney(pairs: DataFrame, discount: float = 0.75) -> DataFrame:
     cont = pairs.groupBy("lang", "word").agg(F.count("*").alias("before"))
     kinds = pairs.groupBy("lang").agg(F.count("*").alias("kinds"))
     left = pairs.groupBy("lang", "prev").agg(F.sum("n").alias("total"), F.count("*").alias("after"))
-    j = pairs.join(left, ["lang", "prev"]).join(cont, ["lang", "word"]).join(kinds, "lang")
+    j = pairs.join(left, ["lang", "prev"]).join(cont, ["lang", "word"]).join(F.broadcast(kinds), "lang")
     p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + discount * F.col("after") / F.col("total") * F.col("before") / F.col("kinds")
     return j.select("lang", "prev", "word", F.round(F.ln(p), 6).alias("logp"))
 

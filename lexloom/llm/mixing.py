@@ -12,10 +12,13 @@ without records has rate 0; a null weight is 0 and a null max_repeat 1; target r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BROADCAST_TARGETS = 100_000
+
+
 def _name(source: Column) -> Column:
     return F.lower(F.btrim(source, F.lit(" \t\r\n ")))
 
@@ -39,10 +42,10 @@ def mix_plan(recs: DataFrame, targets: DataFrame) -> DataFrame:
         .agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeat", F.lit(1))).cast("long").alias("max_repeat"))
     )
     sizes = recs.groupBy("source").agg(F.count("*").alias("records"), F.sum("size").alias("size"))
-    sized = wanted.join(sizes, "source", "left").select("source", "weight", "max_repeat", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("size", F.lit(0)).alias("size"), F.lit(0).alias("all"))
-    total = sized.groupBy("all").agg(F.sum("size").alias("mix"))
+    sized = wanted.join(sizes, "source", "left").select("source", "weight", "max_repeat", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("size", F.lit(0)).alias("size"))
+    every = Window.partitionBy(F.lit(0))  # a row per target
     share = F.col("weight") * F.col("mix")
-    return sized.join(total, "all").select(
+    return sized.withColumn("mix", F.sum("size").over(every)).select(
         "source", "weight", "max_repeat", "records", "size", "mix",
         F.when(F.col("size") > 0, F.least(share / F.col("size"), F.col("max_repeat").cast("double"))).otherwise(0.0).alias("rate"),
         (share > F.col("max_repeat") * F.col("size")).alias("short"),
@@ -56,11 +59,17 @@ def uniform(id_col: Column, seed: int) -> Column:
 
 
 def mix_emit(recs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix: id, source, size, copy (1, 2, ...).  The plan has one row per target source, which bounds what is broadcast."""
+    """The mix: id, source, size, copy (1, 2, ...).
+
+    The plan has a row per target; up to ``BROADCAST_TARGETS`` of them it is broadcast, so that a source of a third of
+    all records is no key of a shuffle.
+    """
+    rates = plan.where("rate > 0").select("source", "rate")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_TARGETS else rates
     whole = F.floor("rate")
     copies = (whole + F.when(uniform(F.col("id"), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     return (
-        recs.join(plan.where("rate > 0").select("source", "rate"), "source")
+        recs.join(rates, "source")
         .withColumn("copies", copies)
         .where("copies > 0")
         .select("id", "source", "size", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
@@ -70,9 +79,8 @@ def mix_emit(recs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
 def mix_report(recs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """What every source was to hold and really holds, by size."""
     got = mix_emit(recs, plan, seed).groupBy("source").agg(F.count("*").alias("emitted"), F.sum("size").alias("emitted_size"))
-    each = plan.join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("emitted", "emitted_size")}).withColumn("all", F.lit(0))
-    total = each.groupBy("all").agg(F.sum("emitted_size").alias("total"))
-    return each.join(total, "all").select(
+    each = plan.join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("emitted", "emitted_size")})
+    return each.withColumn("total", F.sum("emitted_size").over(Window.partitionBy(F.lit(0)))).select(
         "source", "weight", "max_repeat", "records", "size", F.round("rate", 6).alias("rate"), "emitted", "emitted_size",
         F.round(F.when(F.col("total") > 0, F.col("emitted_size") / F.col("total")).otherwise(0.0), 6).alias("share"), "short",
     )

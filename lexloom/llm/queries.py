@@ -30,7 +30,8 @@ def p1_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.term_usefulness(frequency.term_counts(table(spark, d, "build_frames")), frequency.lexicon_terms(table(spark, d, "lexicon")))
+    counts = frequency.term_counts(table(ready(spark), d, "build_frames")).checkpoint()  # a row per distinct term, read twice
+    return frequency.term_usefulness(counts, frequency.lexicon_terms(table(spark, d, "lexicon")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

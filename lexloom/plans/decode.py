@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import context as K
 from ..operators import corpus as C
 from ..operators import decode as D
 from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import lexicon as L
 from ..operators import rerank as R
+from ..operators import vectors as V
 from ..operators.channel import ALPHABET
 from ..tables import ready, table
 from . import base as B
@@ -204,11 +206,43 @@ def d06_prefer_split(s, d):
     return R.prefer_split(single, D.split_in_two(typed, lex))
 
 
-NAMES = (e01_typos, e02_bands, l04_suggest, a35_accuracy, d01_autocorrect, l04_levenshtein_control, l07_complete, p20_is_prefix, p19_contains, l09_predict, l08_complete_after, l27_word_cost, l26_casing, j24_split, j25_hyphen,
+PREFIXES, EXACT = ("лол", "пло", "cra", "mer"), ("lol", "sds")
+
+
+def p07_offensive(s, d):
+    return B.words(s, d).where(L.is_offensive(F.col("word"), list(PREFIXES), list(EXACT))).select("lang", "word")
+
+
+def p25_languages_of_words(s, d):
+    """The languages whose lexicon has a word, in order of the languages."""
+    return B.words(s, d).groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))  # at most as many as there are languages
+
+
+def d11_zone_letters(s, d):
+    lex = _lex(s, d)
+    heads = lex.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(4))), lambda n: F.substring("word", F.lit(1), n))).alias("prefix")).distinct()
+    return R.zone_letters(lex.where("rk <= 300 AND length(word) >= 3").select("lang", F.left("word", F.lit(3)).alias("typed")), heads, "aeioстн")
+
+
+def j16_partners(s, d):
+    conf = K.confusions(K.top_words(B.words(s, d), 3000))
+    return conf.select("lang", F.col("a").alias("word"), F.col("b").alias("partner")).union(conf.select("lang", "b", "a"))
+
+
+def g14_kmeans(s, d):
+    return V.kmeans(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 10).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def g12_kneser_ney(s, d):
+    return V.kneser_ney(C.in_lexicon(C.pair_counts(B.sentences(s, d)), B.words(s, d), "prev", "word").select("lang", "prev", "word", "n"))
+
+
+NAMES = (p07_offensive, p25_languages_of_words, d11_zone_letters, j16_partners, g14_kmeans, g12_kneser_ney, e01_typos, e02_bands, l04_suggest, a35_accuracy, d01_autocorrect, l04_levenshtein_control, l07_complete, p20_is_prefix, p19_contains, l09_predict, l08_complete_after, l27_word_cost, l26_casing, j24_split, j25_hyphen,
          d04_merge, l15_context_cost, l14_rerank, g11_lemma_fit, g01_rules, a31_code_gain, a32_exceptions, g02_closure, a36_calibration, a33_rhythm, a34_fit_line, d13_strip, d06_prefer_split)
 
 
 def sql() -> dict[str, str]:
+    from . import context as X
     from . import corpus as P
 
     bi = P.sql()["w03_bigrams_kept"].removeprefix("WITH ")
@@ -243,7 +277,15 @@ def sql() -> dict[str, str]:
       UNION SELECT 'c' || c_custkey, 'of_region', 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0 UNION SELECT 's' || s_suppkey, 'of_region', 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'r' || r_regionkey, 'named', r_name FROM region)"""
     gap = "g AS (SELECT user_id, ts, event_id, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS DOUBLE) AS gap FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)"
     glued = f"{S}, {TOK}, {NB}, {LEX}, {PRIOR}, {PAIRS}, gl AS (SELECT DISTINCT lang, prev || word AS typed FROM prs WHERE n >= 3), sp AS (SELECT * FROM (SELECT lang, typed, l AS left_w, r AS right_w, {r3('0.4 * (pl + pr) + 3000')} AS cost_milli, row_number() OVER (PARTITION BY lang, typed ORDER BY {r3('0.4 * (pl + pr) + 3000')}, l) AS rn FROM (SELECT c.*, a.prior_milli AS pl, b.prior_milli AS pr FROM (SELECT lang, typed, left(typed, i) AS l, substr(typed, i + 1) AS r FROM (SELECT *, CAST(unnest(range(1, length(typed))) AS INTEGER) AS i FROM gl)) c JOIN pri a ON a.lang = c.lang AND a.word = l JOIN pri b ON b.lang = c.lang AND b.word = r)) WHERE rn = 1)"
+    stem = "regexp_replace(word, '^(за|на|по|про|вы|от|до|при|пере|раз|рас|об|у|с)?', '')"
+    conf = X.sql()["j08_confusions"]
     return {
+        "p07_offensive": f"WITH {LEX} SELECT lang, word FROM lex WHERE {' OR '.join(f'starts_with(word, {q(p)}) OR starts_with({stem}, {q(p)})' for p in PREFIXES)} OR word IN ({', '.join(map(q, EXACT))})",
+        "p25_languages_of_words": f"WITH {LEX} SELECT word, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM lex GROUP BY word",
+        "d11_zone_letters": f"WITH {ranked}, t AS (SELECT DISTINCT lang, left(word, 3) AS typed FROM rk WHERE rk <= 300 AND length(word) >= 3), h AS (SELECT DISTINCT lang, left(word, 4) AS prefix FROM lex) SELECT t.lang, typed, letter, h.prefix IS NOT NULL AS alive FROM (SELECT *, unnest(['a', 'e', 'i', 'o', 'с', 'т', 'н']) AS letter FROM t) t LEFT JOIN h ON h.lang = t.lang AND h.prefix = typed || letter",
+        "j16_partners": f"SELECT lang, a AS word, b AS partner FROM ({conf}) UNION ALL SELECT lang, b, a FROM ({conf})",
+        "g12_kneser_ney": f"""WITH {S}, {TOK}, {NB}, {LEX}, {PAIRS}, c AS (SELECT lang, word, count(*) AS before FROM prs GROUP BY ALL), k AS (SELECT lang, count(*) AS kinds FROM prs GROUP BY ALL), l AS (SELECT lang, prev, sum(n) AS total, count(*) AS after FROM prs GROUP BY ALL)
+          SELECT lang, prev, word, round(ln(greatest(n - 0.75, 0) / total + 0.75 * after / total * before / kinds), 6) AS logp FROM prs JOIN l USING (lang, prev) JOIN c USING (lang, word) JOIN k USING (lang)""",
         "e01_typos": f"WITH {LEX}, {typos('lex')} SELECT * FROM ty",
         "e02_bands": f"WITH {ranked} SELECT lang, CAST(CASE WHEN rk <= 100 THEN 0 WHEN rk <= 1000 THEN 1 WHEN rk <= 10000 THEN 2 ELSE 3 END AS INTEGER) AS band, count(*) AS n, max(prior_milli) AS dearest FROM rk GROUP BY ALL",
         "l04_levenshtein_control": f"""WITH {ranked}, few AS (SELECT lang, word FROM rk WHERE rk <= 150 AND length(word) > 3), {typos('few', ('delete', 'double', 'swap', 'slip'))}, t AS (SELECT DISTINCT lang, typed FROM ty)

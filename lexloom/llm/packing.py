@@ -41,9 +41,12 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, group_size: int = 5000, seed: int = 0) -> DataFrame:
-    """(id, part, n_parts, size, grp, bin): each part of each item with its container (grp, bin)."""
-    groups = max(1, math.ceil(df.count() / group_size))
+def pack(df: DataFrame, id_col: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, group_size: int = 5000, seed: int = 0, items: int | None = None) -> DataFrame:
+    """(id, part, n_parts, size, grp, bin): each part of each item with its container (grp, bin).
+
+    ``items`` is how many rows there are, where the caller knows it more cheaply than by counting ``df``.
+    """
+    groups = max(1, math.ceil((df.count() if items is None else items) / group_size))
     kind = df.schema[id_col].dataType.simpleString()
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:

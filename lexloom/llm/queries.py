@@ -86,7 +86,8 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(encode.token_counts(table(spark, d, "documents")))
+    docs = table(spark, d, "documents")
+    return packing.pack(encode.token_counts(docs), items=docs.count())  # from the files' footers
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

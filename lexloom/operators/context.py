@@ -117,6 +117,16 @@ def evidence(typed: DataFrame, rules: DataFrame) -> DataFrame:
 BACK = 16
 
 
+def bare_gaps(sents: DataFrame) -> DataFrame:
+    """(lang, a, b, comma): the pairs of ``gaps`` without their places and what stands before; read off shifted copies of the token array."""
+    t = F.col("toks")
+    after = lambda k: F.slice(t, F.lit(k + 1), F.size(t))
+    z = sents.withColumn("toks", X.words_and_marks(F.col("text"))).select("lang", F.explode(F.arrays_zip(t.alias("a"), after(1).alias("x"), after(2).alias("y"))).alias("z")).select("lang", "z.a", "z.x", "z.y")
+    comma = (F.col("x") == ",") & X.is_word(F.col("y"))
+    b = F.when(comma, F.col("y")).when(X.is_word(F.col("x")), F.col("x"))
+    return z.where(X.is_word(F.col("a"))).select("lang", "a", b.alias("b"), F.coalesce(comma, F.lit(False)).alias("comma")).where(F.col("b").isNotNull())
+
+
 def gaps(sents: DataFrame, id_col: str = "sent_id") -> DataFrame:
     """(lang, id, pos, a, b, comma, first, and_before): pairs of words with nothing or only a comma between them.
 
@@ -139,12 +149,17 @@ def gaps(sents: DataFrame, id_col: str = "sent_id") -> DataFrame:
 
 def comma_table(g: DataFrame, least: int = 50, single: float = 0.5, pair: float = 1.0) -> DataFrame:
     """(lang, key, logit_milli): "@" the base, "<w" after a word, ">w" before one, "a b" a pair that says more than its parts."""
-    base = g.groupBy("lang").agg((F.count_if("comma") / F.count("*")).alias("p")).where("p > 0 AND p < 1").withColumn("base", F.ln(F.col("p") / (1 - F.col("p"))))
-    side = lambda c, tag: g.groupBy("lang", c).agg(F.count("*").alias("n"), F.count_if("comma").alias("k")).where(F.col("n") >= least).join(F.broadcast(base), "lang").select("lang", F.col(c).alias("w"), N.logit(F.col("k"), F.col("n"), F.col("p")).alias("v"), "base", F.lit(tag).alias("tag"))
+    c = g.groupBy("lang", "a", "b").agg(F.count("*").alias("n"), F.count_if("comma").alias("k"))  # the sentences are read once, all else sums these
+    base = c.groupBy("lang").agg((F.sum("k") / F.sum("n")).alias("p")).where("p > 0 AND p < 1").withColumn("base", F.ln(F.col("p") / (1 - F.col("p"))))
+    odds = lambda k, n: N.logit(F.col(k), F.col(n), F.col("p")).alias("v")
+
+    def side(word: str, tag: str) -> DataFrame:
+        sums = c.groupBy("lang", word).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("n") >= least)
+        return sums.join(F.broadcast(base), "lang").select("lang", F.col(word).alias("w"), odds("k", "n"), "base", F.lit(tag).alias("tag"))
+
     before, after = side("b", ">"), side("a", "<")
     pairs = (
-        g.groupBy("lang", "a", "b").agg(F.count("*").alias("n"), F.count_if("comma").alias("k")).where(F.col("n") >= least).join(F.broadcast(base), "lang")
-        .select("lang", "a", "b", N.logit(F.col("k"), F.col("n"), F.col("p")).alias("v"), "base")
+        c.where(F.col("n") >= least).join(F.broadcast(base), "lang").select("lang", "a", "b", odds("k", "n"), "base")
         .join(before.select("lang", F.col("w").alias("b"), F.col("v").alias("vb")), ["lang", "b"], "left")
         .join(after.select("lang", F.col("w").alias("a"), F.col("v").alias("va")), ["lang", "a"], "left")
     )

@@ -8,7 +8,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import context as K
 from ..operators import corpus as C
-from ..tables import table
+from ..tables import ready, table
 from . import base as B
 from .base import LEX, NB, PAIRS, S, TOK, q
 
@@ -39,11 +39,11 @@ def a21_observations(s, d):
 
 
 def a22_decision_list(s, d):
-    return K.decision_list(_observed(s, d), min_count=3, min_favoured=2)
+    return K.decision_list(_observed(ready(s), d).checkpoint(), min_count=3, min_favoured=2)
 
 
 def l18_evidence(s, d):
-    obs = _observed(s, d)
+    obs = _observed(ready(s), d).checkpoint()
     rules = K.decision_list(obs, min_count=3, min_favoured=2)
     typed = obs.select("lang", F.concat_ws(":", "id", "pos", "a", "b").alias("id"), F.col("truth").alias("typed"), F.when(F.col("truth") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("alt"), F.get(F.filter("features", lambda f: f.startswith("w+1=")), 0).alias("f")).where("f IS NOT NULL")
     return K.evidence(typed.select("lang", "id", "typed", "alt", F.expr("substring(f, 5)").alias("next")), rules)
@@ -54,7 +54,7 @@ def w04_gaps(s, d):
 
 
 def _commas(s, d):
-    return K.comma_table(K.gaps(B.sentences(s, d)), least=10)
+    return K.comma_table(K.bare_gaps(B.sentences(s, d)), least=10)
 
 
 def a13_comma_logits(s, d):
@@ -62,11 +62,11 @@ def a13_comma_logits(s, d):
 
 
 def l20_comma_odds(s, d):
-    return K.comma_odds(K.gaps(B.sentences(s, d, heldout=True)).select("lang", "a", "b"), _commas(s, d))
+    return K.comma_odds(K.bare_gaps(B.sentences(s, d, heldout=True)), _commas(s, d))
 
 
 def d09_commas_to_put(s, d):
-    odds = K.comma_odds(K.gaps(B.sentences(s, d, heldout=True)).select("lang", "a", "b"), _commas(s, d))
+    odds = K.comma_odds(K.bare_gaps(B.sentences(s, d, heldout=True)), _commas(s, d))
     return odds.where("odds_milli >= 0").select("lang", "a", "b", "odds_milli")
 
 

@@ -9,7 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import lexicon as L
-from ..tables import table
+from ..tables import ready, table
 from . import base as B
 from .base import LEX, NB, PAIRS, PRIOR, S, TOK, q
 
@@ -40,8 +40,8 @@ def a03_pairs(s, d):
 
 
 def _mixed(s, d):
-    sents, lex = B.sentences(s, d), B.words(s, d)
-    uni = C.in_lexicon(C.unigrams(sents, "source"), lex, "word")
+    sents, lex = B.sentences(ready(s), d), B.words(s, d)
+    uni = C.in_lexicon(C.unigrams(sents, "source"), lex, "word").checkpoint()  # a row per word and source, read several times
     totals = uni.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
     w = totals.join(B.weights(s, d), "source", "left").select("lang", "source", (F.coalesce("weight", F.lit(1.0)) / F.col("source_n")).alias("unit"))
     weigh = lambda df, *k: df.join(F.broadcast(w), ["lang", "source"]).groupBy("lang", *k).agg(F.sum(F.col("unit") * F.col("n")).alias("mass"), F.sum("n").alias("raw"))

@@ -8,8 +8,22 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A table smaller than this stays as few tasks as its files make.
+WORTH_SPREADING = 1 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of a folder.  One that comes in fewer splits than there are cores, as a single small file does, is dealt out to them."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores and _bytes(spark, f"{folder}/{name}.parquet") > WORTH_SPREADING:
+        return df.repartition(cores)
+    return df
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
 def ready(spark: SparkSession) -> SparkSession:

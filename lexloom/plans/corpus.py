@@ -87,62 +87,62 @@ def u05_overlay(s, d):
     return L.overlay(B.words(s, d), slang)
 
 
-def p01_charset(s, d):
+def pred01_charset(s, d):
     return table(s, d, "lexicon").where("w IS NOT NULL").groupBy("lang", X.is_word(F.lower("w")).alias("ok")).agg(F.count("*").alias("n"))
 
 
-def p04_artifacts(s, d):
+def pred04_artifacts(s, d):
     return B.words(s, d).where(X.is_artifact(F.col("word"))).select("lang", "word")
 
 
-def p05_p06_kept_words(s, d):
+def pred05_06_kept_words(s, d):
     lex = B.words(s, d)
     verbs = lex.where(F.col("word").rlike("(ть|ти|чь|ться|тись|чься)$"))
     allowed = L.frequency_list(table(s, d, "slang"), "c0", "c1")
     return L.keep_words(lex, allowed, verbs, 20)
 
 
-def p08_p14_minority_spellings(s, d):
+def pred08_14_minority_spellings(s, d):
     return L.minority_spellings(B.words(s, d))
 
 
-def p09_yo_variants(s, d):
+def pred09_yo_variants(s, d):
     return L.with_yo_variants(B.words(s, d))
 
 
-def p10_scripts(s, d):
+def pred10_scripts(s, d):
     return B.words(s, d).groupBy("lang", X.script(F.col("word")).alias("script")).agg(F.count("*").alias("n"))
 
 
-def p11_casing_classes(s, d):
+def pred11_casing_classes(s, d):
     raw = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'-]+"), F.lit(0)))
     return B.sentences(s, d).select("lang", raw.alias("w")).where(F.col("w").rlike(r"^\p{L}+$")).groupBy("lang", X.casing_class(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def p12_contaminated(s, d):
+def pred12_contaminated(s, d):
     lex = B.words(s, d)
     return L.contaminated(lex.where("lang = 'pt'"), lex.where("lang = 'es'"), 2.0)
 
 
-def p13_ocr_errors(s, d):
+def pred13_ocr_errors(s, d):
     return L.ocr_errors(B.words(s, d), times=5)
 
 
-def p15_skewed_variants(s, d):
+def pred15_skewed_variants(s, d):
     return L.skewed_variants(B.words(s, d), "é", "e", 1.0)
 
 
-def p16_first_of_each(s, d):
+def pred16_first_of_each(s, d):
     return C.first_of_each(table(s, d, "build_frames").where("sent_id IS NOT NULL"))
 
 
-def p17_without_words(s, d):
+def pred17_without_words(s, d):
     lex = B.words(s, d)
     bare = lex.select("lang", "word").where(X.fold_accents(F.col("word")) != F.col("word")).select("lang", X.fold_accents(F.col("word")).alias("word")).distinct().join(lex, ["lang", "word"], "left_anti")
     return C.without_words(B.sentences(s, d), bare).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-def p22_stretched(s, d):
+def pred22_stretched(s, d):
     return C.unigrams(B.sentences(s, d)).where(X.is_stretched(F.col("word")))
 
 
@@ -195,8 +195,8 @@ def f15_compounds(s, d):
 
 
 NAMES = (f01_tokens_by_lang, f08_ending_classes, a01_lexicon, a02_summed_list, a03_unigrams_top, a03_pairs, a04_source_mixture, w01_neighbours, w03_bigrams_kept, a09_ending_pmi,
-         a06_form_share, u01_union_lists, u02_only_in_slang, u05_overlay, p01_charset, p04_artifacts, p05_p06_kept_words, p08_p14_minority_spellings, p09_yo_variants, p10_scripts,
-         p11_casing_classes, p12_contaminated, p13_ocr_errors, p15_skewed_variants, p16_first_of_each, p17_without_words, p22_stretched, a23_a24_casing, a26_coverage, a26_misses,
+         a06_form_share, u01_union_lists, u02_only_in_slang, u05_overlay, pred01_charset, pred04_artifacts, pred05_06_kept_words, pred08_14_minority_spellings, pred09_yo_variants, pred10_scripts,
+         pred11_casing_classes, pred12_contaminated, pred13_ocr_errors, pred15_skewed_variants, pred16_first_of_each, pred17_without_words, pred22_stretched, a23_a24_casing, a26_coverage, a26_misses,
          a25_proper_only, a27_factored_priors, f11_layout_flip, f30_priors, f31_quantised, f13_slang_forms, f15_compounds)
 
 
@@ -234,21 +234,21 @@ def sql() -> dict[str, str]:
         "u01_union_lists": f"WITH {LEX}, {slang} SELECT lang, word, max(count) AS count FROM (SELECT * FROM lex UNION ALL SELECT * FROM sl) GROUP BY ALL",
         "u02_only_in_slang": f"WITH {LEX}, {slang} SELECT * FROM sl ANTI JOIN lex USING (lang, word)",
         "u05_overlay": f"WITH {LEX}, {slang} SELECT lang, word, count, 0 AS src FROM lex UNION ALL SELECT lang, word, count, 1 FROM sl ANTI JOIN lex USING (lang, word)",
-        "p01_charset": f"SELECT lang, {B.is_word('lower(w)')} AS ok, count(*) AS n FROM lexicon WHERE w IS NOT NULL GROUP BY ALL",
-        "p04_artifacts": f"WITH {LEX} SELECT lang, word FROM lex WHERE regexp_matches(word, '^[''-]|[''-]$') OR starts_with(substr(word, 2), '-' || left(word, 1)) OR (regexp_matches(word, '^[\\p{{L}}\\p{{N}}_]{{2}}') AND starts_with(substr(word, 3), '-' || left(word, 2)))",
-        "p05_p06_kept_words": f"""WITH {LEX}, al AS (SELECT DISTINCT lang, lower(c0) AS word FROM slang WHERE c1 >= 1 AND {B.is_word('lower(c0)')}), vb AS (SELECT lang, word FROM lex WHERE regexp_matches(word, '(ть|ти|чь|ться|тись|чься)$'))
+        "pred01_charset": f"SELECT lang, {B.is_word('lower(w)')} AS ok, count(*) AS n FROM lexicon WHERE w IS NOT NULL GROUP BY ALL",
+        "pred04_artifacts": f"WITH {LEX} SELECT lang, word FROM lex WHERE regexp_matches(word, '^[''-]|[''-]$') OR starts_with(substr(word, 2), '-' || left(word, 1)) OR (regexp_matches(word, '^[\\p{{L}}\\p{{N}}_]{{2}}') AND starts_with(substr(word, 3), '-' || left(word, 2)))",
+        "pred05_06_kept_words": f"""WITH {LEX}, al AS (SELECT DISTINCT lang, lower(c0) AS word FROM slang WHERE c1 >= 1 AND {B.is_word('lower(c0)')}), vb AS (SELECT lang, word FROM lex WHERE regexp_matches(word, '(ть|ти|чь|ться|тись|чься)$'))
           SELECT lang, word, count FROM lex WHERE (lang, word) IN (SELECT (lang, word) FROM al) OR (count >= 20 AND NOT (regexp_matches(word, '^[''-]|[''-]$') OR starts_with(substr(word, 2), '-' || left(word, 1)) OR (regexp_matches(word, '^[\\p{{L}}\\p{{N}}_]{{2}}') AND starts_with(substr(word, 3), '-' || left(word, 2))))
             AND word NOT IN ({', '.join(map(q, L.GLUED))}) AND NOT regexp_matches(word, {q(L.HYPHENLESS)}) AND NOT (starts_with(word, 'не') AND (lang, substr(word, 3)) IN (SELECT (lang, word) FROM vb)))""",
-        "p08_p14_minority_spellings": f"WITH {LEX} SELECT lang, word, major FROM (SELECT lang, word, first_value(word) OVER (PARTITION BY lang, {bare} ORDER BY count DESC, word DESC) AS major FROM lex) WHERE word <> major",
-        "p09_yo_variants": f"WITH {LEX} SELECT lang, word, max(count) AS count FROM (SELECT * FROM lex UNION ALL SELECT lang, {B.fold_yo('word')}, count FROM lex WHERE word LIKE '%ё%') GROUP BY ALL",
-        "p10_scripts": f"WITH {LEX} SELECT lang, CASE WHEN regexp_matches(word, '[а-яё]') THEN 'cyr' ELSE 'lat' END AS script, count(*) AS n FROM lex GROUP BY ALL",
-        "p11_casing_classes": f"WITH {S}, w AS (SELECT lang, unnest(regexp_extract_all(text, '[\\p{{L}}''-]+')) AS w FROM s) SELECT lang, {casing('w')} AS kind, count(*) AS n FROM w WHERE regexp_matches(w, '^\\p{{L}}+$') GROUP BY ALL",
-        "p12_contaminated": f"WITH {LEX} SELECT a.word, a.count AS own_n, b.count AS foreign_n FROM lex a JOIN lex b USING (word) WHERE a.lang = 'pt' AND b.lang = 'es' AND b.count >= 2 * a.count",
-        "p13_ocr_errors": f"WITH {LEX}, k AS (SELECT lang, word, count, left(word, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT *, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM lex)), b AS (SELECT lang, key, max(count) AS best FROM k GROUP BY ALL) SELECT lang, word, count, max(best) AS best FROM k JOIN b USING (lang, key) WHERE best >= 5 * count GROUP BY ALL",
-        "p15_skewed_variants": f"WITH {LEX} SELECT a.lang, a.word, b.word AS variant, a.count, b.count AS other FROM lex a JOIN lex b ON a.lang = b.lang AND b.word = replace(a.word, 'é', 'e') WHERE a.word LIKE '%é%' AND a.count >= b.count",
-        "p16_first_of_each": "WITH k AS (SELECT DISTINCT sent_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM build_frames WHERE sent_id IS NOT NULL) SELECT sent_id, bool_or(sent_id = least_id) AS kept FROM k JOIN (SELECT key, min(sent_id) AS least_id FROM k GROUP BY key) USING (key) GROUP BY sent_id",
-        "p17_without_words": f"WITH {S}, {TOK}, {LEX}, ban AS (SELECT DISTINCT lang, {bare} AS word FROM lex WHERE {bare} <> word), b2 AS (SELECT * FROM ban ANTI JOIN lex USING (lang, word)), hit AS (SELECT DISTINCT sent_id FROM tok SEMI JOIN b2 USING (lang, word)) SELECT lang, count(*) AS n FROM s ANTI JOIN hit USING (sent_id) GROUP BY lang",
-        "p22_stretched": f"WITH {S}, {TOK} SELECT lang, word, count(*) AS n FROM tok WHERE len(list_filter(range(1, length(word) - 1), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND substr(word, i, 1) = substr(word, i + 2, 1))) > 0 GROUP BY ALL",
+        "pred08_14_minority_spellings": f"WITH {LEX} SELECT lang, word, major FROM (SELECT lang, word, first_value(word) OVER (PARTITION BY lang, {bare} ORDER BY count DESC, word DESC) AS major FROM lex) WHERE word <> major",
+        "pred09_yo_variants": f"WITH {LEX} SELECT lang, word, max(count) AS count FROM (SELECT * FROM lex UNION ALL SELECT lang, {B.fold_yo('word')}, count FROM lex WHERE word LIKE '%ё%') GROUP BY ALL",
+        "pred10_scripts": f"WITH {LEX} SELECT lang, CASE WHEN regexp_matches(word, '[а-яё]') THEN 'cyr' ELSE 'lat' END AS script, count(*) AS n FROM lex GROUP BY ALL",
+        "pred11_casing_classes": f"WITH {S}, w AS (SELECT lang, unnest(regexp_extract_all(text, '[\\p{{L}}''-]+')) AS w FROM s) SELECT lang, {casing('w')} AS kind, count(*) AS n FROM w WHERE regexp_matches(w, '^\\p{{L}}+$') GROUP BY ALL",
+        "pred12_contaminated": f"WITH {LEX} SELECT a.word, a.count AS own_n, b.count AS foreign_n FROM lex a JOIN lex b USING (word) WHERE a.lang = 'pt' AND b.lang = 'es' AND b.count >= 2 * a.count",
+        "pred13_ocr_errors": f"WITH {LEX}, k AS (SELECT lang, word, count, left(word, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT *, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM lex)), b AS (SELECT lang, key, max(count) AS best FROM k GROUP BY ALL) SELECT lang, word, count, max(best) AS best FROM k JOIN b USING (lang, key) WHERE best >= 5 * count GROUP BY ALL",
+        "pred15_skewed_variants": f"WITH {LEX} SELECT a.lang, a.word, b.word AS variant, a.count, b.count AS other FROM lex a JOIN lex b ON a.lang = b.lang AND b.word = replace(a.word, 'é', 'e') WHERE a.word LIKE '%é%' AND a.count >= b.count",
+        "pred16_first_of_each": "WITH k AS (SELECT DISTINCT sent_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM build_frames WHERE sent_id IS NOT NULL) SELECT sent_id, bool_or(sent_id = least_id) AS kept FROM k JOIN (SELECT key, min(sent_id) AS least_id FROM k GROUP BY key) USING (key) GROUP BY sent_id",
+        "pred17_without_words": f"WITH {S}, {TOK}, {LEX}, ban AS (SELECT DISTINCT lang, {bare} AS word FROM lex WHERE {bare} <> word), b2 AS (SELECT * FROM ban ANTI JOIN lex USING (lang, word)), hit AS (SELECT DISTINCT sent_id FROM tok SEMI JOIN b2 USING (lang, word)) SELECT lang, count(*) AS n FROM s ANTI JOIN hit USING (sent_id) GROUP BY lang",
+        "pred22_stretched": f"WITH {S}, {TOK} SELECT lang, word, count(*) AS n FROM tok WHERE len(list_filter(range(1, length(word) - 1), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND substr(word, i, 1) = substr(word, i + 2, 1))) > 0 GROUP BY ALL",
         "a23_a24_casing": f"WITH {S}, {raw3} SELECT *, CASE WHEN lo + cap + caps >= 5 AND caps >= 0.8 * (lo + cap + caps) THEN 2 WHEN lo + cap + caps >= 5 AND cap + caps >= 0.8 * (lo + cap + caps) THEN 1 ELSE 0 END AS flag FROM cc",
         "a26_coverage": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX} SELECT tok.lang, count(*) AS tokens, count(lex.word) AS hits, count(*) FILTER ({B.fold_accents('tok.word')} <> tok.word) AS accented, count(lex.word) FILTER ({B.fold_accents('tok.word')} <> tok.word) AS accented_hits, round(count(lex.word) / count(*), 6) AS coverage FROM tok LEFT JOIN lex ON lex.lang = tok.lang AND lex.word = tok.word GROUP BY tok.lang",
         "a26_misses": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX} SELECT * FROM (SELECT lang, word, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INTEGER) AS rk FROM (SELECT lang, word, count(*) AS n FROM tok ANTI JOIN lex USING (lang, word) GROUP BY ALL)) WHERE rk <= 20",

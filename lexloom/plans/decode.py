@@ -70,12 +70,12 @@ def l07_complete(s, d):
     return D.complete(lex.select("lang", F.left("word", F.lit(3)).alias("prefix")), lex)
 
 
-def p20_is_prefix(s, d):
+def pred20_is_prefix(s, d):
     lex = _lex(s, d)
     return D.is_prefix(E.typos(lex.where("rk <= 1000"), ("swap",)).select("lang", F.left("typed", F.lit(5)).alias("prefix")), lex)
 
 
-def p19_contains(s, d):
+def pred19_contains(s, d):
     known = B.words(s, d).select("lang", "word")
     return C.unigrams(B.sentences(s, d, heldout=True)).join(known, ["lang", "word"], "left_semi")
 
@@ -209,11 +209,11 @@ def d06_prefer_split(s, d):
 PREFIXES, EXACT = ("лол", "пло", "cra", "mer"), ("lol", "sds")
 
 
-def p07_offensive(s, d):
+def pred07_offensive(s, d):
     return B.words(s, d).where(L.is_offensive(F.col("word"), list(PREFIXES), list(EXACT))).select("lang", "word")
 
 
-def p25_languages_of_words(s, d):
+def pred25_languages_of_words(s, d):
     """The languages whose lexicon has a word, in order of the languages."""
     return B.words(s, d).groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))  # at most as many as there are languages
 
@@ -237,7 +237,7 @@ def g12_kneser_ney(s, d):
     return V.kneser_ney(C.in_lexicon(C.pair_counts(B.sentences(s, d)), B.words(s, d), "prev", "word").select("lang", "prev", "word", "n"))
 
 
-NAMES = (p07_offensive, p25_languages_of_words, d11_zone_letters, j16_partners, g14_kmeans, g12_kneser_ney, e01_typos, e02_bands, l04_suggest, a35_accuracy, d01_autocorrect, l04_levenshtein_control, l07_complete, p20_is_prefix, p19_contains, l09_predict, l08_complete_after, l27_word_cost, l26_casing, j24_split, j25_hyphen,
+NAMES = (pred07_offensive, pred25_languages_of_words, d11_zone_letters, j16_partners, g14_kmeans, g12_kneser_ney, e01_typos, e02_bands, l04_suggest, a35_accuracy, d01_autocorrect, l04_levenshtein_control, l07_complete, pred20_is_prefix, pred19_contains, l09_predict, l08_complete_after, l27_word_cost, l26_casing, j24_split, j25_hyphen,
          d04_merge, l15_context_cost, l14_rerank, g11_lemma_fit, g01_rules, a31_code_gain, a32_exceptions, g02_closure, a36_calibration, a33_rhythm, a34_fit_line, d13_strip, d06_prefer_split)
 
 
@@ -280,8 +280,8 @@ def sql() -> dict[str, str]:
     stem = "regexp_replace(word, '^(за|на|по|про|вы|от|до|при|пере|раз|рас|об|у|с)?', '')"
     conf = X.sql()["j08_confusions"]
     return {
-        "p07_offensive": f"WITH {LEX} SELECT lang, word FROM lex WHERE {' OR '.join(f'starts_with(word, {q(p)}) OR starts_with({stem}, {q(p)})' for p in PREFIXES)} OR word IN ({', '.join(map(q, EXACT))})",
-        "p25_languages_of_words": f"WITH {LEX} SELECT word, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM lex GROUP BY word",
+        "pred07_offensive": f"WITH {LEX} SELECT lang, word FROM lex WHERE {' OR '.join(f'starts_with(word, {q(p)}) OR starts_with({stem}, {q(p)})' for p in PREFIXES)} OR word IN ({', '.join(map(q, EXACT))})",
+        "pred25_languages_of_words": f"WITH {LEX} SELECT word, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM lex GROUP BY word",
         "d11_zone_letters": f"WITH {ranked}, t AS (SELECT DISTINCT lang, left(word, 3) AS typed FROM rk WHERE rk <= 300 AND length(word) >= 3), h AS (SELECT DISTINCT lang, left(word, 4) AS prefix FROM lex) SELECT t.lang, typed, letter, h.prefix IS NOT NULL AS alive FROM (SELECT *, unnest(['a', 'e', 'i', 'o', 'с', 'т', 'н']) AS letter FROM t) t LEFT JOIN h ON h.lang = t.lang AND h.prefix = typed || letter",
         "j16_partners": f"SELECT lang, a AS word, b AS partner FROM ({conf}) UNION ALL SELECT lang, b, a FROM ({conf})",
         "g12_kneser_ney": f"""WITH {S}, {TOK}, {NB}, {LEX}, {PAIRS}, c AS (SELECT lang, word, count(*) AS before FROM prs GROUP BY ALL), k AS (SELECT lang, count(*) AS kinds FROM prs GROUP BY ALL), l AS (SELECT lang, prev, sum(n) AS total, count(*) AS after FROM prs GROUP BY ALL)
@@ -292,8 +292,8 @@ def sql() -> dict[str, str]:
           SELECT lang, typed, word, CAST(dist AS INTEGER) AS dist, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY lang, typed ORDER BY dist, word) AS rk FROM (SELECT lang, typed, word, levenshtein({one('typed')}, {one('word')}) AS dist FROM t JOIN lex USING (lang)) WHERE dist <= 2) WHERE rk <= 3""",
         "l07_complete": f"""WITH {ranked}, p AS (SELECT DISTINCT lang, left(word, 3) AS prefix FROM lex), c AS (SELECT lang, prefix, word, {r3('0.4 * prior_milli + 700 * (length(word) - length(prefix))')} AS cost_milli FROM p JOIN pri USING (lang) WHERE starts_with(word, prefix))
           SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, prefix ORDER BY cost_milli, word) AS INTEGER) AS rk FROM c) WHERE rk <= 8""",
-        "p20_is_prefix": f"WITH {ranked}, few AS (SELECT lang, word FROM rk WHERE rk <= 1000), {typos('few', ('swap',))}, p AS (SELECT DISTINCT lang, left(typed, 5) AS prefix FROM ty) SELECT lang, prefix, EXISTS (SELECT 1 FROM lex WHERE lex.lang = p.lang AND starts_with(lex.word, p.prefix)) AS known FROM p",
-        "p19_contains": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX} SELECT lang, word, count(*) AS n FROM tok SEMI JOIN lex USING (lang, word) GROUP BY ALL",
+        "pred20_is_prefix": f"WITH {ranked}, few AS (SELECT lang, word FROM rk WHERE rk <= 1000), {typos('few', ('swap',))}, p AS (SELECT DISTINCT lang, left(typed, 5) AS prefix FROM ty) SELECT lang, prefix, EXISTS (SELECT 1 FROM lex WHERE lex.lang = p.lang AND starts_with(lex.word, p.prefix)) AS known FROM p",
+        "pred19_contains": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX} SELECT lang, word, count(*) AS n FROM tok SEMI JOIN lex USING (lang, word) GROUP BY ALL",
         "l09_predict": f"WITH {pairs} SELECT lang, prev, word, nats_milli, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY lang, prev ORDER BY nats_milli, word) AS rk FROM bg) WHERE rk <= 3",
         "l08_complete_after": f"WITH {pairs} SELECT lang, prev, prefix, word, nats_milli, CAST(rk AS INTEGER) AS rk FROM (SELECT *, left(word, 1) AS prefix, row_number() OVER (PARTITION BY lang, prev, left(word, 1) ORDER BY nats_milli, word) AS rk FROM bg) WHERE rk <= 3",
         "l27_word_cost": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX}, {PRIOR} SELECT DISTINCT t.lang, t.word, {r3('0.4 * prior_milli')} AS cost_milli FROM (SELECT DISTINCT lang, word FROM tok) t LEFT JOIN pri ON pri.lang = t.lang AND pri.word = t.word",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import context, corpus, decode, interactive
+from .plans import context, corpus, decode, functions, interactive
 
-PLANS = (corpus, context, decode, interactive)
+PLANS = (corpus, context, decode, interactive, functions)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -59,12 +59,14 @@ def hypotheses(typed: DataFrame, cfg: Config) -> DataFrame:
     """(qid, lang, typed, read, hyp): as typed, on the other layout, and each home-row key for its finger's keys."""
     t = typed.select("qid", "lang", "typed", F.lower(F.trim("typed")).alias("read")).where((F.length("read") > 0) & (F.length("read") <= cfg.max_input))
     home = "".join(c for c, i in CODE.items() if keyboard(cfg).on_home[i])
-    out = t.withColumn("hyp", F.lit("typed"))
+    as_read = lambda read, hyp: F.struct(read.alias("read"), F.lit(hyp).alias("hyp"))
+    flipped, read = X.flip_layout(F.col("read")), F.col("read")
+    reads = [as_read(read, "typed")]
     if cfg.layout_flip:
-        out = out.unionByName(t.withColumn("read", X.flip_layout(F.col("read"))).join(t.select("qid", F.col("read").alias("was")), "qid").where("read <> was").drop("was").withColumn("hyp", F.lit("flip")))
+        reads.append(F.when(flipped != read, as_read(flipped, "flip")))
     if cfg.home_row:
-        out = out.unionByName(t.where((F.length("read") >= 3) & F.col("read").rlike(f"^[{home}]+$")).withColumn("hyp", F.lit("home")))
-    return out
+        reads.append(F.when((F.length(read) >= 3) & read.rlike(f"^[{home}]+$"), as_read(read, "home")))
+    return t.select("qid", "lang", "typed", F.explode(F.array_compact(F.array(*reads))).alias("z")).select("qid", "lang", "typed", "z.read", "z.hyp")
 
 
 def suggest(typed: DataFrame, lexicon: DataFrame, cfg: Config = Config()) -> DataFrame:

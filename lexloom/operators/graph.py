@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import ready
+
 
 def facts_of(df: DataFrame, s: str, r: str, o: str) -> DataFrame:
     """(s, r, o) without self-loops and repetitions."""
@@ -89,6 +91,7 @@ def closure(facts: DataFrame, rules: list[tuple[str, str, float]], most: int = 2
     A conclusion's credence is the rule's times its premises'; of several the best holds.  Each round joins once, is
     cut from its lineage by a checkpoint, and the rounds end when no fact is new.
     """
+    ready(facts.sparkSession)
     known = facts.select("s", "r", "o", F.lit(1.0).alias("credence"))
     count = known.count()
     for _ in range(most):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -30,13 +31,12 @@ def t01_sessions(s, d):
 
 
 def t01_stream(s, d):
-    """The same rows through a stream that reads the table file by file into a memory table."""
+    """The same rows through a stream that reads the table file by file and writes into the folder for checkpoints."""
     ev = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    name = f"touch_{abs(hash(d)) % 10**9}"
-    kept = s.conf.get("spark.checkpoint.dir", None)
-    run = touch.stream(touches(ev)).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(dir=kept.removeprefix("file://") if kept and kept.startswith("file:") else None)).start()
+    folder = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexloom-')}/touch-{uuid.uuid4().hex}"
+    run = touch.stream(touches(ev)).writeStream.outputMode("append").format("parquet").trigger(availableNow=True).option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").start()
     run.awaitTermination()
-    return s.table(name)
+    return s.read.schema(touch.OPS).parquet(f"{folder}/rows")
 
 
 def t12_hourly(s, d):

@@ -152,7 +152,6 @@ def test_rules_and_closure(spark):
     rules = {(r.head, r.body) for r in graph.mine_rules(facts).collect()}
     assert ("of", "lives in") in rules
     assert ("of", "lives in") not in {(r.head, r.body) for r in graph.mine_rules(facts, two=False).collect()}
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     closed = graph.closure(facts, [("of", "lives in", 0.9)])
     assert rows(closed.where("s = 'c29' AND r = 'of'"), "o", "credence") == [("land", 0.9)]
 

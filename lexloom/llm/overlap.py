@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import ready
 from .consistent import with_words
 
 BITS = 64
@@ -64,6 +65,7 @@ def overlaps(recs: DataFrame, shared: int = 7, of: int = 10, broadcast_ids: int
     counted.  Up to ``broadcast_ids`` of them their ids are broadcast to the scan that fetches words, beyond that
     they are shuffled.
     """
+    ready(recs.sparkSession)
     held, train = recs.where("held"), recs.where("NOT held")
     h = _signatures(word_sets(held), shared, of).select("sig", F.col("id").alias("held_id"), F.col("n").alias("hn"), F.col("bits").alias("hb"))
     t = _signatures(word_sets(train), shared, of).select("sig", F.col("id").alias("train_id"), F.col("n").alias("tn"), F.col("bits").alias("tb"))

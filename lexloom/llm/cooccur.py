@@ -15,11 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import ready
 from .consistent import with_words
 
 #: Cells of one block of counts.
@@ -69,8 +71,10 @@ class Gram:
 def together(df: DataFrame, terms: DataFrame, id_col: str = "sent_id", text: str = "text", lang: str = "lang", at_least: int = 5, per_mille: int = 3, lift: int = 5, most_items: int = 500_000) -> DataFrame:
     """(lang, w_a, w_b, n, n_a, n_b, n_ab, lift): pairs w_a < w_b of ``terms`` (lang, term) in one record.
 
-    With n records that hold a word: n_ab >= at_least, 1000 n_ab >= per_mille n, n_ab n >= lift n_a n_b.
+    With n records that hold a word: n_ab >= at_least, 1000 n_ab >= per_mille n, n_ab n >= lift n_a n_b.  Beyond
+    ``most_items`` items the dictionary is not broadcast but joined, and the pairs of each record are shuffled as sums.
     """
+    spark = ready(df.sparkSession)
     base = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(lang, F.lit("")).alias("lang"), F.col(text).alias("text"))
     baskets = with_words(base).where(F.size("words") > 0).select("id", "lang", F.array_distinct("words").alias("words"))
 
@@ -78,14 +82,39 @@ def together(df: DataFrame, terms: DataFrame, id_col: str = "sent_id", text: str
     # A text holds a word exactly if it holds a letter: the consistent form makes letters of letters only.
     sizes = base.where(F.col("text").rlike(r"\p{L}")).select("lang", "id").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     seen = baskets.select("lang", F.explode("words").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("seen"))
-    n_of = sizes.toPandas().set_index("lang")["n"]  # one row per language
-    enough = seen.join(F.broadcast(df.sparkSession.createDataFrame([(k, int(v)) for k, v in n_of.items()], "lang string, n long")), "lang").where((F.col("seen") >= at_least) & (1000 * F.col("seen") >= per_mille * F.col("n")))
-    frequent = enough.join(terms.select("lang", "term").distinct(), ["lang", "term"], "left_semi").select("lang", "term").orderBy("lang", "term").limit(most_items + 1).toPandas()
-    if len(frequent) > most_items:
-        raise ValueError(f"more than {most_items} terms have the support asked for; ask for more")
-    items = {k: pa.array(v["term"].tolist(), pa.string()) for k, v in frequent.groupby("lang", sort=True)}
+    sizes = spark.createDataFrame([(r.lang, r.n) for r in sizes.collect()], "lang string, n long")  # a row per language
+    enough = seen.join(F.broadcast(sizes), "lang").where((F.col("seen") >= at_least) & (1000 * F.col("seen") >= per_mille * F.col("n")))
+    frequent = enough.join(terms.select("lang", "term").distinct(), ["lang", "term"], "left_semi").select("lang", "term")
+    bounded = frequent.limit(most_items + 1).toPandas()
+    counts = (_by_blocks(baskets, bounded) if len(bounded) <= most_items else _by_joins(baskets, frequent)).checkpoint()  # a row per pair of items, read three times
+
+    single = counts.where("a = b").select("lang", F.col("a").alias("w"), F.col("n").alias("own"))
+    pair = (
+        counts.where("a <> b").where(F.col("n") >= at_least).select("lang", F.least("a", "b").alias("w_a"), F.greatest("a", "b").alias("w_b"), F.col("n").alias("n_ab"))
+        .join(F.broadcast(sizes), "lang")
+        .join(single.select("lang", F.col("w").alias("w_a"), F.col("own").alias("n_a")), ["lang", "w_a"])
+        .join(single.select("lang", F.col("w").alias("w_b"), F.col("own").alias("n_b")), ["lang", "w_b"])
+    )
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    return pair.where((1000 * F.col("n_ab") >= per_mille * F.col("n")) & (wide("n_ab") * wide("n") >= lift * wide("n_a") * wide("n_b"))).select(
+        "lang", "w_a", "w_b", "n", "n_a", "n_b", "n_ab", F.round(F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")), 6).alias("lift")
+    )
+
+
+def _by_joins(baskets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(lang, a, b, n) where the items are too many to broadcast: they are joined, and a record's pairs counted."""
+    kept = baskets.select("lang", "id", F.explode("words").alias("term")).join(frequent, ["lang", "term"], "left_semi")
+    rows = kept.groupBy("lang", "id").agg(F.array_sort(F.collect_set("term")).alias("ws"))  # one record
+    each = rows.select("lang", "ws", F.posexplode("ws").alias("i", "a"))
+    return each.select("lang", "a", F.explode(F.slice("ws", F.col("i") + 1, F.size("ws"))).alias("b")).groupBy("lang", "a", "b").agg(F.count("*").alias("n"))
+
+
+def _by_blocks(baskets: DataFrame, frequent: pd.DataFrame) -> DataFrame:
+    """(lang, a, b, n) over a broadcast dictionary of items, a <= b by place in it."""
+    spark = baskets.sparkSession
+    items = {k: pa.array(sorted(v["term"]), pa.string()) for k, v in frequent.groupby("lang", sort=True)}
     langs = sorted(items)
-    known = df.sparkSession.sparkContext.broadcast(items)
+    known = spark.sparkContext.broadcast(items)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +150,9 @@ def together(df: DataFrame, terms: DataFrame, id_col: str = "sent_id", text: str
     once = sparse.groupBy("l", "id").agg(F.first("items").alias("items")).select("l", F.array_sort("items").alias("items"))
     counts = once.mapInArrow(gram, "l int, a int, b int, n long").groupBy("l", "a", "b").agg(F.sum("n").alias("n"))
 
-    names = df.sparkSession.createDataFrame([(i, name, j, t.as_py(), int(n_of[name])) for i, name in enumerate(langs) for j, t in enumerate(items[name])], "l int, lang string, a int, w string, n_all long")
-    single = counts.where("a = b").select("l", "a", F.col("n").alias("own")).join(names, ["l", "a"])
-    pair = (
-        counts.where("a <> b").where(F.col("n") >= at_least).withColumnRenamed("n", "n_ab")
-        .join(single.select("l", "a", "lang", F.col("w").alias("x"), F.col("own").alias("n_x"), F.col("n_all").alias("n")), ["l", "a"])
-        .join(single.select("l", F.col("a").alias("b"), F.col("w").alias("y"), F.col("own").alias("n_y")), ["l", "b"])
-    )
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    return pair.where((1000 * F.col("n_ab") >= per_mille * F.col("n")) & (wide("n_ab") * wide("n") >= lift * wide("n_x") * wide("n_y"))).select(
-        "lang", F.least("x", "y").alias("w_a"), F.greatest("x", "y").alias("w_b"), "n",
-        F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
-        F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"), "n_ab",
-        F.round(F.col("n_ab").cast("double") * F.col("n") / (F.col("n_x").cast("double") * F.col("n_y")), 6).alias("lift"),
-    )
+    names = spark.createDataFrame([(i, name, j, t.as_py()) for i, name in enumerate(langs) for j, t in enumerate(items[name])], "l int, lang string, a int, w string")
+    return (
+        counts.join(names.withColumnRenamed("w", "x"), ["l", "a"])
+        .join(names.select("l", F.col("a").alias("b"), F.col("w").alias("y")), ["l", "b"])
+        .select("lang", F.col("x").alias("a"), F.col("y").alias("b"), "n")
+    )

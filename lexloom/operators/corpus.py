@@ -60,15 +60,15 @@ def in_lexicon(df: DataFrame, lexicon: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def mixture(counts: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
-    """Counts by source (lang, source, keys, n) as shares of their source's words, weighted and summed: (lang, keys, mass, raw).
+def source_units(uni: DataFrame, weights: DataFrame) -> DataFrame:
+    """(lang, source, unit): what one word of a source weighs, its weight over its words; a source without a weight counts 1."""
+    totals = uni.groupBy("lang", "source").agg(F.sum("n").alias("words"))
+    return totals.join(weights.select("source", "weight"), "source", "left").select("lang", "source", (F.coalesce("weight", F.lit(1.0)) / F.col("words")).alias("unit"))
 
-    A source without a weight counts 1.  ``mass`` is rounded so that no order of summing shows.
-    """
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
-    w = totals.join(weights.select("source", "weight"), "source", "left").select("lang", "source", (F.coalesce("weight", F.lit(1.0)) / F.col("source_n")).alias("unit"))
-    joined = counts.join(F.broadcast(w), ["lang", "source"])
-    return joined.groupBy("lang", *keys).agg(F.sum(F.col("unit") * F.col("n")).alias("mass"), F.sum("n").alias("raw"))
+
+def mixture(counts: DataFrame, units: DataFrame, *keys: str) -> DataFrame:
+    """Counts by source (lang, source, keys, n) as weighted shares of their source's words, summed: (lang, keys, mass, raw)."""
+    return counts.join(F.broadcast(units), ["lang", "source"]).groupBy("lang", *keys).agg(F.sum(F.col("unit") * F.col("n")).alias("mass"), F.sum("n").alias("raw"))
 
 
 def bigrams(uni: DataFrame, pairs: DataFrame, lexicon: DataFrame, min_count: int = 3, min_gain: float = 1.0, per_left: int = 64, per_right: int = 8) -> DataFrame:

@@ -42,10 +42,8 @@ def a03_pairs(s, d):
 def _mixed(s, d):
     sents, lex = B.sentences(ready(s), d), B.words(s, d)
     uni = C.in_lexicon(C.unigrams(sents, "source"), lex, "word").checkpoint()  # a row per word and source, read several times
-    totals = uni.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
-    w = totals.join(B.weights(s, d), "source", "left").select("lang", "source", (F.coalesce("weight", F.lit(1.0)) / F.col("source_n")).alias("unit"))
-    weigh = lambda df, *k: df.join(F.broadcast(w), ["lang", "source"]).groupBy("lang", *k).agg(F.sum(F.col("unit") * F.col("n")).alias("mass"), F.sum("n").alias("raw"))
-    return weigh(uni, "word"), weigh(C.in_lexicon(C.pair_counts(sents, "source"), lex, "prev", "word"), "prev", "word"), lex
+    units = C.source_units(uni, B.weights(s, d))
+    return C.mixture(uni, units, "word"), C.mixture(C.in_lexicon(C.pair_counts(sents, "source"), lex, "prev", "word"), units, "prev", "word"), lex
 
 
 def a04_source_mixture(s, d):

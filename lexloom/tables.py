@@ -1,9 +1,11 @@
-"""Reading the tables of a folder, and the folder for checkpoints."""
+"""Reading the tables of a folder, the folder for checkpoints, and the package on the workers."""
 
 from __future__ import annotations
 
 import math
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,7 @@ WORTH_SPREADING = 1 << 20
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder.  One that comes in fewer splits than there are cores, as a single small file does, is dealt out to them."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores and _bytes(spark, f"{folder}/{name}.parquet") > WORTH_SPREADING:
@@ -26,8 +29,25 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """The package's code for the workers of a session, once: they need not have it installed."""
+    sc, here = spark.sparkContext, Path(__file__).parent
+    if sc.applicationId in _SHIPPED or not here.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    out = Path(tempfile.mkdtemp(prefix="lexloom-code-"), "lexloom.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, Path("lexloom") / f.relative_to(here))
+    sc.addPyFile(str(out))
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """``spark`` with a folder for checkpoints: the cluster's, or where none is named (tests) one of our own."""
+    ship(spark)
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))

@@ -25,6 +25,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import ready
+
 # Letters of another alphabet with the same shape.
 CYRILLIC_OF_LATIN = dict(zip("aceopxyABCEHKMOPTXY", "асеорхуАВСЕНКМОРТХУ"))
 LATIN_OF_CYRILLIC = dict(zip("асеорхуѕіјһԁԛԝАВСЕНКМОРТХУЅІЈԚԜ", "aceopxysijhdqwABCEHKMOPTXYSIJQW"))
@@ -140,9 +142,10 @@ def look_alikes(df, id_col: str, text: str, lang: str, group: str = "tab"):
     """Pairs of rows of one ``group`` and ``lang`` whose texts look the same but are different strings.
 
     Rows are keyed by 128 bits of hash of their consistent form.  Keys that hold one string only, exact copies
-    however many, leave in an aggregation that combines before it shuffles; the join sees the rest.
+    however many, leave in an aggregation that combines before it shuffles; the joins see the rest.
     Left out: null ids and texts, texts without a letter, pairs of one id.  A null lang is a language of its own.
     """
+    ready(df.sparkSession)
     keyed = (
         df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
         .select(F.col(group).alias("tab"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(id_col).alias("id"), F.col(text).alias("raw"), consistent(F.col(text), F.col(lang)).alias("form"))
@@ -150,7 +153,11 @@ def look_alikes(df, id_col: str, text: str, lang: str, group: str = "tab"):
         .select("tab", "id", F.xxhash64("raw").alias("raw"), F.xxhash64("tab", "lang", "form").alias("k1"), F.xxhash64(F.lit(7), "form", "lang").alias("k2"))
     )
     several = keyed.groupBy("tab", "k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("tab", "k1", "k2")
-    rows = keyed.join(several, ["tab", "k1", "k2"], "left_semi").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tab", "k1", "k2")]
-    return a.join(b, [*on, F.col("a.id") < F.col("b.id"), F.col("a.raw") != F.col("b.raw")]).select("a.tab", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    key = ["tab", "k1", "k2"]
+    rows = keyed.join(several, key, "left_semi").distinct().checkpoint()  # narrow, and read four times
+    # Different strings of a key meet first, then the rows of each: the work is the number of pairs, however many copies a string has.
+    strings = rows.select(*key, "raw").distinct()
+    met = strings.withColumnRenamed("raw", "raw_a").join(strings.withColumnRenamed("raw", "raw_b"), key).where("raw_a < raw_b")
+    side = lambda x: rows.select(*key, F.col("raw").alias(f"raw_{x}"), F.col("id").alias(f"id_{x}"))
+    both = met.join(side("a"), [*key, "raw_a"]).join(side("b"), [*key, "raw_b"]).where("id_a <> id_b")
+    return both.select("tab", F.least("id_a", "id_b").alias("a_id"), F.greatest("id_a", "id_b").alias("b_id"))

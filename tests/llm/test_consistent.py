@@ -63,6 +63,12 @@ def test_copies_stay_out_of_the_join(spark):
     assert look(spark, [("t", i, "en", "same text") for i in range(2000)] + [("t", 5000, "en", "same text")]) == [("t", i, 5000) for i in range(2000)]
 
 
+def test_a_hot_group_costs_its_pairs(spark):
+    rows = [("t", i, "en", "same text") for i in range(30_000)] + [("t", 50_000 + i, "en", "same\u200b text") for i in range(2)]
+    df = spark.createDataFrame(rows, "tab string, id long, lang string, text string")
+    assert C.look_alikes(df, "id", "text", "lang").count() == 60_000
+
+
 def test_empty_table_and_clashing_names(spark):
     assert look(spark, []) == []
     df = spark.createDataFrame([("t", 1, "en", "abc", 1, 2, "z"), ("t", 2, "en", "аbc", 1, 2, "z")], "tab string, id long, lang string, text string, k1 int, form int, words string")

@@ -16,13 +16,10 @@ def test_no_products(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_scans_are_pruned_and_filters_pushed(spark):
-    text = plan(Q.p3_found(spark, DATA))
-    assert "contrib_id" not in text and "loaded_at" not in text and "IsNotNull(text)" in text
-
-
-def test_term_rows_are_range_partitioned(spark):
+def test_scans_are_pruned_filters_pushed_and_terms_range_partitioned(spark):
     from lexloom.llm import frequency
     from lexloom.tables import table
 
-    assert "rangepartitioning(key" in plan(frequency.term_counts(table(spark, DATA, "build_frames")))
+    text = plan(frequency.term_counts(table(spark, DATA, "build_frames")))
+    assert "contrib_id" not in text and "loaded_at" not in text and "IsNotNull(text)" in text
+    assert "rangepartitioning(key" in text

@@ -1,14 +1,15 @@
 """Lexical queries over a table of typed strings: corrections, completions, predictions, splits.
 
-Corrections are a fuzzy join.  Typed strings and words meet by the keys that up to two letters cut out of their
-accent-folded forms leave, so no typed string is compared with words it doesn't meet; each meeting is priced by the
-channel, a batch of pairs at a time.  ``suggest_exhaustive`` sends a stated, bounded set of strings to blocks of the
-whole lexicon instead; it is for the few that find too little.
+Corrections compare blocks of typed strings with all words of their language.  A bound from below on the price of a pair,
+read from the letters the two don't share (a matrix product per block), says which pairs the channel must price at all;
+a string is priced step by step up to the budget it needs, so nothing within the budget is lost.
+``suggest_exhaustive`` prices every pair; it is for tests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +20,10 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import text as X
-from .channel import CODE, edit_costs, keyboard
+from .channel import ALPHABET, CODE, CYRILLIC_FINGERS, LATIN_FINGERS, _align, codes, edit_costs, keyboard
+
+#: Readings compared with the words at once, strings of a block, and pairs priced at once.
+AT_ONCE, BLOCK, PRICED = 64, 300, 100_000
 
 
 def _holes(word: str, most: int) -> list[str]:
@@ -34,25 +38,146 @@ def _holes(word: str, most: int) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def cut_keys(word: pd.Series) -> pd.Series:
-    """What is left of a word with up to two letters cut out; words over 20 letters lose one at most."""
-    return pd.Series([_holes(w, 2 if len(w) <= 20 else 1) if w else [] for w in word])
-
+    """What is left of a word with up to two letters cut out."""
+    return pd.Series([_holes(w, 2) if w else [] for w in word])
 
-def _priced(pairs: DataFrame, cfg: Config) -> DataFrame:
-    """(qid, typed, lang, word, prior_milli, hyp) -> with edit."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            edit = np.empty(len(pdf))
-            for home in (False, True):
-                own = np.flatnonzero((pdf["hyp"] == "home").to_numpy() == home)
-                if len(own):
-                    edit[own] = edit_costs(pdf["read"].iloc[own].tolist(), pdf["word"].iloc[own].tolist(), cfg, home)
-            yield pdf.assign(edit=edit)
+@lru_cache(maxsize=8)
+def _bags(cfg: Config, home: bool) -> tuple[np.ndarray, float, float]:
+    """The class of each letter (-1: may come and go freely), the least price of a class that differs, and of a doubled letter left out.
 
-    fields = [f.jsonValue() for f in pairs.schema.fields]
-    schema = T.StructType([T.StructField.fromJson(f) for f in fields] + [T.StructField("edit", T.DoubleType())])
-    return pairs.mapInPandas(run, schema)
+    Letters that the channel confuses for little (accents, ё, on the home row those of a finger) are one class; ь, ъ,
+    apostrophes and hyphens are in none.  ``bound`` sees to words with a letter that is written as two, and to ь and ъ on the home row.
+    """
+    kb, plain = keyboard(cfg), {**dict(zip(X.ACCENTED, X.UNACCENTED)), "ё": "е"}
+    name = [None if c in "ьъ'-" else plain.get(c, c) for c in ALPHABET]
+    if home:
+        rows = [(g, r, f) for g, (rows, fingers) in enumerate(((X.LATIN_ROWS, LATIN_FINGERS), (X.CYRILLIC_ROWS, CYRILLIC_FINGERS))) for r, f in zip(rows, fingers)]
+        finger = {c: (g, f) for g, r, fs in rows for c, f in zip(r, fs)}
+        name = [n and finger.get(n, n) for n in name]
+    kinds = {n: k for k, n in enumerate(dict.fromkeys(n for n in name if n is not None))}
+    cls = np.array([-1 if n is None else kinds[n] for n in name])
+    table, held = kb.home if home else kb.sub, cls >= 0
+    differ = (cls[:, None] != cls[None]) & (kb.two[:, 0] < 0)[None] & (held | (not home))[None]
+    least = min(table[differ].min(), kb.delete[held].min(), kb.insert[held].min(), cfg.ins_repeat, cfg.ins_neighbor)
+    return cls, float(least), float(min(least, cfg.del_double))
+
+
+def _counts(x: np.ndarray, lengths: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """How often each class stands in each row of codes."""
+    c = np.where(np.arange(x.shape[1])[None] < lengths[:, None], cls[x], -1)
+    return np.stack([(c == k).sum(1) for k in range(cls.max() + 1)], 1)
+
+
+class _Lexicon:
+    """The words of a language as arrays, and bounds on the price of typed strings against them."""
+
+    def __init__(self, words: list[str], cfg: Config):
+        self.cfg = cfg
+        self.lengths = np.array([len(w) for w in words])
+        self.codes = codes(words, int(self.lengths.max()))
+        inside = np.arange(1, self.codes.shape[1])[None] < self.lengths[:, None]
+        self.doubled = ((self.codes[:, 1:] == self.codes[:, :-1]) & inside).sum(1)
+        self.free = (self.lengths - _counts(self.codes, self.lengths, _bags(cfg, False)[0]).sum(1)).astype(np.float32)
+        self.any = ((keyboard(cfg).two[self.codes, 0] >= 0) & (np.arange(self.codes.shape[1])[None] < self.lengths[:, None])).any(1)
+        self.bags = {}
+        for home in (False, True):
+            n = _counts(self.codes, self.lengths, _bags(cfg, home)[0])
+            self.bags[home] = n.sum(1), int(n.max(initial=1)), self._unary(n, int(n.max(initial=1)))
+
+    @staticmethod
+    def _unary(n: np.ndarray, most: int) -> np.ndarray:
+        return np.concatenate([n > k for k in range(most)], 1).astype(np.float32)
+
+    def bound(self, x: np.ndarray, lengths: np.ndarray, home: bool) -> np.ndarray:
+        """No pair of a typed string and a word costs less.
+
+        A letter more on either side takes a change of its own, and one change settles one letter on each side at most.
+        """
+        cls, least, double = _bags(self.cfg, home)
+        total, most, held = self.bags[home]
+        n = _counts(x, lengths, cls)
+        shared = self._unary(n, most) @ held.T
+        more, less = n.sum(1)[:, None] - shared, total[None] - shared
+        if home:
+            more = np.maximum(more - self.free[None], 0)
+        low = least * np.maximum(more, less) - (least - double) * np.minimum(self.doubled[None], np.maximum(less - more, 0))
+        low[:, self.any] = 0
+        return low - 1e-3
+
+    def price(self, x: np.ndarray, lengths: np.ndarray, r: np.ndarray, w: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """The price of each pair of a reading and a word."""
+        out = np.empty(len(r))
+        key = (lengths[r] * 100_000 + self.lengths[w]) * 2 + home[r]
+        order = np.argsort(key, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []:
+            m, n = lengths[r[own[0]]], self.lengths[w[own[0]]]
+            for a in range(0, len(own), PRICED):
+                part = own[a : a + PRICED]
+                out[part] = _align(x[r[part], :m], self.codes[w[part], :n], self.cfg, bool(home[r[own[0]]]))
+        return out
+
+
+def _steps(cfg: Config) -> list[float]:
+    steps = [cfg.max_cost]
+    while steps[-1] + cfg.widen_step <= cfg.ceiling:
+        steps.append(steps[-1] + cfg.widen_step)
+    return steps
+
+
+def _within_budget(reads: pd.DataFrame, lex: _Lexicon, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(reading, word, edit): all that ``_ranked`` needs of some strings' readings, each string up to the budget it comes to."""
+    q = pd.factorize(reads["qid"])[0]
+    hyp, lengths = reads["hyp"].to_numpy(), reads["read"].str.len().to_numpy()
+    x, home = codes(reads["read"].tolist(), int(lengths.max())), hyp == "home"
+    low = np.empty((len(reads), len(lex.lengths)), np.float32)
+    for h in (False, True):
+        if (home == h).any():
+            low[home == h] = lex.bound(x[home == h], lengths[home == h], h)
+    low *= cfg.w_ch
+    cap = np.where(hyp == "flip", cfg.layout_max_cost, cfg.rescue)
+    done = np.full(len(reads), -np.inf)
+    R, W, E = np.empty(0, int), np.empty(0, int), np.empty(0)
+
+    def extend(rows: np.ndarray, to: np.ndarray) -> None:
+        nonlocal R, W, E
+        to = np.minimum(to, cap[rows])
+        i, w = np.nonzero((low[rows] <= to[:, None]) & (low[rows] > done[rows][:, None]))
+        e = lex.price(x, lengths, rows[i], w, home)
+        keep = e * cfg.w_ch <= cap[rows[i]]
+        R, W, E = np.r_[R, rows[i][keep]], np.r_[W, w[keep]], np.r_[E, e[keep]]
+        done[rows] = np.maximum(done[rows], to)
+
+    # The home row counts only where nothing that was typed convinces, so that is settled first.
+    steps, typed, use = _steps(cfg), hyp == "typed", np.ones(len(reads), bool)
+    limit = np.where(typed & np.isin(q, q[home]), cfg.home_row_trigger * lengths, -1.0)
+    for b in (*steps, cfg.rescue):
+        rows = np.flatnonzero((limit >= 0) & (done < limit * cfg.w_ch) & (done < cap))
+        if len(rows):
+            extend(rows, np.minimum(b, limit[rows] * cfg.w_ch))
+            sure = np.unique(R[(E / lengths[R] <= cfg.home_row_trigger) & (limit[R] >= 0)])
+            use[home & np.isin(q, q[sure])] = False
+            limit[sure] = -1.0
+
+    budget = np.full(q.max() + 1, np.nan)
+    for b in (*steps, cfg.rescue):
+        rows = np.flatnonzero(np.isnan(budget[q]) & use)
+        if not len(rows):
+            break
+        extend(rows, np.full(len(rows), b))
+        fit = use[R] & (E * cfg.w_ch <= b)
+        found = np.bincount(np.unique(q[R[fit]] * len(lex.lengths) + W[fit]) // len(lex.lengths), minlength=len(budget))
+        enough = found >= (cfg.min_results if b < steps[-1] else 1) if b != cfg.rescue else np.ones(len(budget), bool)
+        budget[np.isnan(budget) & enough] = b
+    # What another reading finds may cost less as typed, with no penalty.
+    fit = use[R] & (E * cfg.w_ch <= budget[q[R]])
+    as_typed = np.full(len(budget), -1)
+    as_typed[q[typed]] = np.flatnonzero(typed)
+    h = fit & ~typed[R]
+    again = np.unique(np.stack([as_typed[q[R[h]]], W[h]], 1)[as_typed[q[R[h]]] >= 0], axis=0)
+    e = lex.price(x, lengths, again[:, 0], again[:, 1], home) if len(again) else np.empty(0)
+    keep = (e * cfg.w_ch <= cfg.rescue) & (e * cfg.w_ch > budget[q[again[:, 0]]])
+    return np.r_[R[fit], again[keep, 0]], np.r_[W[fit], again[keep, 1]], np.r_[E[fit], e[keep]]
 
 
 def hypotheses(typed: DataFrame, cfg: Config) -> DataFrame:
@@ -74,26 +199,34 @@ def suggest(typed: DataFrame, lexicon: DataFrame, cfg: Config = Config()) -> Dat
 
     ``lexicon`` (lang, word, prior_milli).  The budget of a string is the smallest step at which ``min_results`` words
     fit; a word found by several readings keeps its cheapest.  A flipped layout must fit within its own cap, the
-    home row counts only where the reading as typed finds nothing convincing.
+    home row counts only where the reading as typed finds nothing convincing.  A qid has one language.
     """
-    reads = hypotheses(typed, cfg)
-    spread = lambda df, col: df.withColumn("key", F.explode(cut_keys(X.fold_accents(X.fold_yo(F.col(col))))))
-    words = spread(lexicon.select("lang", "word", "prior_milli"), "word")
-    home = lexicon.select("lang", "word", "prior_milli", X.home_row(F.col("word")).alias("key"))
-    plain = spread(reads.where("hyp <> 'home'"), "read").join(words, ["lang", "key"]).drop("key")
-    byhome = reads.where("hyp = 'home'").withColumn("key", F.col("read")).join(home, ["lang", "key"]).drop("key")
-    pairs = plain.unionByName(byhome).dropDuplicates(["qid", "hyp", "lang", "word"])
-    priced = _priced(pairs, cfg)
-
-    keep = ~((F.col("hyp") == "flip") & (F.col("edit") * cfg.w_ch > cfg.layout_max_cost))
-    found = priced.where(keep & (F.col("edit") * cfg.w_ch <= cfg.rescue))
+    reads = hypotheses(typed, cfg).dropDuplicates(["qid", "lang", "hyp"])
+    blocks = max(1, -(-typed.count() // BLOCK))
+    asked = reads.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    words = lexicon.select("lang", "word", "prior_milli").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kind = typed.schema["qid"].dataType.simpleString()
+    names = ["qid", "typed", "lang", "word", "prior_milli", "read", "hyp", "edit"]
+
+    def compare(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(words):
+            lex = _Lexicon(words["word"].tolist(), cfg)
+            asked = asked.sort_values("qid", ignore_index=True)
+            group = pd.factorize(asked["qid"])[0] // AT_ONCE
+            for k in range(group.max() + 1):
+                own = asked[group == k].reset_index(drop=True)
+                r, w, edit = _within_budget(own, lex, cfg)
+                said, meant = own.iloc[r].reset_index(drop=True), words.iloc[w].reset_index(drop=True)
+                out.append(said.assign(word=meant["word"], prior_milli=meant["prior_milli"], edit=edit)[names])
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
+
+    found = asked.groupBy("lang", "block").cogroup(words.groupBy("lang", "block")).applyInPandas(compare, f"qid {kind}, typed string, lang string, word string, prior_milli int, read string, hyp string, edit double")
     return _ranked(found, cfg)
 
 
 def _ranked(found: DataFrame, cfg: Config) -> DataFrame:
-    steps = [cfg.max_cost]
-    while steps[-1] + cfg.widen_step <= cfg.ceiling:
-        steps.append(steps[-1] + cfg.widen_step)
+    steps = _steps(cfg)
     per = Window.partitionBy("qid")
     convincing = F.min(F.when(F.col("hyp") == "typed", F.col("edit") / F.length("read"))).over(per)
     real = found.withColumn("best", convincing).where((F.col("hyp") != "home") | F.col("best").isNull() | (F.col("best") > cfg.home_row_trigger))
@@ -110,7 +243,7 @@ def _ranked(found: DataFrame, cfg: Config) -> DataFrame:
 
 
 def suggest_exhaustive(typed: DataFrame, lexicon: DataFrame, cfg: Config = Config(), most: int = 5000) -> DataFrame:
-    """The same against every word of the language: a stated set of at most ``most`` strings, sent to blocks of the lexicon."""
+    """The same against every word of the language: a stated set of at most ``most`` strings, every pair priced."""
     reads = hypotheses(typed, cfg).limit(3 * most + 1).toPandas()
     if len(reads) > 3 * most:
         raise ValueError(f"more than {most} typed strings")
@@ -120,11 +253,9 @@ def suggest_exhaustive(typed: DataFrame, lexicon: DataFrame, cfg: Config = Confi
         for pdf in frames:
             for lang, words in pdf.groupby("lang"):
                 for q in held.value.get(lang, []):
-                    near = words[(words["word"].str.len() - len(q["read"])).abs() <= 6]
-                    if len(near):
-                        edit = edit_costs([q["read"]] * len(near), near["word"].tolist(), cfg, q["hyp"] == "home")
-                        out = near.assign(edit=edit, **{k: q[k] for k in ("qid", "typed", "read", "hyp")})
-                        yield out[(out["edit"] * cfg.w_ch <= cfg.rescue) & ~((q["hyp"] == "flip") & (out["edit"] * cfg.w_ch > cfg.layout_max_cost))][["qid", "typed", "lang", "word", "prior_milli", "read", "hyp", "edit"]]
+                    edit = edit_costs([q["read"]] * len(words), words["word"].tolist(), cfg, q["hyp"] == "home")
+                    out = words.assign(edit=edit, **{k: q[k] for k in ("qid", "typed", "read", "hyp")})
+                    yield out[(out["edit"] * cfg.w_ch <= cfg.rescue) & ~((q["hyp"] == "flip") & (out["edit"] * cfg.w_ch > cfg.layout_max_cost))][["qid", "typed", "lang", "word", "prior_milli", "read", "hyp", "edit"]]
 
     found = lexicon.select("lang", "word", "prior_milli").mapInPandas(run, "qid long, typed string, lang string, word string, prior_milli int, read string, hyp string, edit double")
     return _ranked(found, cfg)

@@ -90,6 +90,31 @@ def test_suggest_meets_what_all_words_give(spark):
     assert fast == slow
 
 
+def test_suggest_loses_no_word_within_the_budget(spark):
+    words = "bookkeeper committee keeper booker strasse straße œuvre well-known ill don't lasagne hadfkj".split()
+    ru = "боялся бояться подъезд объём ёлка сыновья длинный ввод вводный аддон".split()
+    many = lexicon.priors(spark.createDataFrame([(lang, w, 10 + i) for lang, ws in (("en", words), ("ru", ru)) for i, w in enumerate(ws)], "lang string, word string, count long"))
+    typed = [("en", t) for t in ("bokeper", "obkoeekpre", "comite", "oeuvre", "strase", "wellknwon", "zzzzzz", "q", "asdfghjkl", "hadfkj", "dsll", "щззлуузук", "œil", "a1b")]
+    typed += [("ru", t) for t in ("баялься", "подезд", "обьем", "елка", "дленый", "вод", "ъ", "фывапролдж", "ффоло", "gjl]tpl", "сынавя")]
+    asked = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(typed)], "qid long, lang string, typed string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(decode.suggest(asked, many))
+    assert got == rows(decode.suggest_exhaustive(asked, many))
+    assert "bookkeeper" in [r[3] for r in got if r[1] == "bokeper"]
+
+
+def test_no_pair_costs_less_than_its_bound():
+    rng = np.random.default_rng(1)
+    cfg, letters = decode.Config(), [c for c in channel.ALPHABET if c != "\0"]
+    for alphabet in (letters, list("asdfgtyhn'-ß"), list("фывапьътсяеёж-"), list("oeœaæsßé")):
+        words, typed = (["".join(rng.choice(alphabet, rng.integers(1, 9))) for _ in range(60)] for _ in range(2))
+        known = decode._Lexicon(words, cfg)
+        x, n = channel.codes(typed, max(map(len, typed))), np.array(list(map(len, typed)))
+        for home in (False, True):
+            true = np.array([channel.edit_costs([t] * len(words), words, cfg, home) for t in typed])
+            assert (known.bound(x, n, home) <= true).all()
+
+
 def test_complete_and_split(spark):
     p = spark.createDataFrame([("en", "he"), ("en", "zz"), ("en", "")], "lang string, prefix string")
     assert [r.word for r in decode.complete(p, lex(spark)).orderBy("rk").collect()][0] in ("help", "hello", "hell")

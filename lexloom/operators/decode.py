@@ -221,7 +221,8 @@ def suggest(typed: DataFrame, lexicon: DataFrame, cfg: Config = Config()) -> Dat
                 out.append(said.assign(word=meant["word"], prior_milli=meant["prior_milli"], edit=edit)[names])
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    found = asked.groupBy("lang", "block").cogroup(words.groupBy("lang", "block")).applyInPandas(compare, f"qid {kind}, typed string, lang string, word string, prior_milli int, read string, hyp string, edit double")
+    apart = lambda df: df.repartition(4 * blocks, "lang", "block").groupBy("lang", "block")  # noqa: E731 - by work, where AQE goes by bytes
+    found = apart(asked).cogroup(apart(words)).applyInPandas(compare, f"qid {kind}, typed string, lang string, word string, prior_milli int, read string, hyp string, edit double")
     return _ranked(found, cfg)
 
 

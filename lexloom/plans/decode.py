@@ -46,18 +46,24 @@ def _few(s, d):
     return E.typos(top).withColumn("qid", F.xxhash64("lang", "word", "kind"))
 
 
+def _asked(s, d):
+    """Errors of the word of every lexicon row whose id is divisible by 20: the stated query set for searches."""
+    rows = table(s, d, "lexicon").where("word_id % 20 = 0").select("lang", F.lower("w").alias("word"))
+    return E.typos(_lex(s, d).join(rows, ["lang", "word"], "left_semi")).withColumn("qid", F.xxhash64("lang", "word", "kind"))
+
+
 def l04_suggest(s, d):
-    return D.suggest(_few(s, d).select("qid", "lang", "typed"), _lex(s, d)).select("lang", "typed", "word", "edit", "cost", "rk").distinct()
+    return D.suggest(_asked(s, d).select("qid", "lang", "typed"), _lex(s, d)).select("lang", "typed", "word", "edit", "cost", "rk").distinct()
 
 
 def a35_accuracy(s, d):
-    few = _few(s, d)
+    few = _asked(s, d)
     return E.accuracy(D.suggest(few.select("qid", "lang", "typed"), _lex(s, d)), few.select("qid", F.col("word").alias("meant"), "kind"), "kind")
 
 
 def d01_autocorrect(s, d):
     lex = _lex(s, d)
-    return R.auto_correct(D.suggest(_few(s, d).select("qid", "lang", "typed"), lex), lex).select("typed", "chosen").distinct()
+    return R.auto_correct(D.suggest(_asked(s, d).select("qid", "lang", "typed"), lex), lex).select("typed", "chosen").distinct()
 
 
 def l04_levenshtein_control(s, d):
@@ -131,7 +137,8 @@ def l14_rerank(s, d):
     from .corpus import a09_ending_pmi
 
     lex = _lex(s, d)
-    heard = C.pair_counts(B.sentences(s, d, heldout=True)).join(lex.where("rk <= 150 AND length(word) > 3").select("lang", "word"), ["lang", "word"], "left_semi")
+    rows = table(s, d, "lexicon").where("word_id % 20 = 0").select("lang", F.lower("w").alias("word"))
+    heard = C.pair_counts(B.sentences(s, d, heldout=True)).join(lex.join(rows, ["lang", "word"], "left_semi").select("lang", "word"), ["lang", "word"], "left_semi")
     few = E.typos(heard.groupBy("lang", "word").agg(F.min("prev").alias("prev")).select("lang", "word"), ("slip",)).join(heard.groupBy("lang", "word").agg(F.min("prev").alias("prev")), ["lang", "word"]).withColumn("qid", F.xxhash64("lang", "word"))
     found = D.suggest(few.select("qid", "lang", "typed"), lex).join(few.select("qid", "prev"), "qid")
     return R.rerank(found, _pairs(s, d), a09_ending_pmi(s, d), lex).select("typed", "word", "cost", "rk")

@@ -3,6 +3,8 @@
 import pytest
 
 from lexloom import queries as Q
+from lexloom.plans import base, decode
+from lexloom.tables import table
 from tests.conftest import DATA, compare
 
 ALL, SQL = Q.queries(), Q.oracle_sql()
@@ -20,3 +22,16 @@ def test_against_sql(spark, part):
 @pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_runs(spark, name):
     assert ALL[name](spark, DATA).count() >= 0
+
+
+@pytest.mark.parametrize("name", ("l04_suggest", "a35_accuracy"))
+def test_corrections_ask_for_every_twentieth_row(spark, name):
+    """Rare words too; the 150 commonest hold only some of them."""
+    asked = decode._asked(spark, DATA)
+    rows = table(spark, DATA, "lexicon").where("word_id % 20 = 0").selectExpr("lang", "lower(w) AS word").join(base.words(spark, DATA), ["lang", "word"], "left_semi").distinct()
+    assert asked.select("lang", "word").distinct().exceptAll(rows).isEmpty() and rows.exceptAll(asked.select("lang", "word").distinct()).isEmpty()
+    got = ALL[name](spark, DATA)
+    if name == "l04_suggest":
+        assert asked.select("lang", "typed").join(got, ["lang", "typed"], "left_anti").isEmpty()
+    else:
+        assert sum(r.n for r in got.collect()) == asked.count()

@@ -45,11 +45,13 @@ def t12_hourly(s, d):
 
 
 def l11_gesture(s, d):
+    """The word of every lexicon row whose id is divisible by 20, drawn and matched with all words of its language."""
     lex = lexicon.priors(B.words(s, d))
+    rows = table(s, d, "lexicon").where("word_id % 20 = 0").select("lang", F.lower("w").alias("word"))
     out = []
-    for lang in ("ru", "en"):
+    for lang in ("de", "en", "es", "fr", "pt", "ru"):
         own, keys = lex.where(F.col("lang") == lang), gesture.phone_keys(lang)
-        drawn = own.where("rk <= 60 AND length(word) > 2").select(F.col("rk").cast("long").alias("gid"), "lang", gesture.path_of(F.col("word"), keys).alias("path"))
+        drawn = own.join(rows, ["lang", "word"], "left_semi").select(F.col("rk").cast("long").alias("gid"), "lang", gesture.path_of(F.col("word"), keys).alias("path"))
         out.append(gesture.match(drawn, own, keys).withColumn("lang", F.lit(lang)))
     return reduce(DataFrame.unionByName, out)
 

@@ -35,3 +35,10 @@ def test_corrections_ask_for_every_twentieth_row(spark, name):
         assert asked.select("lang", "typed").join(got, ["lang", "typed"], "left_anti").isEmpty()
     else:
         assert sum(r.n for r in got.collect()) == asked.count()
+
+
+def test_gestures_are_drawn_in_every_language(spark):
+    rows = table(spark, DATA, "lexicon").where("word_id % 20 = 0").selectExpr("lang", "lower(w) AS word")
+    asked = base.words(spark, DATA).join(rows, ["lang", "word"], "left_semi").where("length(regexp_replace(word, \"['-]\", '')) > 1")
+    drawn = {r.lang: r.n for r in ALL["l11_gesture"](spark, DATA).selectExpr("lang", "gid").distinct().groupBy("lang").agg({"gid": "count"}).withColumnRenamed("count(gid)", "n").collect()}
+    assert drawn == {r["lang"]: r["count"] for r in asked.groupBy("lang").count().collect()} and len(drawn) == 6

@@ -25,9 +25,10 @@ def near_keys() -> list[tuple[str, str]]:
     return out
 
 
-def top_words(counts: DataFrame, k: int) -> DataFrame:
-    """(lang, word, rk) of the ``k`` commonest of each language; ties in order of the words."""
-    return counts.withColumn("rk", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rk") <= k).select("lang", "word", "rk")
+def top_words(counts: DataFrame, k: int | None = None) -> DataFrame:
+    """(lang, word, rk) of the ``k`` commonest of each language, or of all; ties in order of the words."""
+    ranked = counts.withColumn("rk", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).select("lang", "word", "rk")
+    return ranked if k is None else ranked.where(F.col("rk") <= k)
 
 
 def confusions(top: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .base import LEX, NB, PAIRS, S, TOK, q
 
 
 def _top(s, d):
-    return K.top_words(B.words(s, d), 3000)
+    return K.top_words(B.words(s, d))
 
 
 def j08_confusions(s, d):

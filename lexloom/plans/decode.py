@@ -232,7 +232,7 @@ def d11_zone_letters(s, d):
 
 
 def j16_partners(s, d):
-    conf = K.confusions(K.top_words(B.words(s, d), 3000))
+    conf = K.confusions(K.top_words(B.words(s, d)))
     return conf.select("lang", F.col("a").alias("word"), F.col("b").alias("partner")).union(conf.select("lang", "b", "a"))
 
 

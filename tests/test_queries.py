@@ -42,3 +42,11 @@ def test_gestures_are_drawn_in_every_language(spark):
     asked = base.words(spark, DATA).join(rows, ["lang", "word"], "left_semi").where("length(regexp_replace(word, \"['-]\", '')) > 1")
     drawn = {r.lang: r.n for r in ALL["l11_gesture"](spark, DATA).selectExpr("lang", "gid").distinct().groupBy("lang").agg({"gid": "count"}).withColumnRenamed("count(gid)", "n").collect()}
     assert drawn == {r["lang"]: r["count"] for r in asked.groupBy("lang").count().collect()} and len(drawn) == 6
+
+
+def test_confusions_reach_rare_words(spark, tmp_path):
+    letters = "bdfhkmprtx"
+    words = ["".join(letters[int(c)] for c in f"{i:04d}") for i in range(3100)] + ["zoology", "zoolgy", "zpology"]
+    spark.createDataFrame([(i, "en", w, 9000 - i) for i, w in enumerate(words)], "word_id long, lang string, w string, c long").write.parquet(f"{tmp_path}/lexicon.parquet")
+    assert ("en", "zoology", "zpology") in {tuple(r) for r in ALL["j08_confusions"](spark, str(tmp_path)).select("lang", "a", "b").collect()}
+    assert ("en", "zpology", "zoology") in {tuple(r) for r in ALL["j16_partners"](spark, str(tmp_path)).select("lang", "word", "partner").collect()}

@@ -1,14 +1,17 @@
 """Languages of documents and of each stretch of them.
 
 A character model per language gives the likelihood of a word from its n-grams (up to 4, with word bounds,
-interpolated); it is fitted on at most ``sample`` labelled sentences per language.  A document's words are cut
-into stretches of one language by the best path with a fixed price per change.  Expectation-maximisation over
-the stretches estimates the document's proportions for each nested set of languages; the set with the
-largest likelihood less a price per language is taken, and each stretch gets its language and posterior.
-
-A stretch counts as whole sentences with ``least_words`` words or more and a likelihood well above that of every
-other language.  Words that stand in key, candidate and count lines (by a tab, a ``#`` or ``:`` and a digit) are
-labels and take no part.
+interpolated); it is fitted on at most ``sample`` labelled sentences per language.  With a small probability a word
+is an outlier, a name, a label or a foreign word that says nothing of the language around it; so one word speaks for
+a language by the logarithm of that probability at most.  A document's words are cut into stretches of one language
+by the best path, where a change costs little between sentences (end marks, line ends, tabs, numbers) and much inside
+one.  Expectation-maximisation over the stretches estimates the document's proportions for each nested set of
+languages; the set with the largest likelihood less a price per language is taken, and each stretch gets its language
+and posterior.
+
+A stretch holds a whole sentence if some words of it between two bounds are, taken together, by ``least_evidence``
+nats likelier than in every other language.  That is more than two words can say, so that single foreign words and
+labels do not count, whatever their length.
 
 Defined cases: null and empty texts, and texts without a word, have no stretch; a null label is a missing one.
 """
@@ -33,8 +36,12 @@ THREE = {"rus": "ru", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre":
 MISSING = ("", "und", "xx")
 
 ORDER = 4
-#: Most nats by which one word speaks for a language; a single foreign word or label can't pay for two changes.
-MOST = 12.0
+#: Minus the logarithm of the probability that a word is an outlier, in nats: the most by which one word speaks for a language.
+OUTLIER = 6.0
+#: Nats that a whole sentence needs: more than two outliers say.
+SENTENCE = 2 * OUTLIER + 0.5
+#: What stands between two sentences, lines or fields.
+_BOUND = re.compile(r"[.!?…\t\r\n\d]")
 _INNER = re.escape(INVISIBLE) + "̀-ͯ"
 _RUN = rf"[^\W\d_]+(?:[{_INNER}]+[^\W\d_]+)*[{_INNER}]*"
 _WORD = re.compile(rf"{_RUN}(?:-{_RUN})*")
@@ -126,26 +133,28 @@ class Model:
                     v += self.unseen
             if len(self.memo) >= 1 << 18:
                 self.memo.clear()
-            self.memo[token] = v = np.maximum(v, v.max() - MOST).astype(np.float32)
+            some = np.logaddexp.reduce(v) - np.log(len(v))  # as likely as in some language
+            self.memo[token] = v = np.logaddexp(v, some - OUTLIER).astype(np.float32)
         return v
 
     def __getstate__(self):
         return {"tables": self.tables, "unseen": self.unseen, "memo": {}}
 
 
-def tokens(text: str) -> list[tuple[str, int, int]]:
-    """The words of a text that are not labels, with their places."""
-    out = []
+def tokens(text: str) -> list[tuple[str, int, int, bool]]:
+    """The words of a text with their places, and whether one begins a sentence, a line or a field."""
+    out, last = [], None
     for m in _WORD.finditer(text):
-        a, b = m.span()
-        before, after = text[a - 1 : a], text[b : b + 1]
-        if before not in ("\t", "#") and after != "\t" and not (after == ":" and text[b + 1 : b + 2].isdigit()):
-            out.append((m.group(), a, b))
+        out.append((m.group(), *m.span(), last is None or _BOUND.search(text, last, m.start()) is not None))
+        last = m.end()
     return out
 
 
-def best_paths(scores: np.ndarray, lengths: np.ndarray, change: float) -> np.ndarray:
-    """The language of each word; all documents take a step at once.  ``scores`` holds them one after another, longest first."""
+def best_paths(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """The language of each word; all documents take a step at once.
+
+    ``scores`` holds the documents one after another, longest first; ``change`` is the price of another language from a word on.
+    """
     starts = np.cumsum(lengths) - lengths
     out = np.zeros(len(scores), np.int8)
     if not len(scores):
@@ -158,9 +167,9 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, change: float) -> np.nda
         n = live[t]
         v = value[:n]
         best = v.argmax(1)
-        moved = v[np.arange(n), best] - change
-        stay = v >= moved[:, None]
         at = starts[:n] + t
+        moved = v[np.arange(n), best] - change[at]
+        stay = v >= moved[:, None]
         came[at] = np.where(stay, own, best[:, None])
         value[:n] = np.where(stay, v, moved[:, None]) + scores[at]
     state = value.argmax(1)
@@ -207,13 +216,13 @@ def mixtures(units: np.ndarray, doc: np.ndarray, docs: int, price: float, rounds
     return kept, chosen
 
 
-STRETCH = "`{id}` {kind}, start int, stop int, words int, lang string, confidence double, margin double"
+STRETCH = "`{id}` {kind}, start int, stop int, words int, lang string, confidence double, evidence double"
 
 
-def stretches(docs: DataFrame, sentences: list[tuple[str, str]], id_col: str = "doc_id", text: str = "text", change: float = 14.0, price: float = 8.0) -> DataFrame:
-    """(id, start, stop, words, lang, confidence, margin): stretches of one language, by places in the raw text.
+def stretches(docs: DataFrame, sentences: list[tuple[str, str]], id_col: str = "doc_id", text: str = "text", change: float = 14.0, change_between: float = 4.0, price: float = 8.0) -> DataFrame:
+    """(id, start, stop, words, lang, confidence, evidence): stretches of one language, by places in the raw text.
 
-    ``margin`` is how much likelier a word of the stretch is than in the next language, in nats.
+    ``evidence`` is that of the stretch's clearest sentence: by how many nats its words are likelier than in the next language.
     """
     model = docs.sparkSession.sparkContext.broadcast(Model(sentences))
     names = np.array(LANGS)
@@ -228,31 +237,36 @@ def stretches(docs: DataFrame, sentences: list[tuple[str, str]], id_col: str = "
                 if not found:
                     continue
                 lengths = np.array([len(x[1]) for x in found])
-                scores = np.array([m.word(w) for _, ws in found for w, _, _ in ws], np.float64)
-                path = best_paths(scores, lengths, change)
+                scores = np.array([m.word(w[0]) for _, ws in found for w in ws], np.float64)
+                begins = np.array([w[3] for _, ws in found for w in ws])
                 doc = np.repeat(np.arange(len(found)), lengths)
+                path = best_paths(scores, lengths, np.where(begins, change_between, change))
                 cut = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])])
-                units = np.add.reduceat(scores, cut)
-                size = np.diff(np.r_[cut, len(path)])
-                post, _ = mixtures(units, doc[cut], len(found), price)
+                post, _ = mixtures(np.add.reduceat(scores, cut), doc[cut], len(found), price)
                 lang = post.argmax(1)
-                # stretches that fall to one language side by side are one
+                sure = post[np.arange(len(lang)), lang] * np.diff(np.r_[cut, len(path)])
+                # stretches that fall to one language side by side are one; its words weigh their posteriors
                 first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (doc[cut][1:] != doc[cut][:-1])])
-                units, size, post = np.add.reduceat(units, first), np.add.reduceat(size, first), np.minimum.reduceat(post, first)
-                lang, cut, owner = lang[first], cut[first], doc[cut][first]
-                own = units[np.arange(len(lang)), lang]
-                others = units.copy()
-                others[np.arange(len(lang)), lang] = -np.inf
-                places = [(a, b) for _, ws in found for _, a, b in ws]
+                lang, cut, sure = lang[first], cut[first], np.add.reduceat(sure, first)
+                size = np.diff(np.r_[cut, len(path)])
+                opens = begins.copy()
+                opens[cut] = True
+                sentence = np.flatnonzero(opens)
+                owner = np.searchsorted(cut, sentence, side="right") - 1
+                each = np.add.reduceat(scores, sentence)
+                own = each[np.arange(len(each)), lang[owner]]
+                each[np.arange(len(each)), lang[owner]] = -np.inf
+                evidence = np.maximum.reduceat(own - each.max(1), np.searchsorted(sentence, cut))
+                places = [w[1:3] for _, ws in found for w in ws]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(np.array([x[0] for x in found])[owner])),
+                        part.column(0).take(pa.array(np.array([x[0] for x in found])[doc[cut]])),
                         pa.array(np.array([places[c][0] for c in cut], np.int32)),
                         pa.array(np.array([places[c + s - 1][1] for c, s in zip(cut, size)], np.int32)),
                         pa.array(size.astype(np.int32)), pa.array(names[lang].tolist()),
-                        pa.array(post[np.arange(len(lang)), lang].astype(np.float64)), pa.array((own - others.max(1)) / size),
+                        pa.array(np.minimum(sure / size, 1.0)), pa.array(evidence),
                     ],
-                    names=[id_col, "start", "stop", "words", "lang", "confidence", "margin"],
+                    names=[id_col, "start", "stop", "words", "lang", "confidence", "evidence"],
                 )
 
     schema = STRETCH.format(id=id_col, kind=docs.schema[id_col].dataType.simpleString())
@@ -266,15 +280,32 @@ def label(lang: Column) -> Column:
     return F.when(~short.isin(*MISSING), F.coalesce(known[short], short))
 
 
-def whole_languages(found: DataFrame, id_col: str = "doc_id", least_words: int = 7, least_margin: float = 1.0, least_confidence: float = 0.9) -> DataFrame:
+def whole_languages(found: DataFrame, id_col: str = "doc_id", least_evidence: float = SENTENCE, least_confidence: float = 0.9) -> DataFrame:
     """(id, lang, words, confidence): the languages in which a document holds a whole sentence."""
     return (
-        found.where((F.col("words") >= least_words) & (F.col("margin") >= least_margin) & (F.col("confidence") >= least_confidence))
+        found.where((F.col("evidence") >= least_evidence) & (F.col("confidence") >= least_confidence))
         .groupBy(id_col, "lang")
         .agg(F.sum("words").cast("long").alias("words"), F.max("confidence").alias("confidence"))
     )
 
 
+def document_languages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """(id, said, lang, confidence, share, langs): the language of every document.
+
+    ``lang`` is that of most words (ties: the later by name), ``confidence`` the posterior of those words, ``share`` their share of
+    all words, ``langs`` how many languages have words; ``said`` is the label.  A text without a word has a null lang, no
+    confidence and no language.  A row per row of ``docs`` whose id has one row; ids of several rows have their words added up.
+    """
+    per = found.groupBy(id_col, "lang").agg(F.sum("words").alias("n"), F.sum(F.col("words") * F.col("confidence")).alias("sure"))
+    best = per.groupBy(id_col).agg(F.max(F.struct("n", "lang", "sure")).alias("top"), F.sum("n").alias("all"), F.count("*").cast("int").alias("langs"))
+    said = docs.select(F.col(id_col), label(F.col(lang)).alias("said"))
+    none = F.lit(0.0)
+    return said.join(best, id_col, "left").select(
+        id_col, "said", F.col("top.lang").alias("lang"), F.coalesce(F.col("top.sure") / F.col("top.n"), none).alias("confidence"),
+        F.coalesce(F.col("top.n") / F.col("all"), none).alias("share"), F.coalesce("langs", F.lit(0)).alias("langs"),
+    )
+
+
 def mislabelled(docs: DataFrame, sentences: list[tuple[str, str]], id_col: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """(id, lang, words, confidence): the languages of documents whose label is missing or wrong, or that hold several."""
     held = whole_languages(stretches(docs, sentences, id_col, text), id_col, **options)

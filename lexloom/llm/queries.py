@@ -106,6 +106,10 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(table(spark, d, "documents"), langid.sample_sentences(table(spark, d, "build_frames")))
 
 
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(table(spark, d, "documents"), p8_stretches(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_labels(spark, d).select("doc_id", "lang")
 
@@ -113,7 +117,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         p1_found, p1_report, p1_mix, p2_found, p2_terms, p3_found, p3_consistent, p4_found, p4_report, p5_found, p5_pairs,
-        p6_ids, p6_roundtrip, p7_found, p7_pack, p7_report, p8_found, p8_labels, p8_stretches,
+        p6_ids, p6_roundtrip, p7_found, p7_pack, p7_report, p8_found, p8_labels, p8_stretches, p8_documents,
     )}
 
 

@@ -116,16 +116,59 @@ def test_mislabelled(spark, sample):
     assert langid.mislabelled(df.limit(0), sample).count() == 0
 
 
+def test_short_sentences(spark):
+    """Sentences of three to six words from a part of the corpus that the model has not seen, alone and inside another language."""
+    frames = table(spark, "/root/testdata/sf0.01", "build_frames")
+    sample = langid.sample_sentences(frames.where("sent_id <= 8000"))
+    frames = frames.where("length(text) > 60 AND sent_id > 8000").select("sent_id", "lang", "text").orderBy("sent_id").dropDuplicates(["sent_id"]).collect()
+    rng, by, docs, truth = random.Random(5), {}, [], {}
+    for r in frames:
+        by.setdefault(r.lang, []).append(r.text)
+    for words in (3, 4, 5, 6):
+        for lang in langid.LANGS:
+            other = by[rng.choice([x for x in langid.LANGS if x != lang])]
+            for text in rng.sample(by[lang], 20):
+                short = " ".join(text.split()[:words]).rstrip(".!?») ") + "."
+                if len(langid.tokens(short)) < words:
+                    continue
+                a, b = len(docs), len(docs) + 1
+                docs += [(a, short), (b, f"{rng.choice(other)} {short} {rng.choice(other)}")]
+                truth |= {a: lang, b: lang}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.lang) for r in langid.whole_languages(langid.stretches(df, sample)).collect()}
+    hits = {k: [(i, truth[i]) in got for i in truth if i % 2 == k] for k in (0, 1)}
+    assert np.mean(hits[0]) >= 0.95 and np.mean(hits[1]) >= 0.95, (np.mean(hits[0]), np.mean(hits[1]))
+    assert not [(i, lang) for i, lang in got if i % 2 == 0 and lang != truth[i]]
+
+
+def test_labels_are_no_sentences(spark, sample):
+    ru = [t for lang, t in sample if lang == "ru" and len(t.split()) > 9][:3]
+    text = "gerund\t" + ru[0] + "\n#key grid п 34.9 78.5\nwishbone:0.4:1.0 relative\t" + ru[1] + "\nparenthetically\tthoroughbred\t412\n" + ru[2]
+    got = langid.whole_languages(langid.stretches(spark.createDataFrame([(1, text)], "doc_id long, text string"), sample)).collect()
+    assert [r.lang for r in got] == ["ru"]
+
+
+def test_document_languages(spark, sample):
+    ru, en = (next(t for lang, t in sample if lang == want and len(t.split()) > 9) for want in ("ru", "en"))
+    docs = [(1, "ru", ru), (2, "en-GB", en), (3, None, ru), (4, "en", f"{ru} {ru} {en}"), (5, "de", None), (6, "de", ""), (7, "xx", "12 !"), (7, "xx", "12 !"), (None, "ru", ru)]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, lang string, text string, said string, words int")
+    got = {r.doc_id: r for r in langid.document_languages(df, langid.stretches(df, sample)).collect()}
+    assert {k: (r.said, r.lang, r.langs) for k, r in got.items()} == {1: ("ru", "ru", 1), 2: ("en", "en", 1), 3: (None, "ru", 1), 4: ("en", "ru", 2), 5: ("de", None, 0), 6: ("de", None, 0), 7: (None, None, 0), None: ("ru", None, 0)}
+    assert got[1].confidence > 0.99 and got[1].share == 1.0 and 0.5 < got[4].share < 0.8 and got[5].confidence == 0.0
+    assert langid.document_languages(df, langid.stretches(df, sample)).count() == len(docs)
+
+
 def test_best_paths_against_brute_force():
     from itertools import product
 
     rng = np.random.default_rng(0)
     lengths = np.array([5, 4, 4, 1])
     scores = rng.normal(size=(lengths.sum(), 6)) * 3
-    got, at = langid.best_paths(scores, lengths, 2.0), 0
+    change = rng.choice([0.5, 2.0], len(scores))
+    got, at = langid.best_paths(scores, lengths, change), 0
     for n in lengths:
-        own = scores[at : at + n]
-        value = lambda p: sum(own[i, l] for i, l in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        own, price = scores[at : at + n], change[at : at + n]
+        value = lambda p: sum(own[i, l] for i, l in enumerate(p)) - sum(price[i] for i in range(1, len(p)) if p[i] != p[i - 1])  # noqa: B023, E731
         assert np.isclose(value(tuple(got[at : at + n])), max(map(value, product(range(6), repeat=int(n)))))
         at += n
 

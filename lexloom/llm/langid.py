@@ -9,9 +9,9 @@ one.  Expectation-maximisation over the stretches estimates the document's propo
 languages; the set with the largest likelihood less a price per language is taken, and each stretch gets its language
 and posterior.
 
-A stretch holds a whole sentence if some words of it between two bounds are, taken together, by ``least_evidence``
-nats likelier than in every other language.  That is more than two words can say, so that single foreign words and
-labels do not count, whatever their length.
+A word of one letter, as often the name of a key or a variable, says nothing.  A stretch holds a whole sentence if some
+words of it between two bounds are, taken together, by ``least_evidence`` nats likelier than in every other language.
+That is more than any one word can say, so that single foreign words and labels do not count, whatever their length.
 
 Defined cases: null and empty texts, and texts without a word, have no stretch; a null label is a missing one.
 """
@@ -38,8 +38,8 @@ MISSING = ("", "und", "xx")
 ORDER = 4
 #: Minus the logarithm of the probability that a word is an outlier, in nats: the most by which one word speaks for a language.
 OUTLIER = 6.0
-#: Nats that a whole sentence needs: more than two outliers say.
-SENTENCE = 2 * OUTLIER + 0.5
+#: Nats that a whole sentence needs, odds of 3,000 to 1: more than any single word says.
+SENTENCE = OUTLIER + 2.0
 #: What stands between two sentences, lines or fields.
 _BOUND = re.compile(r"[.!?…\t\r\n\d]")
 _INNER = re.escape(INVISIBLE) + "̀-ͯ"
@@ -133,8 +133,8 @@ class Model:
                     v += self.unseen
             if len(self.memo) >= 1 << 18:
                 self.memo.clear()
-            some = np.logaddexp.reduce(v) - np.log(len(v))  # as likely as in some language
-            self.memo[token] = v = np.logaddexp(v, some - OUTLIER).astype(np.float32)
+            # an outlier is as likely as in its best language, so a word says OUTLIER nats at most (and a hundredth); a lone letter may be a sign and says nothing
+            self.memo[token] = v = (np.logaddexp(v, v.max() - OUTLIER) * (len(padded) > 3)).astype(np.float32)
         return v
 
     def __getstate__(self):

@@ -1,12 +1,14 @@
 """One consistent form for text that looks the same in different characters.
 
-A transducer is compiled once per script ("cyr" for Russian, "lat" for every other language): its keys are
-single characters and grapheme clusters (a base with combining marks), its outputs plain letters of the
-script.  It reads a text once, always takes the longest match, and its table is checked when it is built: no
-key may have two outputs and every output must be its own consistent form.
+A longest-match transducer is compiled once per script ("cyr" for Russian, "lat" for every other language).  Its keys
+are single characters and grapheme clusters (a base with combining marks), its outputs plain letters of the script.
+It is a table of states and transitions: the state after a cluster so far holds the cluster's output, a character
+that belongs to the cluster leads to the next state, any other one ends the cluster.  States of the clusters in the table are
+compiled beforehand, and checked: no key may have two outputs and every output must be its own consistent form.  The
+state of a cluster outside the table (more marks than any letter has) is compiled when it is first met.  A text is
+read once, and what comes out is composed (NFC), as no character composes across the bounds of these clusters.
 
-On a cluster the JVM tests every text against the characters that need no work; only the others travel to the
-Python transducer, so clean rows cost one regular expression.
+Texts without a character that needs work leave untouched.
 
 Defined cases: null stays null, empty stays empty; a null or unknown ``lang`` counts as a Latin language;
 case, punctuation, digits and missing accents are never changed; a joiner between two pictographs is visible
@@ -18,9 +20,14 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +42,7 @@ LATIN_OF_GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"))
 INVISIBLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿" + "".join(map(chr, [*range(0x202A, 0x202F), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10)]))
 SPACES = "    　" + "".join(map(chr, range(0x2000, 0x200B)))
 
-_MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿"
-_PICTURE = "[☀-➿\U0001f000-\U0001faff]️?"
+JOINER = "\u200d"
 _SIGNS = r"‐-‧‰-⁞₠-₿←-⌨⌫-➿\x{1f300}-\x{1faff}"
 #: Java classes of the characters that need work; a text without any of them is in consistent form.
 ODD = {
@@ -47,9 +53,46 @@ ODD = {
 WORD = r"\p{L}+(?:-\p{L}+)*"
 
 
+def _code_points() -> Iterator[str]:
+    """All characters that can change under NFC or belong to the character before."""
+    return map(chr, [*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)])
+
+
+@lru_cache(maxsize=1)
+def _unicode() -> tuple[frozenset[str], dict[str, str]]:
+    """(characters that belong to the one before or compose with it, characters that are not composed by themselves)."""
+    joins, alone = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}, {}
+    for c in _code_points():
+        if unicodedata.combining(c):
+            joins.add(c)
+        parts = unicodedata.decomposition(c)
+        if parts and parts[0] != "<":
+            if unicodedata.normalize("NFC", c) != c:
+                alone[c] = unicodedata.normalize("NFC", c)
+            elif " " in parts:
+                joins.add(chr(int(parts.split()[1], 16)))
+    return frozenset(joins), alone
+
+
+def _is_picture(c: str) -> bool:
+    return "☀" <= c <= "➿" or "\U0001f000" <= c <= "\U0001faff"
+
+
+class _State:
+    """A cluster as far as it was read: its characters, what comes out for it, and where further characters lead."""
+
+    __slots__ = ("after", "base", "marks", "open", "out")
+
+    def __init__(self, base: str, marks: str, out: str, open_: bool = False):
+        self.base, self.marks, self.out, self.open, self.after = base, marks, out, open_, {}
+
+
 class Transducer:
     """Longest-match rewriting of characters and grapheme clusters in one pass over a text."""
 
+    #: States that are kept beyond those of the table.
+    MOST_STATES = 1 << 17
+
     def __init__(self, script: str):
         letters = {"lat": {**LATIN_OF_CYRILLIC, **LATIN_OF_GREEK}, "cyr": {}}[script]
         if script == "cyr":
@@ -75,29 +118,59 @@ class Transducer:
             for mark in marks:
                 if len(whole := unicodedata.normalize("NFC", self.table.get(base, base) + mark)) == 1:
                     self._add(base + mark, whole)
-        odd = "".join(map(re.escape, sorted(k for k in self.table if len(k) == 1)))
-        self._match = re.compile(f"{_PICTURE}(?:‍{_PICTURE})+|[^{re.escape(INVISIBLE)}](?:[{re.escape(INVISIBLE)}]*[{_MARKS}])+|[{odd}]").sub
-        self._unseen = str.maketrans("", "", INVISIBLE)
+        joins, alone = _unicode()
+        for c, whole in alone.items():
+            self.table.setdefault(c, "".join(self.table.get(x, x) for x in whole))
+        self._joins, self._unseen, self._kept = joins | set(INVISIBLE), frozenset(INVISIBLE), 0
+        self._start = {k: _State(k, "", v) for k, v in self.table.items() if len(k) == 1 and k not in self._joins}
         for key, value in self.table.items():
-            if self(value) != value:
+            if self(key) != value or self(value) != value:
                 raise ValueError(f"{key!r} gives {value!r}, which is not in consistent form")
 
     def _add(self, key: str, value: str) -> None:
         if self.table.setdefault(key, value) != value:
             raise ValueError(f"{key!r} has two outputs, {self.table[key]!r} and {value!r}")
 
-    def _one(self, match: re.Match) -> str:
-        key = match.group()
-        if (value := self.table.get(key)) is None:
-            if "‍" in key and not unicodedata.combining(key[-1]) and len(key.translate(self._unseen)) > 1:
-                return key
-            base, *marks = key.translate(self._unseen)
-            value = unicodedata.normalize("NFC", self.table.get(base, base) + "".join(marks))
-        return value
+    def _step(self, state: _State, c: str) -> _State:
+        """The state after one more character of the cluster; it is made when it is first needed."""
+        if c in self._unseen:
+            # a joiner after a picture waits for another picture; a sign that is not seen is kept only inside such a chain
+            if c == JOINER and state.base and _is_picture(state.base[-1 if state.base[-1] != "\ufe0f" else -2 :][0]) and not state.marks:
+                after = _State(state.base, "", state.out, True)
+            elif c == "\ufe0f" and not state.open and not state.marks and JOINER in state.base and state.base[-1] != c:
+                after = _State(state.base + c, "", state.base + c)
+            elif c == "\ufe0f" and not state.open and not state.marks and state.base and _is_picture(state.base):
+                after = _State(state.base + c, "", state.out)
+            else:
+                return state
+        elif state.open and _is_picture(c):
+            base = state.base + JOINER + c
+            after = _State(base, "", base)
+        else:
+            base = state.base if JOINER in state.base else state.base.removesuffix("\ufe0f")
+            marks = state.marks + c
+            after = _State(base, marks, unicodedata.normalize("NFC", self.table.get(base, base) + marks))
+        if self._kept < self.MOST_STATES and len(after.base) + len(after.marks) < 8:
+            self._kept += 1
+            state.after[c] = after
+        return after
 
     def __call__(self, text: str) -> str:
-        out = self._match(self._one, text)
-        return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
+        joins, start, out = self._joins, self._start.get, []
+        state, last = None, ""
+        for c in text:
+            if c in joins:
+                if state is None:
+                    # kept in the table of starts, so that the next text finds it
+                    state = self._start[last] = _State(last, "", last) if len(self._start) < self.MOST_STATES else _State(last, "", last)
+                state = state.after.get(c) or self._step(state, c)
+            elif state is not None and state.open and _is_picture(c):
+                state = self._step(state, c)
+            else:
+                out.append(last if state is None else state.out)
+                state, last = start(c), c
+        out.append(last if state is None else state.out)
+        return "".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -114,6 +187,26 @@ def consistent_str(text: str | None, lang: str | None) -> str | None:
     return None if text is None else transducer(script_of(lang))(text)
 
 
+_ODD = {k: re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), v)).search for k, v in ODD.items()}
+
+
+def form(text: str, russian: bool) -> str:
+    """The consistent form of a text; one without odd characters is its own."""
+    script = "cyr" if russian else "lat"
+    return transducer(script)(text) if _ODD[script](text) else text
+
+
+_RUNS, _EXACT = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*").findall, regex.compile(WORD).findall
+
+
+def words_of(text: str, russian: bool) -> list[str]:
+    """The words of a text, in consistent form and lower case; the same as ``words`` of ``consistent``."""
+    low = form(text, russian).lower()
+    out = _RUNS(low)
+    # numbers that are no digits (roman ones, fractions) are in Python's class, but are no letters
+    return out if "".join(out).replace("-", "").isalpha() else _EXACT(low)
+
+
 @F.pandas_udf(T.StringType())
 def _rewrite(text: pd.Series, russian: pd.Series) -> pd.Series:
     cyr, lat = transducer("cyr"), transducer("lat")
@@ -138,20 +231,37 @@ def with_words(df, text: str = "text", lang: str = "lang", out: str = "words"):
     return df.withColumn(tmp, consistent(F.col(text), F.col(lang))).withColumn(out, words(F.col(tmp))).drop(tmp)
 
 
+def _digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128 bits of hash of each part, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+
+
+_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def _form_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tab, lang, id, text) -> (tab, id, raw, k1, k2): hashes of the text and of its consistent form in its table and language; texts with a letter only."""
+    for batch in batches:
+        tabs, langs, texts = (batch.column(i).to_pylist() for i in (0, 1, 3))
+        forms = [form(t, l == "ru") for t, l in zip(texts, langs)]
+        kept = [i for i, f in enumerate(forms) if _LETTER(f) and any(map(str.isalpha, f))]
+        raw = _digests(texts[i].encode("utf-8", "surrogatepass") for i in kept)
+        keys = _digests(f"{tabs[i]}\0{langs[i]}\0{forms[i]}".encode("utf-8", "surrogatepass") for i in kept)
+        own = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *(pa.array(np.ascontiguousarray(x)) for x in (raw[:, 0], keys[:, 0], keys[:, 1]))], names=["tab", "id", "raw", "k1", "k2"])
+
+
 def look_alikes(df, id_col: str, text: str, lang: str, group: str = "tab"):
     """Pairs of rows of one ``group`` and ``lang`` whose texts look the same but are different strings.
 
-    Rows are keyed by 128 bits of hash of their consistent form.  Keys that hold one string only, exact copies
-    however many, leave in an aggregation that combines before it shuffles; the joins see the rest.
+    Rows are keyed by 128 bits of hash of their consistent form, once; the keys, narrow rows, are written (checkpoint) and
+    read from there.  Keys that hold one string only, exact copies however many, leave in an aggregation that combines before it
+    shuffles; the joins see the rest.
     Left out: null ids and texts, texts without a letter, pairs of one id.  A null lang is a language of its own.
     """
     ready(df.sparkSession)
-    keyed = (
-        df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(group).alias("tab"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(id_col).alias("id"), F.col(text).alias("raw"), consistent(F.col(text), F.col(lang)).alias("form"))
-        .where(F.col("form").rlike(r"\p{L}"))
-        .select("tab", "id", F.xxhash64("raw").alias("raw"), F.xxhash64("tab", "lang", "form").alias("k1"), F.xxhash64(F.lit(7), "form", "lang").alias("k2"))
-    )
+    read = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("tab"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    keyed = read.mapInArrow(_form_keys, "tab string, id long, raw long, k1 long, k2 long").checkpoint()
     several = keyed.groupBy("tab", "k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("tab", "k1", "k2")
     key = ["tab", "k1", "k2"]
     rows = keyed.join(several, key, "left_semi").distinct().checkpoint()  # narrow, and read four times

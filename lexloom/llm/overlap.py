@@ -1,16 +1,23 @@
 """Same or near-same records across splits.
 
 Every record is canonicalised to the set of its words in consistent form and lower case, and evaluation hashes are
-joined with training hashes.  A record's first hash is that of its whole set: equal sets meet by it.  Sets that
-only share most words meet by hashed signatures: with a similarity of s, two sets of n and m words share o >= s / (1 + s) * (n + m) words,
-so in any common order of words they share two among the first n - ceil(s * n) + 2 of one and the first
-m - ceil(s * m) + 2 of the other (a set of a single word has only equals).  Longest words
-come first: they are the rare ones.  A signature is a pair of such words; sets of more than 64 words, and those
-that may be similar to one, also have each such word alone as a signature.
-
-A signature row carries the number of words and a bitmap of hashed words.  Two sets that differ in d words differ
+joined with training hashes.  Records with equal sets are one class and meet by the hash of the whole set.  Sets that only
+share most words meet by hashed pairs of words.  With a similarity of s, two sets of n and m words share
+o >= s / (1 + s) * (n + m) words and differ in at most d = n + m - 2 o.  Take any common order of the words.  The
+first L shared words stand among the first n - o + L of one set and the first m - o + L of the other.  Of the L - 1 gaps
+between them, at most d / REACH (rounded down) hold REACH or more of the words that are not shared; with
+L = d / REACH + 2 some two neighbours stand REACH places apart or less in both sets.  So pairs of words at most REACH places apart
+among the first words are signatures by which no such two sets miss each other, and their number grows with
+the number of words of a set, whatever its size.
+
+The order is by how often the evaluation records hold a word, rare words first, counted in a table of fixed size by hash.  Words that
+no evaluation record holds come first of all, and pairs with one are dropped: they meet nothing.
+
+A signature row carries its class, the number of words and a bitmap of hashed words.  Two sets that differ in d words differ
 in at most d bits, so most chance meetings end inside the join, without words being fetched.  What is left is
-checked by exact comparison of the words.  No meeting is capped, and none is lost.
+checked by exact comparison of the words of the classes, and then the records of the classes are listed.  No
+meeting is capped, and none is lost.  Copies of a record meet once: a task gives a class once, and the classes of the evaluation
+side, the smaller one, are made distinct before the join.
 
 Defined cases: null ids are no records, records without a word have no overlap; a record delivered twice counts
 once; splits other than those named take no part.
@@ -18,15 +25,28 @@ once; splits other than those named take no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import ready
-from .consistent import with_words
+from .consistent import words_of
 
-BITS = 64
-#: Sets of more words than this meet by single words of their heads, so that a long text has no square of signatures.
-PAIRED = 64
+#: Places between the two words of a signature, at most.
+REACH = 5
+#: Cells of the table of word counts.
+CELLS = 1 << 20
+#: Words and classes that a task remembers.
+MOST_KEPT = 1 << 18
+#: The second half of a class carries the number of its words in its low bits.
+SIZE = (1 << 20) - 1
 
 
 def records(df: DataFrame, id_col: str = "sent_id", text: str = "text", lang: str = "lang", split: str = "split", held_out=("test", "valid"), train: str = "train") -> DataFrame:
@@ -35,58 +55,218 @@ def records(df: DataFrame, id_col: str = "sent_id", text: str = "text", lang: st
     return df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull() & name.isin(*held_out, train)).select(F.col(id_col).alias("id"), (name != train).alias("held"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
 
-def word_sets(recs: DataFrame) -> DataFrame:
-    """(id, words): the distinct words of each record that has any."""
-    return with_words(recs).select("id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
+@lru_cache(maxsize=1 << 14)
+def first_words(n: int, shared: int, of: int) -> int:
+    """How many of the first words of a set of ``n`` can take part in a signature: the most that a partner of any size asks for."""
+    out = 0
+    for m in range(-(-shared * n // of), of * n // shared + 1):
+        o = -(-shared * (n + m) // (of + shared))
+        if o <= min(n, m):
+            out = max(out, n - o + (n + m - 2 * o) // REACH + 2)
+    return min(out, n)
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class _Words:
+    """Words as numbers in the common order: the count of their cell, then 44 bits of their hash."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.memo = counts, {}
+
+    def __call__(self, word: str) -> int:
+        if (v := self.memo.get(word)) is None:
+            if len(self.memo) >= MOST_KEPT:
+                self.memo.clear()
+            h = _hash(word)
+            self.memo[word] = v = (min(int(self.counts[h % CELLS]), (1 << 19) - 1) << 44) | (h >> 20)
+        return v
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two columns."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0xD1B54A32D192ED03) + (a << np.uint64(6)))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sets(batch: pa.RecordBatch) -> tuple[list[int], list[set[str]], np.ndarray]:
+    """(rows, sets, classes) of the rows of (text, lang) with a word; a class is 108 bits of hash of a set's words, and their number."""
+    rows, sets = [], []
+    for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())):
+        if ws := set(words_of(text, lang == "ru")):
+            rows.append(i)
+            sets.append(ws)
+    digest = b"".join(xxhash.xxh3_128_digest("\0".join(sorted(ws)).encode("utf-8", "surrogatepass")) for ws in sets)
+    classes = np.frombuffer(digest, "<i8").reshape(-1, 2).copy()
+    classes[:, 1] = (classes[:, 1] & ~SIZE) | np.minimum(np.fromiter(map(len, sets), np.int64, len(sets)), SIZE)
+    return rows, sets, classes
+
+
+def _bitmaps(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduceat(np.uint64(1) << (keys & np.uint64(63)), starts)
+
+
+def _unseen(classes: np.ndarray, seen: set) -> list[int]:
+    """The places of classes that a task has not given yet."""
+    out = []
+    for i, k in enumerate(map(tuple, classes.tolist())):
+        if k not in seen:
+            if len(seen) >= MOST_KEPT:
+                seen.clear()
+            seen.add(k)
+            out.append(i)
+    return out
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        cells = [_hash(w) % CELLS for ws in _sets(batch)[1] for w in ws]
+        sums += np.bincount(np.array(cells, np.int64), minlength=CELLS)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["cell", "n"])
+
 
+def word_counts(held: DataFrame) -> np.ndarray:
+    """How often the words of each cell of a table of fixed size stand in the sets of the evaluation records."""
+    got = held.select("text", "lang").mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return counts
 
-def _bitmap(ws: Column) -> Column:
-    return F.aggregate(ws, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int"))))
 
+SIGNATURE = "sig long, k long, kn long, bits long"
 
-def _signatures(sets: DataFrame, shared: int, of: int) -> DataFrame:
-    """(sig, id, n, bits): one row per pair among a set's first words; shared / of is the similarity."""
-    n = F.size("words")
-    order = F.transform(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), F.xxhash64(w).alias("h")))), lambda x: x["h"])
-    first = n - F.ceil(n * shared / of).cast("int") + 2
-    heads = sets.select("id", n.alias("n"), _bitmap(F.col("words")).alias("bits"), F.xxhash64(F.array_sort("words")).alias("whole"), F.slice(order, 1, first).alias("head"))
-    # at place 0 the hash of the whole set, then each word with those before it; long sets their single words
-    each = heads.select("id", "n", "bits", "head", F.posexplode(F.concat(F.array("whole"), "head")).alias("p", "x"))
-    none, p = F.array().cast("array<bigint>"), F.col("p")
-    before = F.when((p > 1) & (F.col("n") <= PAIRED), F.transform(F.slice("head", F.lit(1), F.greatest(p - 1, F.lit(0))), lambda y: F.xxhash64(y, F.col("x")))).otherwise(none)
-    alone = F.when((p == 0) | ((p < F.size("head")) & (of * F.col("n") >= shared * (PAIRED + 1))), F.array("x")).otherwise(none)
-    return each.select(F.explode(F.concat(before, alone)).alias("sig"), "id", "n", "bits")
 
+def _signatures(counts, shared: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (text, lang) -> one row per signature of each class, once a task."""
 
-def overlaps(recs: DataFrame, shared: int = 7, of: int = 10, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """(held_id, train_id): all pairs of a held-out and a training record with at least shared / of of all their words in common.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = _Words(counts.value), set()
+        for batch in batches:
+            _, sets, classes = _sets(batch)
+            new = _unseen(classes, seen)
+            if not new:
+                continue
+            lists = [sorted(map(number, sets[i])) for i in new]
+            k, n = np.ascontiguousarray(classes[new].T), np.array([len(x) for x in lists])
+            keys = np.fromiter(chain.from_iterable(lists), np.uint64, int(n.sum()))
+            starts = np.cumsum(n) - n
+            bits = _bitmaps(keys, starts).view(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(keys)) - starts[row]
+            end = np.array([first_words(int(x), shared, of) for x in n])[row]
+            met = keys >= np.uint64(1 << 44)  # words that an evaluation record may hold
+            sigs, rows = [k[0]], [np.arange(len(n))]
+            for reach in range(1, REACH + 1):
+                at = np.flatnonzero(met & (place + reach < end))
+                at = at[met[at + reach]]
+                sigs.append(_mix(keys[at], keys[at + reach]).view(np.int64))
+                rows.append(row[at])
+            sigs, rows = np.concatenate(sigs), np.concatenate(rows)
+            for a in range(0, len(rows), 1 << 16):
+                r = rows[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[a : a + (1 << 16)]), pa.array(k[0][r]), pa.array(k[1][r]), pa.array(bits[r])], names=["sig", "k", "kn", "bits"])
 
-    The meetings that are left after the bitmaps are few beside the records; they are written once (checkpoint) and
-    counted.  Up to ``broadcast_ids`` of them their ids are broadcast to the scan that fetches words, beyond that
-    they are shuffled.
+    return run
+
+
+def _members(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (id, held, text, lang) -> (id, held, k, kn, words): the records of the wanted classes (of all, if None); a task gives the words of a class once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows, sets, classes = _sets(batch)
+            kept = np.arange(len(rows)) if wanted is None else np.flatnonzero(np.isin(classes[:, 0], wanted.value))
+            own = batch.take(pa.array(np.array(rows, np.int64)[kept]))
+            first = set(_unseen(classes[kept], seen))
+            words = [sorted(sets[i]) if j in first else None for j, i in enumerate(kept.tolist())]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.ascontiguousarray(classes[kept, 0])), pa.array(np.ascontiguousarray(classes[kept, 1])), pa.array(words, pa.list_(pa.string()))], names=["id", "held", "k", "kn", "words"])
+
+    return run
+
+
+@contextmanager
+def _partitions(spark: SparkSession, rows: int, rows_each: int = 1_000_000):
+    """Shuffles that begin with a partition per ``rows_each`` rows, and that may still be split where keys are hot."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(max(int(before or spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, -(-rows // rows_each)))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _of_classes(recs: DataFrame, wanted) -> DataFrame:
+    kind = recs.schema["id"].dataType.simpleString()
+    return recs.select("id", "held", "text", "lang").mapInArrow(_members(wanted), f"id {kind}, held boolean, k long, kn long, words array<string>")
+
+
+def class_pairs(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int = 2_000_000, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((hk, hkn, tk, tkn): pairs of similar classes, (id, held, k, kn): the records of these classes), both written.
+
+    Up to ``most_kept`` classes are told to the scan that fetches words, beyond that they are joined.  ``rows`` is about how many
+    records there are, where the caller knows it.
     """
-    ready(recs.sparkSession)
+    spark = ready(recs.sparkSession)
+    sc = spark.sparkContext
     held, train = recs.where("held"), recs.where("NOT held")
-    h = _signatures(word_sets(held), shared, of).select("sig", F.col("id").alias("held_id"), F.col("n").alias("hn"), F.col("bits").alias("hb"))
-    t = _signatures(word_sets(train), shared, of).select("sig", F.col("id").alias("train_id"), F.col("n").alias("tn"), F.col("bits").alias("tb"))
-    both = F.col("hn") + F.col("tn")
-    differ = F.floor(both - 2 * F.ceil(both * shared / (of + shared)))
-    met = (
-        h.join(t, "sig")
-        .where((of * F.least("hn", "tn") >= shared * F.greatest("hn", "tn")) & (F.bit_count(F.col("hb").bitwiseXOR(F.col("tb"))) <= differ))
-        .select("held_id", "train_id")
-        .distinct()
-        .checkpoint()
-    )
-    bounded = F.broadcast if met.count() <= broadcast_ids else lambda d: d
-
-    def fetched(side: DataFrame, name: str, out: str) -> DataFrame:
-        wanted = side.join(bounded(met.select(F.col(name).alias("id")).distinct()), "id", "left_semi")
-        return word_sets(wanted).select(F.col("id").alias(name), F.col("words").alias(out)).dropDuplicates([name])
-
+    counts = sc.broadcast(word_counts(held))
+    run = _signatures(counts, shared, of)
+    named = lambda df, x: df.select("sig", *(F.col(c).alias(f"{x}{c}") for c in ("k", "kn", "bits")))
+    h = named(held.select("text", "lang").mapInArrow(run, SIGNATURE).distinct(), "h")
+    t = named(train.select("text", "lang").mapInArrow(run, SIGNATURE), "t")
+    n, m = F.col("hkn").bitwiseAND(F.lit(SIZE)), F.col("tkn").bitwiseAND(F.lit(SIZE))
+    differ = F.floor(n + m - 2 * F.ceil((n + m) * shared / (of + shared)))
+    fits: Column = (of * F.least(n, m) >= shared * F.greatest(n, m)) & (F.bit_count(F.col("hbits").bitwiseXOR(F.col("tbits"))) <= differ)
+    pair = ["hk", "hkn", "tk", "tkn"]
+    with _partitions(spark, 8 * (recs.count() if rows is None else rows)):
+        met = h.join(t, "sig").where(fits).select(*pair).distinct().checkpoint()
+    of_met = met.select(F.col("hk").alias("k")).union(met.select("tk")).distinct()
+    kept = of_met.limit(most_kept + 1).toPandas()["k"].to_numpy(np.int64)
+    if len(kept) <= most_kept:
+        found = _of_classes(recs, sc.broadcast(np.sort(kept)))
+    else:
+        found = _of_classes(recs, None).join(of_met, "k", "left_semi").select("id", "held", "k", "kn", "words")
+    found = found.checkpoint()
+    words = found.where("words IS NOT NULL").groupBy("k", "kn").agg(F.first("words").alias("words"))
+    side = lambda x: words.select(F.col("k").alias(f"{x}k"), F.col("kn").alias(f"{x}kn"), F.col("words").alias(f"{x}w"))
     common = F.size(F.array_intersect("hw", "tw"))
-    checked = met.join(fetched(held, "held_id", "hw"), "held_id").join(fetched(train, "train_id", "tw"), "train_id")
-    return checked.where(of * common >= shared * (F.size("hw") + F.size("tw") - common)).select("held_id", "train_id")
+    checked = met.join(side("h"), ["hk", "hkn"]).join(side("t"), ["tk", "tkn"]).where(of * common >= shared * (F.size("hw") + F.size("tw") - common))
+    return checked.select(*pair).checkpoint(), found.select("id", "held", "k", "kn").distinct()
+
+
+def overlaps(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int = 2_000_000, rows: int | None = None) -> DataFrame:
+    """(held_id, train_id): all pairs of a held-out and a training record with at least shared / of of all their words in common."""
+    pairs, members = class_pairs(recs, shared, of, most_kept, rows)
+    side = lambda cond, name, x: members.where(cond).select(F.col("id").alias(name), F.col("k").alias(f"{x}k"), F.col("kn").alias(f"{x}kn"))
+    return pairs.join(side("held", "held_id", "h"), ["hk", "hkn"]).join(side("NOT held", "train_id", "t"), ["tk", "tkn"]).select("held_id", "train_id")
+
+
+def overlap_classes(recs: DataFrame, shared: int = 7, of: int = 10, rows: int | None = None) -> DataFrame:
+    """(id, held, class_id, links): every record with a word, the least id with the same words, and how many records of the other side overlap it.
+
+    Copies are counted, not listed as pairs.  An id on both sides has a row for each.
+    """
+    pairs, _ = class_pairs(recs, shared, of, rows=rows)
+    every = _of_classes(recs, None).select("id", "held", "k", "kn").distinct().checkpoint()
+    classes = every.groupBy("k", "kn").agg(F.min("id").alias("class_id"), F.count_if("held").alias("h"), F.count_if(~F.col("held")).alias("t"))
+
+    def links(own: str, other: str, held: bool) -> DataFrame:
+        size = classes.select(F.col("k").alias(f"{other}k"), F.col("kn").alias(f"{other}kn"), F.col(other).alias("links"))
+        each = pairs.join(size, [f"{other}k", f"{other}kn"]).groupBy(F.col(f"{own}k").alias("k"), F.col(f"{own}kn").alias("kn"))
+        return each.agg(F.sum("links").alias("links")).withColumn("held", F.lit(held))
+
+    sums = links("h", "t", True).unionByName(links("t", "h", False))
+    return every.join(classes.select("k", "kn", "class_id"), ["k", "kn"]).join(sums, ["k", "kn", "held"], "left").select("id", "held", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str = "sent_id", split: str = "split", source: str = "source") -> DataFrame:

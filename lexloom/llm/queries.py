@@ -52,13 +52,19 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(overlap.records(table(ready(spark), d, "build_frames")))
+    frames = table(ready(spark), d, "build_frames")
+    return overlap.overlaps(overlap.records(frames), rows=frames.count())  # from the files' footers
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).select(F.least("held_id", "train_id").alias("a_id"), F.greatest("held_id", "train_id").alias("b_id"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    frames = table(ready(spark), d, "build_frames")
+    return overlap.overlap_classes(overlap.records(frames), rows=frames.count()).select(F.col("id").alias("sent_id"), "class_id", "links")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "build_frames"), _overlaps(spark, d))
 
@@ -116,7 +122,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_report, p1_mix, p2_found, p2_terms, p3_found, p3_consistent, p4_found, p4_report, p5_found, p5_pairs,
+        p1_found, p1_report, p1_mix, p2_found, p2_terms, p3_found, p3_consistent, p4_found, p4_classes, p4_report, p5_found, p5_pairs,
         p6_ids, p6_roundtrip, p7_found, p7_pack, p7_report, p8_found, p8_labels, p8_stretches, p8_documents,
     )}
 
@@ -166,6 +172,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {texts} SELECT a.tab, a.id AS a_id, b.id AS b_id FROM texts a JOIN texts b ON a.tab = b.tab AND a.lang = b.lang AND a.form = b.form AND a.id < b.id AND a.text <> b.text WHERE regexp_matches(a.form, '\\p{{L}}')",
         "p3_consistent": f"WITH {texts} SELECT DISTINCT tab, id, form AS text FROM texts",
         "p4_found": f"{over} SELECT least(held_id, train_id) AS a_id, greatest(held_id, train_id) AS b_id FROM pairs",
+        "p4_classes": f"""{over}, n AS (SELECT held_id AS sent_id, count(*) AS k FROM pairs GROUP BY 1 UNION ALL SELECT train_id, count(*) FROM pairs GROUP BY 1)
+          SELECT sent_id, min(sent_id) OVER (PARTITION BY list_sort(ws)) AS class_id, coalesce(k, 0) AS links FROM sets LEFT JOIN n USING (sent_id)""",
         "p4_report": f"""{over}, links AS (SELECT held_id AS id, count(*) AS links FROM pairs GROUP BY 1), r AS (SELECT sent_id AS id, max(split) AS split, max({src}) AS source FROM build_frames WHERE split <> 'train' GROUP BY 1)
           SELECT split, source, count(*) AS records, count(links) AS overlapping, CAST(coalesce(sum(links), 0) AS BIGINT) AS links FROM r LEFT JOIN links USING (id) GROUP BY split, source""",
         "p5_found": f"{both} SELECT lang, w_a, w_b FROM res",

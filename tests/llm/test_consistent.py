@@ -49,6 +49,23 @@ def test_words(spark):
     assert {r.id: r.words for r in C.with_words(df).collect()} == {1: ["some-body", "can", "t", "éte", "x", "a", "b", "c"], 2: [], 3: []}
 
 
+def test_words_of_a_batch_are_those_of_the_column(spark):
+    frames = spark.read.parquet("/root/testdata/sf0.01/build_frames.parquet").where("text IS NOT NULL AND sent_id % 3 = 0").select("text", "lang")
+    odd = ["x² Ⅷ ½a", "ＡＢ-ｃ d--e", "ǅ ŉ ﬁn İstanbul ΑΣ", "한글 각 日本語", "a_b 1c2 don't", "́a ẹ́ q̧́", "👨‍👩️ x", "Å Ω", "-a- b-", "ѐ ѐ"]
+    df = frames.union(spark.createDataFrame([(t, l) for t in odd for l in ("ru", "en")], "text string, lang string"))
+    rows = C.with_words(df).select("text", "lang", "words").collect()
+    assert len(rows) > 3000 and all(C.words_of(r.text, r.lang == "ru") == r.words for r in rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aeКЅyсοnéё̧̣́̈ͅ​­ ﬁÅ가각क़"), max_size=9), st.sampled_from(["cyr", "lat"]))
+def test_transducer_against_the_rule(text, script):
+    """Without what is not seen, each letter replaced, and all composed."""
+    t = C.transducer(script)
+    plain = "".join(t.table.get(c, c) for c in text if c not in C.INVISIBLE)
+    assert t(text) == unicodedata.normalize("NFC", plain)
+
+
 def look(spark, rows, cols="tab string, id long, lang string, text string"):
     df = spark.createDataFrame(rows, cols)
     return sorted((r.tab, r.a_id, r.b_id) for r in C.look_alikes(df, "id", "text", "lang").collect())

@@ -88,14 +88,53 @@ def test_overlaps_against_brute_force(spark):
     want = {(a, b) for a in held for b in sets.keys() - held if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
     df = spark.createDataFrame(rows, SENT)
     for bound in (2_000_000, 0):
-        got = [(r.held_id, r.train_id) for r in overlap.overlaps(overlap.records(df), broadcast_ids=bound).collect()]
+        got = [(r.held_id, r.train_id) for r in overlap.overlaps(overlap.records(df), most_kept=bound).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert len(want) > 60
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]), i)
+    links = Counter(a for a, _ in want) + Counter(b for _, b in want)
+    got = {(r.id, r.held): (r.class_id, r.links) for r in overlap.overlap_classes(overlap.records(df)).collect()}
+    assert got == {(i, i in held): (least[frozenset(sets[i])], links[i]) for i in sets}
     report = overlap.overlap_report(df, spark.createDataFrame(sorted(want), "held_id long, train_id long"))
     assert sum(r.links for r in report.collect()) == len(want)
     assert overlap.overlaps(overlap.records(df.limit(0))).count() == 0
 
 
+def test_signatures_meet_at_every_size():
+    """Two sets of any sizes with the least overlap, their words in the worst of many orders, share a signature."""
+    rng = random.Random(3)
+
+    def signatures(words, order):
+        ws = sorted(words, key=order.__getitem__)[: overlap.first_words(len(words), 7, 10)]
+        return {frozenset(words)} | {(ws[i], ws[j]) for i in range(len(ws)) for j in range(i + 1, min(len(ws), i + 1 + overlap.REACH))}
+
+    for n in [*range(1, 40), 60, 64, 65, 90, 150, 400]:
+        for m in {-(-7 * n // 10), n, (8 * n + 9) // 10, 10 * n // 7}:
+            o = -(-7 * (n + m) // 17)
+            if o > min(n, m) or 10 * o < 7 * (n + m - o):
+                continue
+            both, a, b = range(o), range(o, n), range(n, n + m - o)
+            for k in range(30 if n < 100 else 5):
+                rank = list(range(n + m - o))
+                rng.shuffle(rank)
+                if k == 0:
+                    rank.sort(key=lambda w: w < o)  # words of one side only come first
+                if k == 1 and o < n + m - o:  # they are spread between the shared words
+                    rank.sort(key=lambda w: w * (n + m - o) / o if w < o else (w - o) * (n + m - o) / (n + m - 2 * o))
+                order = {w: i for i, w in enumerate(rank)}
+                assert signatures({*both, *a}, order) & signatures({*both, *b}, order), (n, m, k)
+
+
+def test_hot_copies_and_a_long_text(spark):
+    long = [f"w{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(3000)]
+    rows = [(i, "en", "the same five words here", "s", "train") for i in range(3000)] + [(5000 + i, "en", "The same five words HERE!", "s", "test") for i in range(3)]
+    rows += [(6000, "en", " ".join(long), "s", "train"), (6001, "en", " ".join(long[300:]), "s", "test"), (6002, "en", " ".join(long[1000:]), "s", "valid")]
+    got = overlap.overlaps(overlap.records(spark.createDataFrame(rows, SENT).repartition(4)))
+    assert got.where("held_id < 6000").count() == 9000 and {(r.held_id, r.train_id) for r in got.where("held_id >= 6000").collect()} == {(6001, 6000)}
+
+
 def test_together_against_brute_force(spark):
     rows = invented(600, 1)
     bags = defaultdict(dict)

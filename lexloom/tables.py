@@ -54,9 +54,9 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, rows_each: int = 500_000, most: int = 50_000) -> int:
+def spread(df: DataFrame, rows_each: int = 500_000, most: int = 50_000, rows: int | None = None) -> int:
     """How many partitions a shuffle of ``df`` should have: the session's number, or more (up to ``most``) where a partition would hold more rows than ``rows_each``.
 
-    The count of a table without filters is read from its files' footers.
+    ``rows`` are those that are shuffled, by default a row for a row.  The count of a table without filters is read from its files' footers.
     """
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, math.ceil(df.count() / rows_each)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, math.ceil((df.count() if rows is None else rows) / rows_each)))

@@ -57,11 +57,37 @@ def test_frequencies_against_brute_force(spark):
         words = text.split()
         occ.update((lang, w) for w in words)
         recs.update({(lang, w) for w in words} | ({(lang, "")} if words else set()))
-    got = {(r.lang, r.term): (r.occurrences, r.records) for r in frequency.term_counts(spark.createDataFrame(rows, SENT).repartition(5)).collect()}
+    df = spark.createDataFrame(rows, SENT).repartition(5)
+    got = {(r.lang, r.term): (r.occurrences, r.records) for r in frequency.term_counts(df).collect()}
     assert {k: v for k, v in got.items() if k[1]} == {k: (occ[k], recs[k]) for k in recs if k[1]}
     assert {k: v[1] for k, v in got.items() if not k[1]} == {k: recs[k] for k in recs if not k[1]}
 
 
+def test_runs_cut_by_partitions_and_batches_add_up(spark):
+    """A term of every record, over more partitions than terms and batches of three rows."""
+    rows = [(i, "en", "all" + " all" * (i % 3) + (" some" if i % 4 == 0 else ""), "s", "train") for i in range(300)] * 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        got = {r.term: (r.occurrences, r.records) for r in frequency.term_counts(spark.createDataFrame(rows, SENT).repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    assert got == {"": (300, 300), "all": (600, 300), "some": (75, 75)}
+
+
+def test_range_bounds_split_a_hot_term(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, "en", "hot " + ("cold" if i % 9 else "mild")) for i in range(2000)], "record long, lang string, text string")
+    keys, records = frequency.range_bounds(df, 2000, 8)
+    assert len(keys) == 7 and keys.count("hot\ten") >= 2
+    rows = df.mapInArrow(frequency._rows(spark.sparkContext.broadcast((keys, records))), frequency.ROWS)
+    sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert sorted(sizes) == list(range(8)) and max(sizes.values()) < 2 * 6000 / 8
+
+
 def test_marks_of_terms(spark):
     df = spark.createDataFrame([(i, "en", "the " + ("odd" if i == 0 else "and") + (" many" * i if i < 5 else ""), "s", "train") for i in range(10)], SENT)
     lex = spark.createDataFrame([("en", "The", 5), ("en", "odd", 3), ("en", "odd", 50), ("en", "never", None), ("en", "two words", 1), ("en", None, 1), ("en", "", 1), ("en", "o​dd", 1), (None, "odd", 1)], "lang string, w string, c long")
@@ -162,8 +188,31 @@ def test_gram_by_blocks(monkeypatch):
     rng = random.Random(2)
     rows = [sorted(rng.sample(range(40), rng.randrange(0, 12))) for _ in range(200)]
     want = Counter((a, b) for r in rows for i, a in enumerate(r) for b in r[i:])
-    for cells in (1 << 22, 120):
-        monkeypatch.setattr(cooccur, "BLOCK_CELLS", cells)
-        g = cooccur.Gram(40)
-        g.add(np.cumsum([0, *map(len, rows)]), np.array([x for r in rows for x in r]))
-        assert {(int(a), int(b)): int(n) for a, b, n in zip(*g.cells())} == want
+    for cells, held, pairs in ((1 << 22, 1 << 25, 1 << 20), (120, 1000, 1 << 20), (120, 1000, 7), (1 << 22, 100, 50)):
+        for name, value in (("BLOCK_CELLS", cells), ("MOST_BYTES", held), ("PAIRS", pairs)):
+            monkeypatch.setattr(cooccur, name, value)
+        g, got = cooccur.Gram(40), Counter()
+        given = [*g.add(np.cumsum([0, *map(len, rows)]), np.array([x for r in rows for x in r])), *g.cells()]
+        for part in given:
+            for a, b, n in zip(*part):
+                got[int(a), int(b)] += int(n)
+        assert got == want and (held > 1000 or len(given) > 1)
+
+
+def test_gram_of_many_items_stays_small():
+    """20,000 items that all meet, 1.6 million pairs a block of records: what a task holds stays under its bound and a block's work."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng, g, pairs = np.random.default_rng(0), cooccur.Gram(20_000), 0
+    tracemalloc.start()
+    for _ in range(6):
+        rows = [np.unique(rng.integers(0, 20_000, 20)) for _ in range(cooccur.BLOCK_ROWS)]
+        for _, _, n in g.add(np.cumsum([0, *map(len, rows)]), np.concatenate(rows)):
+            pairs += int(n.sum())
+        pairs -= sum(len(r) * (len(r) + 1) // 2 for r in rows)
+    pairs += sum(int(n.sum()) for _, _, n in g.cells())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == 0 and peak < 500e6, peak

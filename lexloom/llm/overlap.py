@@ -11,7 +11,8 @@ among the first words are signatures by which no such two sets miss each other,
 the number of words of a set, whatever its size.
 
 The order is by how often the evaluation records hold a word, rare words first, counted in a table of fixed size by hash.  Words that
-no evaluation record holds come first of all, and pairs with one are dropped: they meet nothing.
+no evaluation record holds come first of all, and pairs with one are dropped: they meet nothing.  So are training signatures
+that no evaluation signature equals, as far as a bit table of fixed size over hashes can tell.
 
 A signature row carries its class, the number of words and a bitmap of hashed words.  Two sets that differ in d words differ
 in at most d bits, so most chance meetings end inside the join, without words being fetched.  What is left is
@@ -45,8 +46,10 @@ REACH = 5
 CELLS = 1 << 20
 #: Words and classes that a task remembers.
 MOST_KEPT = 1 << 18
-#: The second half of a class carries the number of its words in its low bits.
-SIZE = (1 << 20) - 1
+#: Words of 64 bits in the table of evaluation signatures.
+TABLE = 1 << 20
+#: A class is 64 bits of hash, and with it the number of its words (up to SIZE, in the low bits) and a bitmap of them in the others.
+SIZE, BITS = (1 << 12) - 1, 52
 
 
 def records(df: DataFrame, id_col: str = "sent_id", text: str = "text", lang: str = "lang", split: str = "split", held_out=("test", "valid"), train: str = "train") -> DataFrame:
@@ -96,26 +99,28 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[list[int], list[set[str]], np.ndarray]:
-    """(rows, sets, classes) of the rows of (text, lang) with a word; a class is 108 bits of hash of a set's words, and their number."""
+    """(rows, sets, classes) of the rows of (text, lang) with a word; a class is two numbers, both hashes of a set's words."""
     rows, sets = [], []
     for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())):
         if ws := set(words_of(text, lang == "ru")):
             rows.append(i)
             sets.append(ws)
-    digest = b"".join(xxhash.xxh3_128_digest("\0".join(sorted(ws)).encode("utf-8", "surrogatepass")) for ws in sets)
-    classes = np.frombuffer(digest, "<i8").reshape(-1, 2).copy()
-    classes[:, 1] = (classes[:, 1] & ~SIZE) | np.minimum(np.fromiter(map(len, sets), np.int64, len(sets)), SIZE)
-    return rows, sets, classes
+    digest = b"".join(xxhash.xxh3_64_digest("\0".join(sorted(ws)).encode("utf-8", "surrogatepass")) for ws in sets)
+    return rows, sets, np.frombuffer(digest, "<i8")
 
 
-def _bitmaps(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduceat(np.uint64(1) << (keys & np.uint64(63)), starts)
+def _described(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of words and the bitmap of each set; ``hashes`` are those of the words, set after set."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    bits = np.bitwise_or.reduceat(np.uint64(1) << ((hashes & np.uint64((1 << 44) - 1)) % np.uint64(BITS) + np.uint64(12)), np.cumsum(sizes) - sizes)
+    return (bits | np.minimum(sizes, SIZE).astype(np.uint64)).view(np.int64)
 
 
-def _unseen(classes: np.ndarray, seen: set) -> list[int]:
+def _unseen(classes: np.ndarray, seen: set[int]) -> list[int]:
     """The places of classes that a task has not given yet."""
     out = []
-    for i, k in enumerate(map(tuple, classes.tolist())):
+    for i, k in enumerate(classes.tolist()):
         if k not in seen:
             if len(seen) >= MOST_KEPT:
                 seen.clear()
@@ -141,11 +146,11 @@ def word_counts(held: DataFrame) -> np.ndarray:
     return counts
 
 
-SIGNATURE = "sig long, k long, kn long, bits long"
+SIGNATURE = "sig long, k long, kn long"
 
 
-def _signatures(counts, shared: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of (text, lang) -> one row per signature of each class, once a task."""
+def _signatures(counts, table, shared: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (text, lang) -> one row per signature of each class, once a task; without those that a table of bits lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = _Words(counts.value), set()
@@ -155,28 +160,41 @@ def _signatures(counts, shared: int, of: int) -> Callable[[Iterator[pa.RecordBat
             if not new:
                 continue
             lists = [sorted(map(number, sets[i])) for i in new]
-            k, n = np.ascontiguousarray(classes[new].T), np.array([len(x) for x in lists])
+            k, n = classes[new], np.array([len(x) for x in lists])
             keys = np.fromiter(chain.from_iterable(lists), np.uint64, int(n.sum()))
+            kn = _described(n, keys)
             starts = np.cumsum(n) - n
-            bits = _bitmaps(keys, starts).view(np.int64)
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(keys)) - starts[row]
             end = np.array([first_words(int(x), shared, of) for x in n])[row]
             met = keys >= np.uint64(1 << 44)  # words that an evaluation record may hold
-            sigs, rows = [k[0]], [np.arange(len(n))]
+            sigs, rows = [k], [np.arange(len(n))]
             for reach in range(1, REACH + 1):
                 at = np.flatnonzero(met & (place + reach < end))
                 at = at[met[at + reach]]
                 sigs.append(_mix(keys[at], keys[at + reach]).view(np.int64))
                 rows.append(row[at])
             sigs, rows = np.concatenate(sigs), np.concatenate(rows)
+            if table is not None:
+                cell = sigs.view(np.uint64) % np.uint64(64 * TABLE)
+                held = (table.value[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+                sigs, rows = sigs[held], rows[held]
             for a in range(0, len(rows), 1 << 16):
                 r = rows[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[a : a + (1 << 16)]), pa.array(k[0][r]), pa.array(k[1][r]), pa.array(bits[r])], names=["sig", "k", "kn", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[a : a + (1 << 16)]), pa.array(k[r]), pa.array(kn[r])], names=["sig", "k", "kn"])
 
     return run
 
 
+def signature_table(held: DataFrame) -> np.ndarray:
+    """A bit for each hash value of a signature that evaluation records have; a table of fixed size."""
+    cell = F.col("sig").bitwiseAND(F.lit(64 * TABLE - 1))  # the remainder, as the size is a power of two
+    got = held.select(F.shiftright(cell, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most TABLE rows
+    table = np.zeros(TABLE, np.int64)
+    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
 def _members(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of (id, held, text, lang) -> (id, held, k, kn, words): the records of the wanted classes (of all, if None); a task gives the words of a class once."""
 
@@ -184,11 +202,14 @@ def _members(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         seen = set()
         for batch in batches:
             rows, sets, classes = _sets(batch)
-            kept = np.arange(len(rows)) if wanted is None else np.flatnonzero(np.isin(classes[:, 0], wanted.value))
-            own = batch.take(pa.array(np.array(rows, np.int64)[kept]))
-            first = set(_unseen(classes[kept], seen))
-            words = [sorted(sets[i]) if j in first else None for j, i in enumerate(kept.tolist())]
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.ascontiguousarray(classes[kept, 0])), pa.array(np.ascontiguousarray(classes[kept, 1])), pa.array(words, pa.list_(pa.string()))], names=["id", "held", "k", "kn", "words"])
+            kept = np.arange(len(rows)) if wanted is None else np.flatnonzero(np.isin(classes, wanted.value))
+            own, k = batch.take(pa.array(np.array(rows, np.int64)[kept])), classes[kept]
+            mine = [sets[i] for i in kept.tolist()]
+            hashes = np.fromiter((_hash(w) >> 20 for ws in mine for w in ws), np.uint64)
+            kn = _described(np.fromiter(map(len, mine), np.int64, len(mine)), hashes)
+            first = set(_unseen(k, seen))
+            words = [sorted(ws) if j in first else None for j, ws in enumerate(mine)]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k), pa.array(kn), pa.array(words, pa.list_(pa.string()))], names=["id", "held", "k", "kn", "words"])
 
     return run
 
@@ -220,13 +241,15 @@ def class_pairs(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int =
     sc = spark.sparkContext
     held, train = recs.where("held"), recs.where("NOT held")
     counts = sc.broadcast(word_counts(held))
-    run = _signatures(counts, shared, of)
-    named = lambda df, x: df.select("sig", *(F.col(c).alias(f"{x}{c}") for c in ("k", "kn", "bits")))
-    h = named(held.select("text", "lang").mapInArrow(run, SIGNATURE).distinct(), "h")
-    t = named(train.select("text", "lang").mapInArrow(run, SIGNATURE), "t")
+    named = lambda df, x: df.select("sig", F.col("k").alias(f"{x}k"), F.col("kn").alias(f"{x}kn"))
+    of_held = held.select("text", "lang").mapInArrow(_signatures(counts, None, shared, of), SIGNATURE).distinct().checkpoint()  # the smaller side; read twice
+    table = sc.broadcast(signature_table(of_held))
+    h = named(of_held, "h")
+    t = named(train.select("text", "lang").mapInArrow(_signatures(counts, table, shared, of), SIGNATURE), "t")
     n, m = F.col("hkn").bitwiseAND(F.lit(SIZE)), F.col("tkn").bitwiseAND(F.lit(SIZE))
     differ = F.floor(n + m - 2 * F.ceil((n + m) * shared / (of + shared)))
-    fits: Column = (of * F.least(n, m) >= shared * F.greatest(n, m)) & (F.bit_count(F.col("hbits").bitwiseXOR(F.col("tbits"))) <= differ)
+    other = F.shiftrightunsigned(F.col("hkn").bitwiseXOR(F.col("tkn")), 12)
+    fits: Column = (of * F.least(n, m) >= shared * F.greatest(n, m)) & (F.bit_count(other) <= differ)
     pair = ["hk", "hkn", "tk", "tkn"]
     with _partitions(spark, 8 * (recs.count() if rows is None else rows)):
         met = h.join(t, "sig").where(fits).select(*pair).distinct().checkpoint()

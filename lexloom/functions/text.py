@@ -119,20 +119,25 @@ def is_artifact(word: Column) -> Column:
     return word.rlike(r"^['-]|['-]$|^([\p{L}\p{N}_]{1,2})-\1")
 
 
-def is_stretched(word: Column) -> Column:
+def is_drawn_out(word: Column) -> Column:
     """A letter three times in a row."""
     return word.rlike(r"(.)\1\1")
 
 
+def is_stretched(word: Column) -> Column:
+    """A letter three times in a row, or nothing but one letter twice."""
+    return is_drawn_out(word) | word.rlike(r"^(.)\1$")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """How many leading letters two words share."""
     same = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), lambda i: (a.substr(F.lit(1), i) == b.substr(F.lit(1), i)).cast("int"))
     return F.aggregate(same, F.lit(0), lambda n, x: n + x)
 
 
-def same_stem(a: Column, b: Column, least: int = 3, tail: int = 3) -> Column:
-    """Two forms that share all but their last ``tail`` letters, at least ``least``."""
-    return (common_prefix(a, b) >= least) & (F.greatest(F.length(a), F.length(b)) - common_prefix(a, b) <= tail)
+def same_stem(a: Column, b: Column, least: int = 2, tail: int = 2) -> Column:
+    """Two forms of one word as far as their letters tell: the shorter is the other's start but for its last ``tail`` letters at most."""
+    return (common_prefix(a, b) >= least) & (common_prefix(a, b) + tail >= F.least(F.length(a), F.length(b)))
 
 
 def split_elisions(word: Column) -> Column:

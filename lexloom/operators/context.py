@@ -25,48 +25,53 @@ def near_keys() -> list[tuple[str, str]]:
     return out
 
 
-def top_words(counts: DataFrame, k: int | None = None) -> DataFrame:
-    """(lang, word, rk) of the ``k`` commonest of each language, or of all; ties in order of the words."""
-    ranked = counts.withColumn("rk", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).select("lang", "word", "rk")
-    return ranked if k is None else ranked.where(F.col("rk") <= k)
+def _commoner(n: str, word: str, other_n: str, other: str):
+    """Whether the first word comes before the second: the larger count, ties in order of the words."""
+    return (F.col(n) > F.col(other_n)) | ((F.col(n) == F.col(other_n)) & (F.col(word) < F.col(other)))
 
 
-def confusions(top: DataFrame) -> DataFrame:
-    """(lang, a, b) of words one slip apart: a neighbouring key, an accent left out, a doubled letter written once.
+def confusions(counts: DataFrame) -> DataFrame:
+    """(lang, a, b) of words (lang, word, count) one slip apart: a neighbouring key, an accent left out, a doubled letter written once.
 
     A similarity self-join by keys with the letter cut out at a place, so that no two words are compared that don't
     meet; ``a`` is the commoner.
     """
-    spark = top.sparkSession
+    spark = counts.sparkSession
     near = spark.createDataFrame(near_keys(), "x string, y string")
-    at = top.select("lang", "word", "rk", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("ch", F.expr("substring(word, i, 1)"))
+    at = counts.select("lang", "word", "count", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("ch", F.expr("substring(word, i, 1)"))
     holed = at.withColumn("key", F.concat(F.expr("substring(word, 1, i - 1)"), F.lit("_"), F.expr("substring(word, i + 1)")))
-    l, r = holed.alias("l"), holed.alias("r")
-    meet = l.join(r, (F.col("l.lang") == F.col("r.lang")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rk") < F.col("r.rk"))).select(F.col("l.lang").alias("lang"), F.col("l.word").alias("a"), F.col("r.word").alias("b"), F.col("l.ch").alias("x"), F.col("r.ch").alias("y"))
+    side = lambda w, n, c: holed.select("lang", "key", F.col("word").alias(w), F.col("count").alias(n), F.col("ch").alias(c))
+    meet = side("a", "na", "x").join(side("b", "nb", "y"), ["lang", "key"]).where((F.col("a") != F.col("b")) & _commoner("na", "a", "nb", "b")).select("lang", "a", "b", "x", "y")
     slips = meet.join(F.broadcast(near), ["x", "y"], "left_semi").select("lang", "a", "b")
     accents = meet.where((X.fold_accents(F.col("x")) == X.fold_accents(F.col("y"))) & ((X.fold_accents(F.col("x")) == F.col("x")) | (X.fold_accents(F.col("y")) == F.col("y")))).select("lang", "a", "b")
-    single = at.where(F.expr("substring(word, i + 1, 1) = ch")).select("lang", F.col("word").alias("long"), F.col("rk").alias("rk_l"), F.concat(F.expr("substring(word, 1, i - 1)"), F.expr("substring(word, i + 1)")).alias("word"))
-    doubled = single.join(top, ["lang", "word"]).select("lang", F.when(F.col("rk_l") < F.col("rk"), F.col("long")).otherwise(F.col("word")).alias("a"), F.when(F.col("rk_l") < F.col("rk"), F.col("word")).otherwise(F.col("long")).alias("b"))
+    single = at.where(F.expr("substring(word, i + 1, 1) = ch")).select("lang", F.col("word").alias("long"), F.col("count").alias("nl"), F.concat(F.expr("substring(word, 1, i - 1)"), F.expr("substring(word, i + 1)")).alias("word"))
+    first = _commoner("nl", "long", "count", "word")
+    doubled = single.join(counts.select("lang", "word", "count"), ["lang", "word"]).select("lang", F.when(first, F.col("long")).otherwise(F.col("word")).alias("a"), F.when(first, F.col("word")).otherwise(F.col("long")).alias("b"))
     return slips.union(accents).union(doubled).distinct()
 
 
-def spelling_pairs(top: DataFrame, have: DataFrame) -> DataFrame:
+def spelling_pairs(counts: DataFrame, have: DataFrame) -> DataFrame:
     """(lang, a, b): prepositions with о, -тся / -ться; those not in ``have`` in either order."""
-    spark = top.sparkSession
-    listed = spark.createDataFrame(PREPOSITIONS, "x string, y string").withColumn("lang", F.lit("ru"))
-    reflexive = top.where(F.col("word").endswith("тся") & (F.col("lang") == "ru")).select("lang", F.col("word").alias("x"), F.regexp_replace("word", "тся$", "ться").alias("y"))
-    both = listed.select("lang", "x", "y").union(reflexive)
-    ranked = both.join(top.select("lang", F.col("word").alias("x"), F.col("rk").alias("rx")), ["lang", "x"]).join(top.select("lang", F.col("word").alias("y"), F.col("rk").alias("ry")), ["lang", "y"])
-    first = F.col("rx") < F.col("ry")
+    listed = counts.sparkSession.createDataFrame(PREPOSITIONS, "x string, y string").withColumn("lang", F.lit("ru"))
+    reflexive = counts.where(F.col("word").endswith("тся") & (F.col("lang") == "ru")).select("lang", F.col("word").alias("x"), F.regexp_replace("word", "тся$", "ться").alias("y"))
+    of = lambda w, n: counts.select("lang", F.col("word").alias(w), F.col("count").alias(n))
+    ranked = listed.select("lang", "x", "y").union(reflexive).join(of("x", "nx"), ["lang", "x"]).join(of("y", "ny"), ["lang", "y"])
+    first = _commoner("nx", "x", "ny", "y")
     pairs = ranked.select("lang", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
-    return pairs.join(have, ["lang", "a", "b"], "left_anti")
+    either = have.select("lang", "a", "b").union(have.select("lang", F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(either, ["lang", "a", "b"], "left_anti")
 
 
-def accent_groups(counts: DataFrame) -> DataFrame:
-    """(lang, a, b): words that are equal without accents; each word with its group's commonest, so no group is squared."""
-    bare = counts.withColumn("bare", X.fold_accents(F.col("word")))
-    head = bare.groupBy("lang", "bare").agg(F.max(F.struct("count", "word")).alias("h"))
-    return bare.join(head, ["lang", "bare"]).where(F.col("word") != F.col("h.word")).select("lang", F.col("h.word").alias("a"), F.col("word").alias("b"))
+def accent_groups(counts: DataFrame, have: DataFrame, min_count: int = 100, min_length: int = 3) -> DataFrame:
+    """(lang, a, b): all pairs of words (lang, word, count) that are equal without accents, ``a`` the commoner; those not in ``have`` in either order.
+
+    A group has no more words than its letters have accents, so it is small whatever the lexicon's size.
+    """
+    bare = counts.where((F.col("count") >= min_count) & (F.length("word") >= min_length)).select("lang", "word", "count", X.fold_accents(F.col("word")).alias("bare"))
+    of = lambda w, n: bare.select("lang", "bare", F.col("word").alias(w), F.col("count").alias(n))
+    pairs = of("a", "na").join(of("b", "nb"), ["lang", "bare"]).where((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))).select("lang", "a", "b")
+    either = have.select("lang", "a", "b").union(have.select("lang", F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(either, ["lang", "a", "b"], "left_anti")
 
 
 def observations(sents: DataFrame, pairs: DataFrame, cap: int = 20_000, id_col: str = "sent_id") -> DataFrame:
@@ -107,16 +112,21 @@ def decision_list(obs: DataFrame, min_count: int = 10, min_favoured: int = 5, mi
     return scored.withColumn("rn", rn).where(F.col("rn") <= most).select("lang", "a", "b", "feature", F.when(F.col("llr") > 0, F.col("a")).otherwise(F.col("b")).alias("word"), F.bround(F.least(F.abs("llr"), F.lit(clamp)) * 1000, 0).cast("int").alias("strength_milli"))
 
 
-def evidence(typed: DataFrame, rules: DataFrame) -> DataFrame:
-    """What the next word says for the other of a pair: the one strongest rule that matches (typed: id, lang, typed, alt, next)."""
-    j = typed.join(rules, (typed["lang"] == rules["lang"]) & (F.concat(F.lit("w+1="), typed["next"]) == rules["feature"]) & (F.least(typed["typed"], typed["alt"]) == F.least(rules["a"], rules["b"])) & (F.greatest(typed["typed"], typed["alt"]) == F.greatest(rules["a"], rules["b"])))
-    return j.select("id", F.when(F.col("word") == F.col("alt"), F.col("strength_milli")).otherwise(-F.col("strength_milli")).alias("for_alt")).groupBy("id").agg(F.max_by("for_alt", F.abs("for_alt")).alias("for_alt"))
-
+def evidence(typed: DataFrame, rules: DataFrame, phonetic: float = 6.0) -> DataFrame:
+    """What the next word says for the other of a pair: the one strongest rule that matches (typed: id, lang, typed, alt, next).
 
-# Commas
+    «о» before a vowel is «об» by ``phonetic`` nats, whatever the word.  Of rules of one strength the one for ``alt`` holds.
+    """
+    key = lambda x, y: F.array_sort(F.array(x, y))
+    t = typed.select("id", "lang", "typed", "alt", "next", F.concat(F.lit("w+1="), "next").alias("feature"), key(F.col("typed"), F.col("alt")).alias("pair"))
+    r = rules.select("lang", "feature", "word", "strength_milli", key(F.col("a"), F.col("b")).alias("pair"))
+    by_rule = t.join(r, ["lang", "feature", "pair"]).select("id", F.when(F.col("word") == F.col("alt"), F.col("strength_milli")).otherwise(-F.col("strength_milli")).alias("for_alt"))
+    about = (F.col("typed") == "о") & (F.col("alt") == "об") & F.lower("next").rlike("^[аоуэиы]")
+    by_sound = t.where(about).select("id", F.lit(round(phonetic * 1000)).alias("for_alt"))
+    return by_rule.union(by_sound).groupBy("id").agg(F.max_by("for_alt", F.struct(F.abs("for_alt"), "for_alt")).alias("for_alt"))
 
-BACK = 16
 
+# Commas
 
 def bare_gaps(sents: DataFrame) -> DataFrame:
     """(lang, a, b, comma): the pairs of ``gaps`` without their places and what stands before; read off shifted copies of the token array."""
@@ -132,20 +142,25 @@ def gaps(sents: DataFrame, id_col: str = "sent_id") -> DataFrame:
     """(lang, id, pos, a, b, comma, first, and_before): pairs of words with nothing or only a comma between them.
 
     ``first``: a begins a sentence.  ``and_before``: «и» among the three words before a since the last comma or end.
-    Both are read from the last ``BACK`` tokens before a, in the sentence's own array.
+    Both are kept by one fold over the sentence's own array.
     """
+    word, end = X.is_word, lambda x: x.isin(".", "!", "?")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<struct<a:string,first:boolean,and_before:boolean>>").alias("out"), F.lit(True).alias("first"), none.alias("last"))
+    state = lambda out, first, last: F.struct(out.alias("out"), first.alias("first"), last.alias("last"))
+
+    def step(acc, x):
+        here = F.when(word(x), F.struct(x.alias("a"), acc["first"].alias("first"), F.array_contains(acc["last"], "и").alias("and_before")))
+        last = F.when(end(x) | (x == ","), none).when(word(x), F.slice(F.concat(acc["last"], F.array(x)), F.greatest(F.size(acc["last"]) - 1, F.lit(1)), F.lit(3))).otherwise(acc["last"])
+        return state(F.concat(acc["out"], F.array(here)), F.when(end(x), F.lit(True)).when(word(x), F.lit(False)).otherwise(acc["first"]), last)
+
     t = F.col("toks")
-    word = lambda x: X.is_word(x)
-    at = sents.withColumn("toks", X.words_and_marks(F.col("text"))).select("lang", F.col(id_col).alias("id"), "toks", F.posexplode("toks").alias("pos", "a")).where(word(F.col("a")))
-    nxt, then = F.get(t, F.col("pos") + 1), F.get(t, F.col("pos") + 2)
-    comma = (nxt == ",") & word(then)
-    b = F.when(comma, then).when(word(nxt), nxt)
-    back = F.slice(t, F.greatest(F.lit(1), F.col("pos") - BACK + 1), F.least(F.lit(BACK), F.col("pos")))
-    marks = lambda xs: F.filter(xs, lambda x: x.isin(".", "!", "?") | word(x))
-    last = F.element_at(F.concat(F.array(F.lit(".")), marks(back)), -1)
-    since = F.aggregate(back, F.array().cast("array<string>"), lambda acc, x: F.when(x.isin(",", ".", "!", "?"), F.array().cast("array<string>")).when(word(x), F.concat(acc, F.array(x))).otherwise(acc))
-    three = F.slice(since, F.greatest(F.lit(1), F.size(since) - 2), F.lit(3))
-    return at.select("lang", "id", "pos", "a", b.alias("b"), F.coalesce(comma, F.lit(False)).alias("comma"), last.isin(".", "!", "?").alias("first"), F.array_contains(three, "и").alias("and_before")).where(F.col("b").isNotNull())
+    read = sents.withColumn("toks", X.words_and_marks(F.col("text"))).select("lang", F.col(id_col).alias("id"), "toks", F.aggregate(t, start, step)["out"].alias("read"))
+    after = lambda k: F.slice(t, F.lit(k + 1), F.size(t))
+    each = read.select("lang", "id", F.posexplode(F.arrays_zip(F.col("read").alias("r"), after(1).alias("x"), after(2).alias("y"))).alias("pos", "z")).select("lang", "id", "pos", "z.r.a", "z.r.first", "z.r.and_before", "z.x", "z.y")
+    comma = (F.col("x") == ",") & word(F.col("y"))
+    b = F.when(comma, F.col("y")).when(word(F.col("x")), F.col("x"))
+    return each.where(F.col("a").isNotNull()).select("lang", "id", "pos", "a", b.alias("b"), F.coalesce(comma, F.lit(False)).alias("comma"), "first", "and_before").where(F.col("b").isNotNull())
 
 
 def comma_table(g: DataFrame, least: int = 50, single: float = 0.5, pair: float = 1.0) -> DataFrame:

@@ -9,7 +9,7 @@ a string is priced step by step up to the budget it needs, so nothing within the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
+from ..data import ABOVE_SPACE, MISSING_SPACE, ONE_LETTER_WORDS, SPACE_AS_LETTER
 from ..functions import text as X
 from .channel import ALPHABET, CODE, CYRILLIC_FINGERS, LATIN_FINGERS, _align, codes, edit_costs, keyboard
 
@@ -293,14 +294,24 @@ def is_prefix(prefixes: DataFrame, lexicon: DataFrame) -> DataFrame:
     return prefixes.distinct().join(heads, ["lang", "prefix"], "left").select("lang", "prefix", F.coalesce("hit", F.lit(False)).alias("known"))
 
 
-def split_in_two(typed: DataFrame, lexicon: DataFrame, cfg: Config = Config(), price: float = 3.0, least: int = 1) -> DataFrame:
-    """(lang, typed, left, right, cost_milli): the cheapest cut of a string (lang, typed) into two known words."""
-    cuts = typed.distinct().where(F.length("typed") > 1).select("lang", "typed", F.explode(F.sequence(F.lit(least), F.length("typed") - least)).alias("i")).where(F.col("i") > 0).select("lang", "typed", F.expr("substring(typed, 1, i)").alias("left"), F.expr("substring(typed, i + 1)").alias("right"))
+def split_in_two(typed: DataFrame, lexicon: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(lang, typed, left, right, cost_milli): the cheapest cut of a string (lang, typed) into two known words.
+
+    A space was missed, or hit as a letter above it, which is then left out.  A part of one letter must be a word of the language; known words and
+    strings under four letters stay whole.  Ties: the shorter left part, then the missed space.
+    """
+    unknown = typed.select("lang", "typed").distinct().where(F.length("typed") >= 4).join(lexicon.select("lang", F.col("word").alias("typed")), ["lang", "typed"], "left_anti")
+    one = reduce(lambda acc, kv: F.when(F.col("lang") == kv[0], F.lit(kv[1])).otherwise(acc), ONE_LETTER_WORDS.items(), F.lit(""))
+    at = unknown.select("lang", "typed", F.explode(F.sequence(F.lit(1), F.length("typed") - 1)).alias("i"))
+    above = F.expr("substring(typed, i + 1, 1)").isin(*ABOVE_SPACE) & (F.col("i") + 1 < F.length("typed"))
+    cuts = at.select("lang", "typed", "i", F.explode(F.when(above, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("over"))
+    parts = cuts.select("lang", "typed", "i", "over", F.expr("substring(typed, 1, i)").alias("left"), F.expr("substring(typed, i + 1 + over)").alias("right"))
+    fits = lambda c: (F.length(c) >= 2) | F.contains(one, F.col(c))
     word = lambda name, cost: lexicon.select("lang", F.col("word").alias(name), F.col("prior_milli").alias(cost))
-    j = cuts.join(word("left", "pl"), ["lang", "left"]).join(word("right", "pr"), ["lang", "right"])
-    cost = F.bround(F.round(cfg.w_lm * (F.col("pl") + F.col("pr")) + 1000 * price, 6), 0).cast("int")
-    best = j.withColumn("cost_milli", cost).withColumn("rk", F.row_number().over(Window.partitionBy("lang", "typed").orderBy("cost_milli", "left")))
-    return best.where("rk = 1").select("lang", "typed", "left", "right", "cost_milli")
+    j = parts.where(fits("left") & fits("right")).join(word("left", "pl"), ["lang", "left"]).join(word("right", "pr"), ["lang", "right"])
+    cost = F.bround(F.round(cfg.w_lm * (F.col("pl") + F.col("pr")) + 1000 * F.when(F.col("over") == 1, SPACE_AS_LETTER).otherwise(MISSING_SPACE), 6), 0).cast("int")
+    best = j.withColumn("cost_milli", cost).groupBy("lang", "typed").agg(F.min(F.struct("cost_milli", "i", "over", "left", "right")).alias("b"))
+    return best.select("lang", "typed", "b.left", "b.right", "b.cost_milli")
 
 
 def hyphen_joins(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:

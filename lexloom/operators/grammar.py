@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..data import GOVERNS, PRONOUNS
+from ..tables import rank_all
+
 # Grammemes by name; the bit of each is its place.
 GRAMMEMES = (
     "NOUN ADJF ADJS COMP VERB INFN PRTF PRTS GRND NUMR ADVB NPRO PRED PREP CONJ PRCL INTJ "
@@ -28,18 +31,11 @@ GENDER, NUMBER, PERSON, TENSE = mask("masc femn neut ms-f"), mask("sing plur"),
 FIRST_CASES, SECOND = mask("nomn gent datv accs ablt loct voct"), {"gen2": "gent", "acc2": "accs", "loc2": "loct"}
 NOMINAL, ATTRIBUTE, PREDICATE = mask("NOUN ADJF PRTF NPRO NUMR"), mask("ADJF PRTF"), mask("VERB ADJS PRTS")
 CASES = ("nomn", "gent", "datv", "accs", "ablt", "loct")
-# The cases that prepositions govern, and personal pronouns as subjects.
-GOVERNS = {
-    "accs loct": "в во на", "loct accs": "о об обо", "loct": "при", "datv loct accs": "по", "ablt gent": "с со между", "datv": "к ко благодаря согласно вопреки навстречу подобно",
-    "accs ablt": "за под подо", "ablt": "над перед передо", "accs": "через сквозь про",
-    "gent": "у из изо от ото до без безо для из-за из-под около возле вокруг после кроме среди вместо мимо против ради вне вдоль напротив насчёт внутри",
-}
-PRONOUNS = {"я": "1per sing", "ты": "2per sing", "он": "3per sing masc", "она": "3per sing femn", "оно": "3per sing neut", "мы": "1per plur", "вы": "2per plur", "они": "3per plur", "кто": "3per sing", "никто": "3per sing"}
 
 
 def government(spark: SparkSession) -> DataFrame:
     """(word, cases): the dimension table of prepositions."""
-    return spark.createDataFrame([(w, mask(c)) for c, ws in GOVERNS.items() for w in ws.split()], "word string, cases long")
+    return spark.createDataFrame([(w, mask(c)) for w, c in GOVERNS.items()], "word string, cases long")
 
 
 def pronouns(spark: SparkSession) -> DataFrame:
@@ -133,9 +129,8 @@ def misfits(df: DataFrame, phrase: str = "phrase", readings: str = "readings") -
     All its readings must be ruled out: by the case its preposition governs, by the attributes before it, or by a
     subject it doesn't fit.  A phrase is array<struct<word,readings>>.
     """
-    spark = df.sparkSession
-    gov = F.create_map(*[F.lit(x) for r in government(spark).collect() for x in (r.word, r.cases)])  # a fixed table
-    pro = F.create_map(*[F.lit(x) for r in pronouns(spark).collect() for x in (r.word, r.subject)])  # a fixed table
+    gov = F.create_map(*[F.lit(x) for w, c in GOVERNS.items() for x in (w, mask(c))])
+    pro = F.create_map(*[F.lit(x) for w, m in PRONOUNS.items() for x in (w, mask(m))])
     g = governor(F.col(phrase))
     attributes, word, r = g["between"], g["word"], F.col(readings)
     governed, subject = gov[word], pro[word]
@@ -171,7 +166,7 @@ def governed_outcomes(pairs: DataFrame, readings: DataFrame) -> DataFrame:
 def classes(readings: DataFrame) -> DataFrame:
     """(set, n, readings): sets of readings by how many words have them, the commonest first; ties in order of the sets."""
     sets = readings.groupBy(F.array_sort("readings").alias("readings")).agg(F.count("*").alias("n"))
-    return sets.select((F.row_number().over(Window.orderBy(F.desc("n"), "readings")) - 1).alias("set"), "n", "readings")
+    return rank_all(sets, F.desc("n"), F.asc("readings"), name="set").select("set", "n", "readings")
 
 
 def comma_kind(readings: Column) -> Column:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..data import GOVERNS, PRONOUNS, SUBORDINATING
+from ..functions import text as X
 from ..tables import ready
 
 
@@ -22,26 +25,70 @@ def facts_of(df: DataFrame, s: str, r: str, o: str) -> DataFrame:
     return df.select(F.col(s).cast("string").alias("s"), F.lit(r).alias("r"), F.col(o).cast("string").alias("o")).where("s <> o").distinct()
 
 
-def bodies(facts: DataFrame, two: bool = True, max_pairs: int = 3_000_000) -> DataFrame:
+def steps(facts: DataFrame) -> DataFrame:
+    """(step, a, b): every relation forwards, and backwards with a ~."""
+    return facts.select(F.col("r").alias("step"), F.col("s").alias("a"), F.col("o").alias("b")).union(facts.select(F.concat(F.lit("~"), "r"), "o", "s"))
+
+
+def bodies(facts: DataFrame, two: bool = True, paths: DataFrame | None = None) -> DataFrame:
     """(body, x, y): what one atom, or two on a shared entity, connect; ~ marks a relation read backwards.
 
-    A body of two atoms that would join more than ``max_pairs`` rows says nothing and is left out; its size is summed
-    from the degrees of the shared entities before anything is joined.
+    ``paths`` (s1, s2), where given, are the bodies of two atoms that are wanted.
     """
-    steps = facts.select(F.col("r").alias("step"), F.col("s").alias("a"), F.col("o").alias("b")).union(facts.select(F.concat(F.lit("~"), "r"), "o", "s"))
-    one = steps.select(F.col("step").alias("body"), F.col("a").alias("x"), F.col("b").alias("y"))
+    step = steps(facts)
+    one = step.select(F.col("step").alias("body"), F.col("a").alias("x"), F.col("b").alias("y"))
     if not two:
         return one.distinct()
-    l, r = steps.select(F.col("step").alias("s1"), F.col("a").alias("x"), F.col("b").alias("z")), steps.select(F.col("step").alias("s2"), F.col("a").alias("z"), F.col("b").alias("y"))
-    reach = l.groupBy("s1", "z").agg(F.count("*").alias("n1")).join(r.groupBy("s2", "z").agg(F.count("*").alias("n2")), "z")
-    small = reach.groupBy("s1", "s2").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).where(F.col("n") <= max_pairs).select("s1", "s2")
-    both = l.join(small, "s1").join(r, ["s2", "z"]).where("x <> y").select(F.concat_ws(" ", "s1", "s2").alias("body"), "x", "y")
-    return one.union(both).distinct()
+    l, r = step.select(F.col("step").alias("s1"), F.col("a").alias("x"), F.col("b").alias("z")), step.select(F.col("step").alias("s2"), F.col("a").alias("z"), F.col("b").alias("y"))
+    both = l.join(r, "z") if paths is None else l.join(paths, "s1").join(r, ["s2", "z"])
+    return one.union(both.where("x <> y").select(F.concat_ws(" ", "s1", "s2").alias("body"), "x", "y")).distinct()
+
+
+def code_bits(n: int, k: int) -> float:
+    """Bits that say which k of n hold."""
+    return math.log2(n + 1) + (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
 
 
 def code_gain(n: int, k: int, bits: float, fact_bits: float) -> float:
     """Bits saved by stating k of n facts through a rule rather than one by one."""
-    return k * fact_bits - bits - math.log2(n + 1) - (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
+    return k * fact_bits - bits - code_bits(n, k)
+
+
+def _body_counts(facts: DataFrame, two: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((body, size), (head, body, pca_size), (head, body, support)) of all bodies.
+
+    Where an x has one z, or a y has one, a body of two atoms connects each pair once, so its pairs are counted from the degrees of
+    the shared entities, however many they are; only the others are made.  Support starts from the facts of the head.
+    """
+    step = steps(facts)
+    head = facts.select(F.col("r").alias("head"), F.col("s").alias("x"), F.col("o").alias("y"))
+    known = head.select("head", "x").distinct()
+    one = step.select(F.col("step").alias("body"), F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    size = one.groupBy("body").agg(F.count("*").alias("size"))
+    pca = one.join(known, "x").groupBy("head", "body").agg(F.count("*").alias("pca_size"))
+    support = one.join(head, ["x", "y"]).groupBy("head", "body").agg(F.count("*").alias("support"))
+    if not two:
+        return size, pca, support
+    degree = step.groupBy("step", "a").agg(F.count("*").alias("n")).groupBy("step").agg((F.max("n") == 1).alias("single"))  # a row per relation
+    l = step.select(F.col("step").alias("s1"), F.col("a").alias("x"), F.col("b").alias("z"))
+    r = step.select(F.col("step").alias("s2"), F.col("a").alias("z"), F.col("b").alias("y"))
+    back = degree.select(F.when(F.col("step").startswith("~"), F.expr("substring(step, 2)")).otherwise(F.concat(F.lit("~"), "step")).alias("s2"), F.col("single").alias("back"))
+    n2 = r.groupBy("s2", "z").agg(F.count("*").alias("n2")).join(F.broadcast(back), "s2")
+    n1 = l.groupBy("s1", "z").agg(F.count("*").alias("n1")).join(F.broadcast(degree.select(F.col("step").alias("s1"), "single")), "s1")
+    met = n1.join(n2, "z")
+    body = F.concat_ws(" ", "s1", "s2").alias("body")
+    counted, made = F.col("single") | F.col("back"), met.where(~(F.col("single") | F.col("back"))).select("s1", "s2").distinct()
+    loops = l.join(r.withColumnRenamed("y", "x"), ["z", "x"]).select("s1", "s2", "x")
+    less = loops.groupBy("s1", "s2").agg(F.count("*").alias("less"))
+    size2 = met.where(counted).groupBy("s1", "s2").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).join(less, ["s1", "s2"], "left").select(body, (F.col("n") - F.coalesce("less", F.lit(0))).alias("size"))
+    of_known = l.join(known, "x").groupBy("head", "s1", "z").agg(F.count("*").alias("n1")).join(F.broadcast(degree.select(F.col("step").alias("s1"), "single")), "s1").join(n2, "z").where(counted)
+    less_known = loops.join(known, "x").groupBy("head", "s1", "s2").agg(F.count("*").alias("less"))
+    pca2 = of_known.groupBy("head", "s1", "s2").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).join(less_known, ["head", "s1", "s2"], "left").select("head", body, (F.col("n") - F.coalesce("less", F.lit(0))).alias("pca_size"))
+    pairs = bodies(facts, True, made).where("body LIKE '% %'")
+    size2 = size2.union(pairs.groupBy("body").agg(F.count("*").alias("size"))).where("size > 0")
+    pca2 = pca2.union(pairs.join(known, "x").groupBy("head", "body").agg(F.count("*").alias("pca_size"))).where("pca_size > 0")
+    support2 = head.where("x <> y").join(l, "x").join(r, ["z", "y"]).select("head", body, "x", "y").distinct().groupBy("head", "body").agg(F.count("*").alias("support"))
+    return size.union(size2), pca.union(pca2), support.union(support2)
 
 
 def mine_rules(facts: DataFrame, two: bool = True, min_support: int = 5, min_pca: float = 0.3) -> DataFrame:
@@ -51,17 +98,12 @@ def mine_rules(facts: DataFrame, two: bool = True, min_support: int = 5, min_pca
     """
     entities = facts.select(F.explode(F.array("s", "o")).alias("e")).distinct().count()
     relations = facts.select("r").distinct().count()
-    b = bodies(facts, two)
-    size = b.groupBy("body").agg(F.count("*").alias("size"))
-    head = facts.select(F.col("r").alias("head"), F.col("s").alias("x"), F.col("o").alias("y"))
-    support = b.join(head, ["x", "y"]).groupBy("head", "body").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
-    known = head.select("head", "x").distinct()
-    pca = b.join(known, "x").groupBy("head", "body").agg(F.count("*").alias("pca_size"))
-    heads = head.groupBy("head").agg(F.count("*").alias("head_size"))
-    j = support.join(pca, ["head", "body"]).join(size, "body").join(heads, "head").where(F.col("body") != F.col("head"))
+    size, pca, support = _body_counts(facts, two)
+    heads = facts.groupBy(F.col("r").alias("head")).agg(F.count("*").alias("head_size"))
+    j = support.where(F.col("support") >= min_support).join(pca, ["head", "body"]).join(size, "body").join(heads, "head").where(F.col("body") != F.col("head"))
     scored = j.withColumn("p", F.col("support") / F.col("pca_size")).where(F.col("p") >= min_pca)
     fact_bits = 2 * math.log2(max(entities, 2))
-    bits = {1: math.log2(relations * 2 * relations), 2: math.log2(relations * (2 * relations) ** 2)}
+    bits = {1: math.log2(max(relations * 2 * relations, 1)), 2: math.log2(max(relations * (2 * relations) ** 2, 1))}
 
     @F.pandas_udf("double")
     def gain(n: pd.Series, k: pd.Series, atoms: pd.Series) -> pd.Series:
@@ -72,41 +114,85 @@ def mine_rules(facts: DataFrame, two: bool = True, min_support: int = 5, min_pca
     return g.select("head", "body", "support", "size", "pca_size", r6(F.col("support") / F.col("head_size")).alias("head_coverage"), r6(F.col("support") / F.col("size")).alias("confidence"), r6("p").alias("pca"), r6((F.col("support") + 1) / (F.col("pca_size") + 2)).alias("prob"), "gain")
 
 
-def exceptions(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(head, body, side, has, n, k): for each rule the condition on an end under which it fails most; one per rule."""
-    b = bodies(facts).join(rules.select("head", "body").distinct(), "body")
-    known = facts.select(F.col("r").alias("head"), F.col("s").alias("x")).distinct()
-    right = facts.select(F.col("r").alias("head"), F.col("s").alias("x"), F.col("o").alias("y"), F.lit(1).alias("ok"))
-    judged = b.join(known, ["head", "x"], "left_semi").join(right, ["head", "x", "y"], "left").withColumn("ok", F.coalesce("ok", F.lit(0)))
-    has = facts.select(F.col("s").alias("e"), F.col("r").alias("has")).distinct()
-    ends = judged.select("head", "body", "ok", "x", "y", F.explode(F.array(F.struct(F.lit("X").alias("side"), F.col("x").alias("e")), F.struct(F.lit("Y").alias("side"), F.col("y").alias("e")))).alias("z")).select("head", "body", "ok", "z.side", "z.e")
-    tally = ends.join(has, "e").where(F.col("has") != F.col("head")).groupBy("head", "body", "side", "has").agg(F.count("*").alias("n"), F.sum("ok").alias("k"))
-    worst = tally.withColumn("rate", F.round(F.col("k") / F.col("n"), 9)).groupBy("head", "body").agg(F.min(F.struct("rate", (-F.col("n")).alias("m"), "side", "has", "n", "k")).alias("w"))
-    return worst.select("head", "body", "w.side", "w.has", "w.n", F.col("w.k").alias("k"))
+def conditions(facts: DataFrame) -> DataFrame:
+    """(e, how, rel): what can be said of an entity: it has a relation as a subject, or is in one as an object."""
+    return facts.select(F.col("s").alias("e"), F.lit("has").alias("how"), F.col("r").alias("rel")).union(facts.select("o", F.lit("is"), "r")).distinct()
+
+
+def exceptions(facts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(head, body, side, how, rel, n, k, rest_n, rest_k, bits, base, pays): for each rule the condition that makes its misses most predictable.
+
+    A condition is of X, of Y, or of every Z that joins them, and must hold where the rule fails more than elsewhere.  ``bits`` say which
+    predictions hit with the condition, ``base`` without; the exception pays where they are fewer.
+    """
+    step = steps(facts)
+    atom = lambda name, x, y: step.where(F.col("step") == name).select(F.col("a").alias(x), F.col("b").alias(y))
+    right = facts.select(F.col("r").alias("head"), F.col("s").alias("x"), F.col("o").alias("y"), F.lit(1).alias("ok")).distinct()
+    known = right.select("head", "x").distinct()
+    each = []
+    for head, body in rules:
+        names = body.split(" ")
+        pairs = atom(names[0], "x", "y").withColumn("z", F.lit(None).cast("string")) if len(names) == 1 else atom(names[0], "x", "z").join(atom(names[1], "z", "y"), "z").where("x <> y").select("x", "y", "z")
+        each.append(pairs.select(F.lit(head).alias("head"), F.lit(body).alias("body"), "x", "y", "z").distinct())
+    paths = reduce(DataFrame.union, each).join(known, ["head", "x"], "left_semi").join(right, ["head", "x", "y"], "left").withColumn("ok", F.coalesce("ok", F.lit(0)))
+    judged = paths.select("head", "body", "x", "y", "ok").distinct()
+    cond = conditions(facts)
+    end = lambda side: judged.join(cond.withColumnRenamed("e", side), side).select("head", "body", F.lit(side.upper()).alias("side"), "how", "rel", "ok")
+    joints = paths.where("z IS NOT NULL").groupBy("head", "body", "x", "y").agg(F.count("*").alias("zs"))
+    middle = paths.where("z IS NOT NULL").join(cond.withColumnRenamed("e", "z"), "z").groupBy("head", "body", "x", "y", "ok", "how", "rel").agg(F.count("*").alias("n")).join(joints, ["head", "body", "x", "y"]).where("n = zs").select("head", "body", F.lit("Z").alias("side"), "how", "rel", "ok")
+    tally = end("x").union(end("y")).union(middle).groupBy("head", "body", "side", "how", "rel").agg(F.count("*").alias("n"), F.sum("ok").alias("k"))
+    every = judged.groupBy("head", "body").agg(F.count("*").alias("all_n"), F.sum("ok").alias("all_k"))
+    own = math.log2(3 * 2 * max(facts.select("r").distinct().count(), 1))
+
+    @F.pandas_udf("double")
+    def bits(n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([code_bits(int(a), int(c)) for a, c in zip(n, k)])
+
+    rest_n, rest_k = F.col("all_n") - F.col("n"), F.col("all_k") - F.col("k")
+    fails = tally.join(every, ["head", "body"]).where((F.col("n") < F.col("all_n")) & (F.col("k") * rest_n <= rest_k * F.col("n"))).withColumns({"rest_n": rest_n, "rest_k": rest_k})
+    priced = fails.withColumn("bits", F.round(F.lit(own) + bits("n", "k") + bits("rest_n", "rest_k"), 6)).withColumn("base", F.round(bits("all_n", "all_k"), 6))
+    best = priced.groupBy("head", "body").agg(F.min(F.struct("bits", "side", "how", "rel", "n", "k", "rest_n", "rest_k", "base")).alias("w"))
+    return best.select("head", "body", "w.side", "w.how", "w.rel", "w.n", F.col("w.k").alias("k"), "w.rest_n", "w.rest_k", "w.bits", "w.base", (F.col("w.bits") < F.col("w.base")).alias("pays"))
 
 
-def closure(facts: DataFrame, rules: list[tuple[str, str, float]], most: int = 20) -> DataFrame:
-    """(s, r, o, credence): facts and what rules (head, body, prob) conclude from them, to a fixed point.
+def closure(facts: DataFrame, rules: list[tuple], most: int = 100) -> DataFrame:
+    """(s, r, o, credence): facts and what rules (head, body, prob[, (side, how, rel)]) conclude from them, to a fixed point.
 
-    A conclusion's credence is the rule's times its premises'; of several the best holds.  Each round joins once, is
-    cut from its lineage by a checkpoint, and the rounds end when no fact is new.
+    A conclusion's credence is the rule's times its premises'; of several the best holds.  The fourth part of a rule is its
+    exception: it does not apply where X, Y or Z has, or is in, that relation.  A round joins only what the last one made or raised
+    with all that is known, is cut from its lineage by a checkpoint, and the rounds end when nothing is new; ``most`` of them
+    without an end are an error.
     """
     ready(facts.sparkSession)
-    known = facts.select("s", "r", "o", F.lit(1.0).alias("credence"))
-    count = known.count()
+    known = facts.select("s", "r", "o").distinct().withColumn("credence", F.lit(1.0)).checkpoint()
+    fresh = known
     for _ in range(most):
-        made = known
-        for head, body, prob in rules:
-            atoms = body.split(" ")
-            step = lambda a, x, y, c: known.where(F.col("r") == a.lstrip("~")).select(F.col("o" if a.startswith("~") else "s").alias(x), F.col("s" if a.startswith("~") else "o").alias(y), F.col("credence").alias(c))  # noqa: B023, E731
-            pairs = step(atoms[0], "x", "y", "c1") if len(atoms) == 1 else step(atoms[0], "x", "z", "c1").join(step(atoms[1], "z", "y", "c2"), "z").withColumn("c1", F.col("c1") * F.col("c2"))
-            made = made.union(pairs.where("x <> y").select(F.col("x"), F.lit(head), F.col("y"), F.lit(prob) * F.col("c1")))
-        known = made.groupBy("s", "r", "o").agg(F.max("credence").alias("credence")).checkpoint()
-        now = known.count()
-        if now == count:
-            break
-        count = now
-    return known.select("s", "r", "o", F.round("credence", 9).alias("credence"))
+        cond = conditions(known)
+        made = []
+        for head, body, prob, *unless in rules:
+            names = body.split(" ")
+
+            def atom(of: DataFrame, name: str, x: str, y: str, c: str) -> DataFrame:
+                a, b = ("o", "s") if name.startswith("~") else ("s", "o")
+                return of.where(F.col("r") == name.lstrip("~")).select(F.col(a).alias(x), F.col(b).alias(y), F.col("credence").alias(c))
+
+            if len(names) == 1:
+                pairs = atom(fresh, names[0], "x", "y", "c").withColumn("z", F.lit(None).cast("string"))
+            else:
+                of = lambda l, r: atom(l, names[0], "x", "z", "c1").join(atom(r, names[1], "z", "y", "c2"), "z").select("x", "y", (F.col("c1") * F.col("c2")).alias("c"), "z")  # noqa: B023, E731
+                pairs = of(fresh, known).union(of(known, fresh))
+            pairs = pairs.where("x <> y")
+            for side, how, rel in unless:
+                hit = cond.where((F.col("how") == how) & (F.col("rel") == rel)).select(F.col("e").alias(side.lower()))
+                pairs = pairs.join(hit, side.lower(), "left_anti")
+            made.append(pairs.select(F.col("x").alias("s"), F.lit(head).alias("r"), F.col("y").alias("o"), (F.lit(prob) * F.col("c")).alias("credence")))
+        best = reduce(DataFrame.union, made).groupBy("s", "r", "o").agg(F.max("credence").alias("credence"))
+        # a fact that was given keeps its credence of 1
+        fresh = best.join(known.select("s", "r", "o", F.col("credence").alias("had")), ["s", "r", "o"], "left").where("had IS NULL OR credence > had").select("s", "r", "o", "credence").checkpoint()
+        if not fresh.count():
+            return known.select("s", "r", "o", F.round("credence", 9).alias("credence"))
+        known = known.union(fresh).groupBy("s", "r", "o").agg(F.max("credence").alias("credence")).checkpoint()
+    raise ValueError(f"no fixed point after {most} rounds")
 
 
 # Sentence trees
@@ -142,16 +228,69 @@ def spans(e: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(reach("heads")).alias("z")).select("id", "z.pos", "z.lo", "z.hi")
 
 
+# Own word lists of the shallow parser.
+ADPOSITIONS = [*GOVERNS, *"of in on for with from after under through between without near auf in mit nach für ohne unter durch zwischen vor de dans sur avec sans sous pour après entre en con sin bajo para por tras em com sem sob após".split()]
+COORDINATING = "и или а но and or but und oder aber et ou mais y o pero e mas".split()
+JOINERS = [*SUBORDINATING, *"that when if although while weil damit dass wenn obwohl que quand si comme cuando porque mientras quando enquanto embora".split()]
+SUBJECTS = [*PRONOUNS, *"i you he she it we they nobody ich du er sie es wir man niemand je tu il elle on nous vous ils personne yo él ella nosotros ellos nadie eu ele ela nós eles ninguém".split()]
+VERB_ENDS, ADJECTIVE_ENDS = "(ет|ит|ал|ил|ла|ли|ут|ют|ts|es|ed|et|te|ent|aba|ió|ou|ava)$", "(ый|ий|ая|ое|ые|ous|ful|less|ige|iche|able|oso|osa)$"
+
+
+def shallow(sents: DataFrame, id_col: str = "sent_id", text: str = "text") -> DataFrame:
+    """(id, pos, word, head, rel, upos, form, chance, comma): a rough parse of each sentence, by word lists and endings, for data that comes without parses.
+
+    The first verb, or else the first word, is the root; prepositions, adjectives and joining words hang on the next word, all others on
+    the root.  ``comma`` says whether a comma stands before the word in the text.  A sentence delivered twice counts once.
+    """
+    tok = F.col("toks")
+    marked = F.transform(tok, lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get(tok, i - 1) == ",", F.lit(False)).alias("comma")))
+    listed = lambda w, ws: w.isin(*sorted(set(ws)))
+    tag = lambda w: (
+        F.when(listed(w, COORDINATING), "CCONJ").when(listed(w, JOINERS), "SCONJ").when(listed(w, ADPOSITIONS), "ADP").when(listed(w, SUBJECTS), "PRON").when(w.rlike(VERB_ENDS), "VERB").when(w.rlike(ADJECTIVE_ENDS), "ADJ").otherwise("NOUN")
+    )
+    once = sents.select(F.col(id_col).alias("id"), F.col(text).alias("text")).distinct()
+    read = once.withColumn("toks", X.words_and_marks(F.col("text"))).select("id", F.filter(marked, lambda z: X.is_word(z["word"])).alias("ws"))
+    tagged = read.withColumn("tags", F.transform("ws", lambda z: tag(z["word"]))).withColumn("root", F.coalesce(F.nullif(F.array_position("tags", "VERB"), F.lit(0)), F.lit(1)).cast("int"))
+    each = tagged.select("id", "root", "tags", F.size("ws").alias("n"), F.posexplode("ws").alias("i", "z")).select("id", "root", "n", (F.col("i") + 1).alias("pos"), "z.word", "z.comma", F.get("tags", F.col("i")).alias("upos"), F.when(F.col("i") > 0, F.get("tags", F.col("i") - 1)).alias("prev"))
+    leans = F.col("upos").isin("ADP", "ADJ", "CCONJ", "SCONJ")
+    is_root = F.col("pos") == F.col("root")
+    head = F.when(is_root, 0).when(leans & (F.col("pos") < F.col("n")), F.col("pos") + 1).otherwise(F.col("root"))
+    rel = (
+        F.when(is_root, "root").when(F.col("upos") == "ADP", "case").when(F.col("upos") == "ADJ", "amod").when(F.col("upos") == "CCONJ", "cc").when(F.col("upos") == "SCONJ", "mark")
+        .when(F.col("upos") == "VERB", F.when(F.col("prev") == "CCONJ", "conj").when(F.col("prev") == "SCONJ", "advcl").otherwise("parataxis"))
+        .when(F.col("pos") < F.col("root"), "nsubj").when(F.col("prev") == "ADP", "obl").otherwise("obj")
+    )
+    return each.select("id", "pos", "word", head.cast("int").alias("head"), rel.alias("rel"), "upos", F.when(F.col("upos") == "VERB", "fin").otherwise("").alias("form"), F.lit(0.9).alias("chance"), "comma")
+
+
 PART_STARTS = ("root", "ccomp", "advcl", "acl", "acl:relcl", "conj", "parataxis")
 
 
-def parts(e: DataFrame, starts: tuple[str, ...] = PART_STARTS, deepest: int = 40) -> DataFrame:
-    """(id, pos, part): each word's part of the sentence, named by the nearest word upwards that starts one."""
-    begins = F.col("rel").isin(*starts)
-    top = e.select("id", "pos", F.when(begins | (F.col("head") == 0), F.col("pos")).alias("part"), "head")
-    m = top.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "head"))).alias("up"), F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("part", F.lit(0))))).alias("own"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), F.col("pos"), lambda at, _: F.when((F.coalesce(F.col("own")[at], F.lit(0)) > 0) | (at == 0), at).otherwise(F.coalesce(F.col("up")[at], F.lit(0))))
-    return top.select("id", "pos").join(m, "id").select("id", "pos", walk.alias("part"))
+def parts(e: DataFrame, starts: tuple[str, ...] = PART_STARTS) -> DataFrame:
+    """(id, pos, part): each word's part of the sentence, named by the nearest word upwards that starts one.
+
+    A word whose way up never reaches the root (a circle) has part 0.  The walk is over one sentence's arrays, as long as the sentence.
+    """
+    begins = F.col("rel").isin(*starts) | (F.col("head") == 0)
+    rows = e.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "head", begins.alias("begins")))).alias("w"))  # one sentence
+
+    @F.pandas_udf("array<struct<pos:int,part:int>>")
+    def climb(sentences: pd.Series) -> pd.Series:
+        out = []
+        for ws in sentences:
+            up, part = {w["pos"]: w["head"] for w in ws}, {w["pos"]: w["pos"] for w in ws if w["begins"]}
+            for w in up:
+                way, at = [], w
+                while at not in part and at in up:
+                    way.append(at)
+                    part[at] = 0  # met again on the same way: a circle
+                    at = up[at]
+                found = part.get(at, 0)
+                part.update(dict.fromkeys(way, found))
+            out.append([{"pos": p, "part": part[p]} for p in up])
+        return pd.Series(out)
+
+    return rows.select("id", F.explode(climb("w")).alias("z")).select("id", "z.pos", "z.part")
 
 
 def bound_scores(found: DataFrame, gold: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..tables import rank_all
 
 # Words that are often run together.
 GLUED = ("вобщем", "вообщем", "впринципе", "всмысле", "впорядке", "вообщето", "тоесть", "чтоли", "какбы", "ачем", "тото", "втом")
@@ -70,9 +71,14 @@ def with_yo_variants(counts: DataFrame) -> DataFrame:
 
 
 def priors(counts: DataFrame) -> DataFrame:
-    """(lang, word, prior_milli, rk): prices by language; rank 1 is the commonest."""
+    """(lang, word, count, prior_milli): prices by language."""
     total = counts.groupBy("lang").agg(F.sum("count").alias("total"))
-    return counts.join(F.broadcast(total), "lang").select("lang", "word", N.prior_milli(F.col("count"), F.col("total")).alias("prior_milli"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")).alias("rk"))
+    return counts.join(F.broadcast(total), "lang").select("lang", "word", "count", N.prior_milli(F.col("count"), F.col("total")).alias("prior_milli"))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """The same with rk: rank 1 is the commonest of its language, ties in order of the words."""
+    return rank_all(priors(counts), F.desc("count"), F.asc("word"), by=("lang",), first=1)
 
 
 def is_offensive(word: Column, prefixes: list[str], exact: list[str]) -> Column:
@@ -87,11 +93,15 @@ def contaminated(own: DataFrame, foreign: DataFrame, ratio: float = 10.0) -> Dat
     return own.select("word", F.col("count").alias("own_n")).join(foreign.select("word", F.col("count").alias("foreign_n")), "word").where(F.col("foreign_n") >= ratio * F.col("own_n"))
 
 
-def ocr_errors(counts: DataFrame, letters: str = "lI1", times: int = 5) -> DataFrame:
-    """Words a single substitution away from one that is ``times`` times commoner, by a deletion key at the same place."""
+def ocr_errors(counts: DataFrame, letters: str | None = None, times: int = 5) -> DataFrame:
+    """Words a single substitution away from one that is ``times`` times commoner, by a key with the letter cut out.
+
+    With ``letters`` only places that hold one of them, in the rarer word, count.
+    """
     keyed = counts.select("lang", "word", "count", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).withColumn("key", F.concat(F.expr("substring(word, 1, i - 1)"), F.lit("_"), F.expr("substring(word, i + 1)")))
     best = keyed.groupBy("lang", "key").agg(F.max("count").alias("best"))
-    return keyed.join(best, ["lang", "key"]).where(F.col("best") >= times * F.col("count")).groupBy("lang", "word", "count").agg(F.max("best").alias("best"))
+    wrong = keyed if letters is None else keyed.where(F.expr("substring(word, i, 1)").isin(*letters))
+    return wrong.join(best, ["lang", "key"]).where(F.col("best") >= times * F.col("count")).groupBy("lang", "word", "count").agg(F.max("best").alias("best"))
 
 
 def minority_spellings(counts: DataFrame) -> DataFrame:
@@ -126,8 +136,10 @@ def factored_priors(words: DataFrame, exact: int = 1000, step: float = 0.05) ->
     made = steps(F.ln("total") - F.ln(F.col("lc") + 0.5)) + steps(-F.ln((F.col("used") + 0.5) / (F.col("offered") + 1)))
     true = F.ln("total") - F.ln(F.col("count") + 0.5)
     out = j.select("lang", "word", "lemma", "slot", F.round(made * 1000).cast("int").alias("milli"), F.round(F.col("count") * F.abs(made - true), 3).alias("loss"))
+    # the ``exact`` largest of each language: a limit by group that keeps that many rows of a task before it shuffles
     rn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("loss"), "word", "slot"))
-    return out.withColumn("exact", rn <= exact)
+    largest = out.withColumn("rn", rn).where(F.col("rn") <= exact).select("lang", "word", "lemma", "slot", F.lit(True).alias("exact"))
+    return out.join(largest, ["lang", "word", "lemma", "slot"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
 
 
 def inflect_by_analogy(new: DataFrame, paradigm: DataFrame) -> DataFrame:

@@ -12,14 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that a rule speaks of.
-ADVERSATIVE = ("а", "но", "однако", "зато")
-SUBORDINATING = ("когда", "если", "хотя", "чтобы", "потому", "пока", "как", "словно", "будто")
-PARENTHETICAL = ("конечно", "кажется", "наверное", "возможно", "например", "пожалуй", "видимо", "вероятно", "кстати", "впрочем")
-INTERJECTIONS = ("о", "ах", "эй", "ой", "увы", "ну", "блин", "ура")
-ASKING = ("кто", "что", "где", "когда", "куда", "откуда", "почему", "зачем", "как", "какой", "сколько", "чей")
-GERUND_IDIOMS = (("сложа", "руки"), ("спустя", "рукава"), ("не", "покладая"))
-ORDER = ("interjection first", "gerund", "participle after", "relative", "subordinate first", "subordinate", "advcl", "ccomp", "address", "parenthetical", "interjection", "despite", "adversative", "listed", "clauses", "repeated")
+from ..data import ADVERSATIVE, APART_MORE, ASIDE_FIRST, ASIDE_PHRASES, ASKING, GERUND_IDIOMS, INTERJECTIONS, JOINING, PAREN_PHRASES, PARENTHETICAL, QUESTION, SAYING, SUBORDINATING
+
+ORDER = (
+    "aside first", "interjection first", "gerund idiom", "gerund", "participle after", "relative", "subordinate first", "subordinate", "advcl", "ccomp", "address",
+    "parenthetical", "apart word", "interjection", "apart at the start", "said", "aside", "despite", "adversative", "listed", "clauses", "repeated", "set phrase", "set aside",
+)
 
 
 def with_reach(e: DataFrame, reach: DataFrame) -> DataFrame:
@@ -50,31 +48,55 @@ def place(e: DataFrame) -> DataFrame:
     ccw = F.get(cc, 0)["word"]
     own_subjects = clause & has("kids", "nsubj") & has("sisters", "nsubj") & ~F.exists("sisters", lambda z: (z["pos"] < head) & ~z["rel"].isin("nsubj", "cc", "punct", "mark"))
     twice = F.exists("sisters", lambda z: (z["pos"] < head) & (z["rel"] == "cc") & (z["word"] == ccw))
-    around, left_only = F.array(lo, hi + 1), lambda c: F.array(c)
-    advcl = (rel == "advcl") & ~gerund
+    around, left_only, nowhere = F.array(lo, hi + 1), lambda c: F.array(c), F.array().cast("array<int>")
+    advcl, leaf = (rel == "advcl") & ~gerund, F.size("kids") == 0
+    opens = (pos == 1) & (F.col("n") > 1) & leaf & ~rel.isin("case", "det", "amod", "nummod", "fixed", "flat", "compound")
+    adversative = ccw.isin(*ADVERSATIVE) & ~ccw.isin(*JOINING)
+    said = reduce(lambda a, b: a | b, [word.startswith(x) for x in SAYING])
     rules: list[tuple[str, Column, Column]] = [
-        ("interjection first", (pos == 1) & word.isin(*INTERJECTIONS) & (F.size("kids") == 0) & (F.col("n") > 1), left_only(F.lit(2))),
-        ("gerund", (rel == "advcl") & gerund & ~F.coalesce(idiom, F.lit(False)), around),
-        ("participle after", (rel == "acl") & (F.col("form") == "part") & (lo > head), around),
+        ("aside first", opens & word.isin(*ASIDE_FIRST), left_only(F.lit(2))),
+        ("interjection first", opens & word.isin(*INTERJECTIONS), left_only(F.lit(2))),
+        ("gerund idiom", (rel == "advcl") & gerund & F.coalesce(idiom, F.lit(False)), nowhere),
+        ("gerund", (rel == "advcl") & gerund, around),
+        ("participle after", (rel == "acl") & (F.col("form") == "part"), F.when(lo > head, around).otherwise(nowhere)),
         ("relative", rel.isin("acl", "acl:relcl") & (F.col("form") != "part") & clause, around),
         ("subordinate first", advcl & clause & joined & (lo == 1), around),
         ("subordinate", advcl & clause & joined & (lo > 1), around),
         ("advcl", advcl & clause & ~joined, around),
         ("ccomp", (rel == "ccomp") & clause, around),
         ("address", rel == "vocative", around),
-        ("parenthetical", rel.isin("discourse", "parataxis", "advmod") & word.isin(*PARENTHETICAL), around),
-        ("interjection", rel.isin("discourse", "parataxis") & word.isin(*INTERJECTIONS) & (pos > 1), around),
+        ("parenthetical", (rel == "parataxis") & word.isin(*PARENTHETICAL), around),
+        ("apart word", ((rel == "discourse") & word.isin(*INTERJECTIONS)) | ((rel == "parataxis") & word.isin(*APART_MORE)), around),
+        ("interjection", leaf & rel.isin("discourse", "parataxis") & (F.col("upos") == "INTJ"), around),
+        ("apart at the start", leaf & (rel == "parataxis") & (lo == 1) & (head > 1), around),
+        ("said", (rel == "parataxis") & (lo > head) & said, around),
+        ("aside", rel.isin("parataxis", "appos"), nowhere),  # dash, colon or brackets as often: the writer's
         ("despite", rel.isin("obl", "advcl") & F.exists("kids", lambda z: z["word"] == "несмотря"), around),
-        ("adversative", (rel == "conj") & F.coalesce(ccw.isin(*ADVERSATIVE), F.lit(False)), left_only(start)),
+        ("adversative", (rel == "conj") & F.coalesce(adversative, F.lit(False)), left_only(start)),
         ("listed", (rel == "conj") & ccw.isNull(), left_only(start)),
-        ("clauses", (rel == "conj") & ccw.isNotNull() & ~ccw.isin(*ADVERSATIVE) & own_subjects, left_only(start)),
-        ("repeated", (rel == "conj") & ccw.isNotNull() & ~ccw.isin(*ADVERSATIVE) & twice, left_only(start)),
+        ("clauses", (rel == "conj") & own_subjects, left_only(start)),
+        ("repeated", (rel == "conj") & twice, left_only(start)),
     ]
     # a word speaks by the first rule that fits it
     fits = reduce(lambda acc, r: F.when(F.coalesce(r[1], F.lit(False)), F.struct(F.lit(ORDER.index(r[0])).alias("k"), F.lit(r[0]).alias("rule"), r[2].alias("at"))).otherwise(acc), reversed(rules), F.lit(None).cast("struct<k:int,rule:string,at:array<int>>"))
-    put = x.withColumn("f", fits).where("f IS NOT NULL").select("id", "n", "f.k", "f.rule", F.col("pos").alias("by"), "chance", F.explode("f.at").alias("before")).where((F.col("before") >= 2) & (F.col("before") <= F.col("n")))
-    rn = F.row_number().over(Window.partitionBy("id", "before").orderBy("by", "k"))
-    return put.withColumn("rn", rn).where("rn = 1").select("id", "before", F.lit(",").alias("mark"), "rule", "by", "chance")
+    put = x.withColumn("f", fits).where("f IS NOT NULL").select("id", "f.k", "f.rule", F.col("pos").alias("by"), "chance", F.explode("f.at").alias("before"))
+    every = put.unionByName(set_phrases(e)).join(n, "id").where((F.col("before") >= 2) & (F.col("before") <= F.col("n")))
+    # single words speak before set phrases, earlier words before later ones
+    first = F.min(F.struct((F.col("k") >= ORDER.index("set phrase")).alias("phrase"), "by", "k", "rule", "chance")).alias("w")
+    return every.groupBy("id", "before").agg(first).select("id", "before", F.lit(",").alias("mark"), "w.rule", "w.by", "w.chance")
+
+
+def set_phrases(e: DataFrame) -> DataFrame:
+    """(id, k, rule, by, chance, before): set phrases of several words apart; one of «по» and a noun with all that hangs on the noun."""
+    # phrases meet the sentences by their first word
+    kinds = [(p.split(" "), r) for ps, r in ((PAREN_PHRASES, "set phrase"), (ASIDE_PHRASES, "set aside")) for p in ps]
+    phrases = e.sparkSession.createDataFrame([(p[0], p, r, ORDER.index(r)) for p, r in kinds], "word string, phrase array<string>, rule string, k int")
+    words = e.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda z: z["word"]).alias("ws"))  # one sentence
+    begun = e.select("id", "pos", "word").join(F.broadcast(phrases), "word").join(words, "id")
+    whole = begun.where(F.slice("ws", F.col("pos"), F.size("phrase")) == F.col("phrase")).withColumn("by", F.col("pos") + F.size("phrase") - 1)
+    last = e.select("id", F.col("pos").alias("by"), "hi", "chance")
+    placed = whole.join(last, ["id", "by"]).withColumn("end", F.when((F.col("word") == "по") & (F.size("phrase") == 2), F.greatest("hi", "by")).otherwise(F.col("by")))
+    return placed.select("id", "k", "rule", "by", "chance", F.explode(F.array(F.col("pos"), F.col("end") + 1)).alias("before"))
 
 
 def dashes(e: DataFrame) -> DataFrame:
@@ -91,11 +113,15 @@ def dashes(e: DataFrame) -> DataFrame:
 
 
 def end_marks(e: DataFrame) -> DataFrame:
-    """(id, mark): ? where the main clause asks, else a period."""
-    root = e.where("head = 0").select("id", F.col("pos").alias("root"))
-    j = e.join(root, "id")
-    asks = ((F.col("head") == F.col("root")) & F.col("word").isin(*ASKING) & ~F.col("rel").isin("mark", "cc", "fixed")) | (F.col("word") == "ли") | ((F.col("pos") == F.col("root")) & (F.col("pos") == 1) & F.col("word").isin(*ASKING))
-    return j.groupBy("id").agg(F.when(F.max(asks.cast("int")) == 1, "?").otherwise(".").alias("mark"))
+    """(id, mark): ? where the main clause asks, by a word of its own or one that hangs on a part of it, else a period."""
+    root = e.where("head = 0").groupBy("id").agg(F.min("pos").alias("root"))
+    asking = F.col("word").isin(*ASKING) & ~F.col("rel").isin("mark", "cc", "fixed")
+    up = e.select("id", F.col("pos").alias("head"), F.col("head").alias("above"), F.col("rel").alias("up"))
+    j = e.join(root, "id").join(up, ["id", "head"], "left")
+    at_root, in_clause = F.col("pos") == F.col("root"), F.col("head") == F.col("root")
+    of_part = (F.col("above") == F.col("root")) & F.col("up").isin("obl", "obj", "nsubj", "advmod", "nmod", "iobj")
+    asks = ((at_root | in_clause) & F.col("word").isin(*QUESTION)) | (in_clause & asking) | (of_part & asking) | (at_root & (F.col("pos") == 1) & asking)
+    return j.groupBy("id").agg(F.when(F.max(F.coalesce(asks, F.lit(False)).cast("int")) == 1, "?").otherwise(".").alias("mark"))
 
 
 def parse_rows(spark, rows: list[tuple[int, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..data import COMPLETE_FROM, COMPLETE_ON_SPACE, GRAMMAR_GAP, GRAMMAR_SLIP, KNOWN_SLIP, ONE_SLIP, SPACE_EARLY, STRENGTHS
 from ..functions import numbers as N
 from ..functions import text as X
 
@@ -46,24 +47,56 @@ def lemma_fit(places: DataFrame, vectors: DataFrame) -> DataFrame:
 
 # Decisions
 
-# How much a correction may cost per letter, and its lead over the next, by strength.
-STRENGTHS = {"light": (0.8, 1.5), "normal": (1.2, 1.0), "strong": (1.7, 0.5)}
+def auto_correct(cands: DataFrame, known: DataFrame, strength: str = "normal", completions: DataFrame | None = None, rejected: DataFrame | None = None, fits: DataFrame | None = None) -> DataFrame:
+    """(qid, typed, chosen): the best candidate (qid, lang, typed, word, edit, cost) where it may replace what was typed, else what was typed.
 
-
-def auto_correct(cands: DataFrame, known: DataFrame, strength: str = "normal", margin: float = 1.0, real_edit: float = 1.6) -> DataFrame:
-    """(qid, typed, chosen): the best candidate (qid, lang, typed, word, edit, cost, rk) where it may replace what was typed, else what was typed.
-
-    It must be cheap for its length, lead the runner-up, and beat a typed word that is itself known by a margin.
+    It must be cheap for its length, lead the runner-up, and beat a typed word that is itself ``known`` (lang, word) by a margin;
+    a known word gives way to one slip only, except at strength "always".  ``completions`` (qid, word, edit, cost) that
+    add few letters compete where enough was typed.  ``rejected`` (typed, word) never come.  ``fits`` (qid, word, fit) says how
+    the grammar of the place likes the typed word and others, in nats: another form of a known word which it likes much better needs no
+    slip, and may even be a completion, for the price of an early space.  Several capitals, a letter drawn out, a
+    short token without a vowel (unless one slip from a word) and single letters are left as they are.
+    Strings without a candidate have no row; ties go in order of the words.
     """
-    per_letter, lead = STRENGTHS[strength]
-    w = Window.partitionBy("qid").orderBy("rk")
-    ranked = cands.withColumn("next", F.lead("cost").over(w)).withColumn("own", F.min(F.when(F.col("word") == F.lower("typed"), F.col("cost"))).over(Window.partitionBy("qid")))
-    best = ranked.where("rk = 1").join(known.select("lang", F.col("word").alias("low"), F.lit(True).alias("known")), (ranked["lang"] == known["lang"]) & (F.lower(ranked["typed"]) == F.col("low")), "left").drop(known["lang"])
-    fits = (F.col("edit") <= per_letter * F.greatest(F.length("typed"), F.lit(3))) & (F.col("next").isNull() | (F.col("next") - F.col("cost") >= lead))
-    real = F.col("known").isNull() | ((F.col("edit") <= real_edit) & (F.col("cost") + margin < F.col("own")))
-    shape = ~F.col("typed").rlike(r"\p{Ll}\p{Lu}") & ~(X.vowelless(F.col("typed")) & (F.length("typed") > 1))
-    take = fits & F.coalesce(real, F.lit(False)) & shape & (F.col("word") != F.lower("typed"))
-    return best.select("qid", "typed", F.when(take, X.like_typed(F.col("word"), F.col("typed"))).otherwise(F.col("typed")).alias("chosen"))
+    per_letter, lead, margin = STRENGTHS[strength]
+    low, n = F.lower("typed"), F.length(F.lower(F.col("typed")))
+    if fits is None:
+        fits = cands.sparkSession.createDataFrame([], f"qid {cands.schema['qid'].dataType.simpleString()}, word string, fit double")
+    asked = cands.select("qid", "lang", "typed").distinct().withColumn("low", low)
+    asked = asked.join(known.select("lang", F.col("word").alias("low"), F.lit(True).alias("known")).distinct(), ["lang", "low"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    asked = asked.withColumn("guarded", F.col("known") & F.lit(strength != "always")).join(fits.select("qid", F.col("word").alias("low"), F.col("fit").alias("own_fit")), ["qid", "low"], "left")
+    rows = cands.select("qid", "word", "edit", "cost", F.lit(False).alias("more"))
+    if completions is not None:
+        rows = rows.unionByName(completions.select("qid", "word", "edit", "cost", F.lit(True).alias("more")))
+    each = asked.join(rows, "qid").join(fits.select("qid", "word", "fit"), ["qid", "word"], "left")
+    if rejected is not None:
+        each = each.join(rejected.select(F.lower("typed").alias("low"), "word", F.lit(True).alias("no")).distinct(), ["low", "word"], "left").where("no IS NULL OR word = low")
+    extra = F.length("word") - F.length("low")
+    form = F.coalesce((F.col("edit") <= GRAMMAR_SLIP) & X.same_stem(F.col("low"), F.col("word")) & (F.col("fit") - F.col("own_fit") >= GRAMMAR_GAP), F.lit(False))
+    each = each.withColumn("form", form).withColumn("early", F.col("more") & F.col("guarded"))
+    finishes = extra.between(1, COMPLETE_ON_SPACE) & F.when(F.col("guarded"), F.col("form")).otherwise(F.length("low") >= COMPLETE_FROM)
+    each = each.where(~F.col("more") | finishes).withColumn("cost", F.col("cost") + F.when(F.col("early"), SPACE_EARLY).otherwise(0.0))
+    best = each.groupBy("qid", "lang", "typed", "low", "known", "guarded", "word").agg(F.min_by(F.struct("edit", "cost", "form", "early"), F.struct("cost", F.col("more").cast("int"))).alias("z"), F.min(F.when(~F.col("more"), F.col("edit"))).alias("slip"))
+    best = best.select("*", "z.edit", "z.cost", "z.form", "z.early").drop("z")
+    other = F.col("word") != F.col("low")
+    of = Window.partitionBy("qid")
+    first = of.orderBy((~other).cast("int"), "cost", "word")
+    ranked = (
+        best.withColumn("own", F.min(F.when(~other, F.col("cost"))).over(of))
+        .withColumn("near", F.min(F.when(other & F.col("slip").isNotNull(), F.struct("cost", "word", "slip"))).over(of)["slip"] <= ONE_SLIP)
+        .withColumn("next", F.lead(F.when(other, F.col("cost"))).over(first))
+        .withColumn("rn", F.row_number().over(first))
+        .where("rn = 1")
+    )
+    length = F.length("low")
+    abbreviation = length.between(2, 5) & X.vowelless(F.col("low")) & ~F.coalesce("near", F.lit(False))
+    capitals = F.length(F.regexp_replace("typed", r"\P{Lu}", "")) >= 2
+    shaped = abbreviation | capitals | X.is_drawn_out(F.col("low"))
+    cheap = (F.col("edit") <= F.lit(per_letter) * F.greatest(length, F.lit(3))) & (F.col("next").isNull() | (F.round(F.col("next") - F.col("cost"), 6) >= lead))
+    beats = F.coalesce(F.col("cost") + F.when(F.col("early"), 0.0).otherwise(margin) < F.col("own"), F.lit(False))
+    real = ~F.col("known") | (((F.col("edit") <= KNOWN_SLIP) | F.col("form") | ~F.col("guarded")) & beats)
+    take = other & (length >= 2) & ~shaped & cheap & real
+    return ranked.select("qid", "typed", F.when(take, X.like_typed(F.col("word"), F.col("typed"))).otherwise(F.col("typed")).alias("chosen"))
 
 
 def finish_word(prefixes: DataFrame, least: int = 4, most_more: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..data import COMMA_SURE, GERUND_IDIOMS
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import context as K
@@ -13,25 +14,22 @@ from . import base as B
 from .base import LEX, NB, PAIRS, S, TOK, q
 
 
-def _top(s, d):
-    return K.top_words(B.words(s, d))
-
-
 def j08_confusions(s, d):
-    return K.confusions(_top(s, d))
+    return K.confusions(B.words(s, d))
 
 
 def j10_spelling_pairs(s, d):
-    top = _top(s, d)
-    return K.spelling_pairs(top, K.confusions(top))
+    words = B.words(s, d)
+    return K.spelling_pairs(words, K.confusions(words))
 
 
 def j09_accent_groups(s, d):
-    return K.accent_groups(B.words(s, d))
+    words = B.words(s, d)
+    return K.accent_groups(words, K.spelling_pairs(words, K.confusions(words)))
 
 
 def _observed(s, d):
-    return K.observations(B.sentences(s, d), K.confusions(_top(s, d)))
+    return K.observations(B.sentences(s, d), K.confusions(B.words(s, d)))
 
 
 def a21_observations(s, d):
@@ -67,11 +65,11 @@ def l20_comma_odds(s, d):
 
 def d09_commas_to_put(s, d):
     odds = K.comma_odds(K.bare_gaps(B.sentences(s, d, heldout=True)), _commas(s, d))
-    return odds.where("odds_milli >= 0").select("lang", "a", "b", "odds_milli")
+    return odds.where((F.col("odds_milli") >= round(COMMA_SURE * 1000)) & ~F.col("b").isin(*[g for g, _ in GERUND_IDIOMS])).select("lang", "a", "b", "odds_milli")
 
 
 def a10_a12_class_pairs(s, d):
-    classes = B.words(s, d).where("count >= 1000").select("lang", "word", F.concat("lang", F.lit(":"), F.left("word", F.lit(2))).alias("cls"))
+    classes = B.words(s, d).select("lang", "word", F.concat("lang", F.lit(":"), F.left("word", F.lit(2))).alias("cls"))
     bags = C.word_tokens(B.sentences(s, d), "sent_id").join(classes, ["lang", "word"]).select(F.col("sent_id").alias("id"), "cls")
     return K.class_pairs(bags, min_pairs=20, min_pmi=0.3)
 
@@ -124,7 +122,7 @@ NAMES = (j08_confusions, j10_spelling_pairs, j09_accent_groups, a21_observations
 def sql() -> dict[str, str]:
     near = "near(x, y) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in K.near_keys()) + ")"
     fa = B.fold_accents
-    top = f"{LEX}, tw AS (SELECT * FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS rk FROM lex) WHERE rk <= 3000)"
+    top = f"{LEX}, tw AS (SELECT * FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS rk FROM lex))"
     conf = f"""{top}, {near}, hl AS (SELECT *, substr(word, i, 1) AS ch, left(word, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT *, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM tw)),
       mt AS (SELECT l.lang, l.word AS a, r.word AS b, l.ch AS x, r.ch AS y FROM hl l JOIN hl r ON l.lang = r.lang AND l.key = r.key AND l.rk < r.rk),
       db AS (SELECT h.lang, h.word AS long, h.rk AS rl, t.word, t.rk FROM hl h JOIN tw t ON t.lang = h.lang AND t.word = left(h.word, h.i - 1) || substr(h.word, h.i + 1) WHERE substr(h.word, h.i + 1, 1) = h.ch),
@@ -144,7 +142,7 @@ def sql() -> dict[str, str]:
         return f"""{B.frames_sql('s', held)}, {wm}, g0 AS (SELECT lang, sent_id, i, t, t[i] AS a FROM (SELECT *, CAST(unnest(range(1, len(t) + 1)) AS INTEGER) AS i FROM wm) WHERE {iw('t[i]')}),
           g1 AS (SELECT lang, sent_id, i, a, CASE WHEN t[i + 1] = ',' AND {iw('t[i + 2]')} THEN t[i + 2] WHEN {iw('t[i + 1]')} THEN t[i + 1] END AS b, coalesce(t[i + 1] = ',' AND {iw('t[i + 2]')}, false) AS comma,
             coalesce(list_filter(back, lambda x: x IN ('.', '!', '?') OR {iw('x')})[-1], '.') IN ('.', '!', '?') AS first,
-            list_contains(w[greatest(1, len(w) - 2):], 'и') AS and_before FROM (SELECT *, list_filter(back[coalesce(list_last(list_filter(range(1, len(back) + 1), lambda k: back[k] IN (',', '.', '!', '?'))), 0) + 1:], lambda x: {iw('x')}) AS w FROM (SELECT *, t[greatest(1, i - 16):i - 1] AS back FROM g0))),
+            list_contains(w[greatest(1, len(w) - 2):], 'и') AS and_before FROM (SELECT *, list_filter(back[coalesce(list_last(list_filter(range(1, len(back) + 1), lambda k: back[k] IN (',', '.', '!', '?'))), 0) + 1:], lambda x: {iw('x')}) AS w FROM (SELECT *, t[1:i - 1] AS back FROM g0))),
           g AS (SELECT * FROM g1 WHERE b IS NOT NULL)"""
 
     lo = lambda k, n, p: f"ln((({k} + 5 * {p}) / ({n} + 5.0)) / (1 - ({k} + 5 * {p}) / ({n} + 5.0)))"
@@ -158,20 +156,22 @@ def sql() -> dict[str, str]:
     odds = f"""WITH {gaps(False)}, {commas}, {gaps(True).replace('s AS (', 'hs AS (', 1).replace('FROM s)', 'FROM hs)').replace(' FROM s)', ' FROM hs)').replace('wm AS', 'hwm AS').replace('FROM wm)', 'FROM hwm)').replace('FROM s', 'FROM hs').replace('g0', 'hg0').replace('g1', 'hg1').replace(' g AS', ' hg AS')},
       od AS (SELECT DISTINCT p.lang, p.a, p.b, coalesce(vp.logit_milli, coalesce(va.logit_milli, v0.logit_milli) + coalesce(vb.logit_milli, v0.logit_milli) - v0.logit_milli) AS odds_milli FROM (SELECT DISTINCT lang, a, b FROM hg) p JOIN ct v0 ON v0.lang = p.lang AND v0.key = '@'
         LEFT JOIN ct vp ON vp.lang = p.lang AND vp.key = {B.fold_yo('p.a')} || ' ' || {B.fold_yo('p.b')} LEFT JOIN ct va ON va.lang = p.lang AND va.key = '<' || {B.fold_yo('p.a')} LEFT JOIN ct vb ON vb.lang = p.lang AND vb.key = '>' || {B.fold_yo('p.b')})"""
+    spell = f"""WITH {conf}, pr AS (SELECT 'ru' AS lang, * FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in K.PREPOSITIONS)}) v(x, y) UNION ALL SELECT lang, word, regexp_replace(word, 'тся$', 'ться') FROM tw WHERE word LIKE '%тся' AND lang = 'ru'),
+          rk AS (SELECT DISTINCT pr.lang, CASE WHEN a.rk < b.rk THEN x ELSE y END AS a, CASE WHEN a.rk < b.rk THEN y ELSE x END AS b FROM pr JOIN tw a ON a.lang = pr.lang AND a.word = x JOIN tw b ON b.lang = pr.lang AND b.word = y) SELECT * FROM rk ANTI JOIN (SELECT lang, a, b FROM conf UNION SELECT lang, b, a FROM conf) c USING (lang, a, b)"""
     return {
         "j08_confusions": f"WITH {conf} SELECT DISTINCT * FROM conf",
-        "j10_spelling_pairs": f"""WITH {conf}, pr AS (SELECT 'ru' AS lang, * FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in K.PREPOSITIONS)}) v(x, y) UNION ALL SELECT lang, word, regexp_replace(word, 'тся$', 'ться') FROM tw WHERE word LIKE '%тся' AND lang = 'ru'),
-          rk AS (SELECT DISTINCT pr.lang, CASE WHEN a.rk < b.rk THEN x ELSE y END AS a, CASE WHEN a.rk < b.rk THEN y ELSE x END AS b FROM pr JOIN tw a ON a.lang = pr.lang AND a.word = x JOIN tw b ON b.lang = pr.lang AND b.word = y) SELECT * FROM rk ANTI JOIN conf USING (lang, a, b)""",
-        "j09_accent_groups": f"WITH {LEX} SELECT lang, a, word AS b FROM (SELECT lang, word, first_value(word) OVER (PARTITION BY lang, {fa('word')} ORDER BY count DESC, word DESC) AS a FROM lex) WHERE a <> word",
+        "j10_spelling_pairs": spell,
+        "j09_accent_groups": f"WITH {LEX}, g AS (SELECT lang, word, count, {fa('word')} AS bare FROM lex WHERE count >= 100 AND length(word) >= 3), sp AS ({spell}) SELECT x.lang, x.word AS a, y.word AS b FROM g x JOIN g y ON x.lang = y.lang AND x.bare = y.bare AND (x.count > y.count OR (x.count = y.count AND x.word > y.word)) ANTI JOIN (SELECT lang, a, b FROM sp UNION SELECT lang, b, a FROM sp) c ON c.lang = x.lang AND c.a = x.word AND c.b = y.word",
         "a21_observations": f"WITH {obs} SELECT lang, a, b, truth, feature, count(*) AS n FROM ob GROUP BY ALL",
         "a22_decision_list": f"WITH {rules} SELECT * FROM rl",
         "l18_evidence": f"""WITH {rules}, ty AS (SELECT DISTINCT lang, a, b, sent_id || ':' || (i - 1) || ':' || a || ':' || b AS id, CASE WHEN truth = a THEN b ELSE a END AS alt, feature FROM ob WHERE starts_with(feature, 'w+1='))
-          SELECT id, max(CASE WHEN word = alt THEN strength_milli ELSE -strength_milli END) AS for_alt FROM ty JOIN rl USING (lang, a, b, feature) GROUP BY id""",
+          , ev AS (SELECT id, CASE WHEN word = alt THEN strength_milli ELSE -strength_milli END AS v FROM ty JOIN rl USING (lang, a, b, feature) UNION ALL SELECT id, 6000 FROM ty WHERE alt = 'об' AND 'о' IN (a, b) AND regexp_matches(feature, '^w.1=[аоуэиы]'))
+          SELECT id, CAST(arg_max(v, (abs(v), v)) AS INTEGER) AS for_alt FROM ev GROUP BY id""",
         "w04_gaps": f"WITH {gaps(False)} SELECT lang, comma, first, and_before, count(*) AS n FROM g GROUP BY ALL",
         "a13_comma_logits": f"WITH {gaps(False)}, {commas} SELECT * FROM ct",
         "l20_comma_odds": f"{odds} SELECT * FROM od",
-        "d09_commas_to_put": f"{odds} SELECT * FROM od WHERE odds_milli >= 0",
-        "a10_a12_class_pairs": f"""WITH {S}, {TOK}, {LEX}, bg AS (SELECT DISTINCT sent_id, tok.lang || ':' || left(tok.word, 2) AS cls FROM tok JOIN lex USING (lang, word) WHERE count >= 1000), sv AS (SELECT * FROM bg WHERE sent_id IN (SELECT sent_id FROM bg GROUP BY 1 HAVING count(*) > 1)), n AS (SELECT count(DISTINCT sent_id) AS n FROM sv), sg AS (SELECT cls, count(*) AS s FROM sv GROUP BY 1),
+        "d09_commas_to_put": f"{odds} SELECT * FROM od WHERE odds_milli >= {round(COMMA_SURE * 1000)} AND b NOT IN ({', '.join(q(g) for g, _ in GERUND_IDIOMS)})",
+        "a10_a12_class_pairs": f"""WITH {S}, {TOK}, {LEX}, bg AS (SELECT DISTINCT sent_id, tok.lang || ':' || left(tok.word, 2) AS cls FROM tok JOIN lex USING (lang, word)), sv AS (SELECT * FROM bg WHERE sent_id IN (SELECT sent_id FROM bg GROUP BY 1 HAVING count(*) > 1)), n AS (SELECT count(DISTINCT sent_id) AS n FROM sv), sg AS (SELECT cls, count(*) AS s FROM sv GROUP BY 1),
           pr AS (SELECT x.cls AS a, y.cls AS b, count(*) AS c FROM sv x JOIN sv y ON x.sent_id = y.sent_id AND x.cls < y.cls GROUP BY ALL HAVING count(*) >= 20), pm AS (SELECT a, b, c, round(ln(CAST(c AS DOUBLE) * n / (x.s * y.s)) * c / (c + 20), 6) AS pmi FROM pr JOIN sg x ON x.cls = a JOIN sg y ON y.cls = b, n)
           SELECT a, b, c, CAST(round_even(pmi * 1000, 0) AS INTEGER) AS pmi_milli FROM pm WHERE abs(pmi) >= 0.3""",
         "a11_ppmi": f"WITH {S}, {NB}, p AS (SELECT lang || ':' || prev AS prev, lang || ':' || word AS word, count(*) AS n FROM nb GROUP BY ALL HAVING count(*) >= 3) SELECT prev, word, round(greatest(ln(CAST(n AS DOUBLE) * sum(n) OVER () / (CAST(sum(n) OVER (PARTITION BY prev) AS DOUBLE) * sum(n) OVER (PARTITION BY word))), 0), 6) AS ppmi FROM p",

@@ -172,7 +172,7 @@ def f11_layout_flip(s, d):
 
 
 def f30_priors(s, d):
-    return L.priors(B.words(s, d))
+    return L.ranked(B.words(s, d)).select("lang", "word", "prior_milli", "rk")
 
 
 def f31_quantised(s, d):
@@ -246,7 +246,7 @@ def sql() -> dict[str, str]:
         "pred15_skewed_variants": f"WITH {LEX} SELECT a.lang, a.word, b.word AS variant, a.count, b.count AS other FROM lex a JOIN lex b ON a.lang = b.lang AND b.word = replace(a.word, 'é', 'e') WHERE a.word LIKE '%é%' AND a.count >= b.count",
         "pred16_first_of_each": "WITH k AS (SELECT DISTINCT sent_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM build_frames WHERE sent_id IS NOT NULL) SELECT sent_id, bool_or(sent_id = least_id) AS kept FROM k JOIN (SELECT key, min(sent_id) AS least_id FROM k GROUP BY key) USING (key) GROUP BY sent_id",
         "pred17_without_words": f"WITH {S}, {TOK}, {LEX}, ban AS (SELECT DISTINCT lang, {bare} AS word FROM lex WHERE {bare} <> word), b2 AS (SELECT * FROM ban ANTI JOIN lex USING (lang, word)), hit AS (SELECT DISTINCT sent_id FROM tok SEMI JOIN b2 USING (lang, word)) SELECT lang, count(*) AS n FROM s ANTI JOIN hit USING (sent_id) GROUP BY lang",
-        "pred22_stretched": f"WITH {S}, {TOK} SELECT lang, word, count(*) AS n FROM tok WHERE len(list_filter(range(1, length(word) - 1), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND substr(word, i, 1) = substr(word, i + 2, 1))) > 0 GROUP BY ALL",
+        "pred22_stretched": f"WITH {S}, {TOK} SELECT lang, word, count(*) AS n FROM tok WHERE len(list_filter(range(1, length(word) - 1), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND substr(word, i, 1) = substr(word, i + 2, 1))) > 0 OR (length(word) = 2 AND left(word, 1) = right(word, 1)) GROUP BY ALL",
         "a23_a24_casing": f"WITH {S}, {raw3} SELECT *, CASE WHEN lo + cap + caps >= 5 AND caps >= 0.8 * (lo + cap + caps) THEN 2 WHEN lo + cap + caps >= 5 AND cap + caps >= 0.8 * (lo + cap + caps) THEN 1 ELSE 0 END AS flag FROM cc",
         "a26_coverage": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX} SELECT tok.lang, count(*) AS tokens, count(lex.word) AS hits, count(*) FILTER ({B.fold_accents('tok.word')} <> tok.word) AS accented, count(lex.word) FILTER ({B.fold_accents('tok.word')} <> tok.word) AS accented_hits, round(count(lex.word) / count(*), 6) AS coverage FROM tok LEFT JOIN lex ON lex.lang = tok.lang AND lex.word = tok.word GROUP BY tok.lang",
         "a26_misses": f"WITH {B.frames_sql('s', True)}, {TOK}, {LEX} SELECT * FROM (SELECT lang, word, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INTEGER) AS rk FROM (SELECT lang, word, count(*) AS n FROM tok ANTI JOIN lex USING (lang, word) GROUP BY ALL)) WHERE rk <= 20",

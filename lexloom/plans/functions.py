@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import graph, marks
 from ..operators.context import KEYS
 from ..tables import table
 from . import base as B
@@ -64,17 +63,7 @@ def pred24_vowelless(s, d):
     return B.words(s, d).where(X.vowelless(F.col("word"))).select("lang", "word")
 
 
-def u03_u06_bounds(s, d):
-    """Part bounds of the invented parses against their commas' places."""
-    from .interactive import PARSES
-
-    e = marks.parse_rows(s, PARSES)
-    parts = graph.parts(e)
-    found = parts.alias("a").join(parts.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.pos") + 1 == F.col("b.pos")) & (F.col("a.part") != F.col("b.part"))).select(F.col("b.id").alias("id"), F.col("b.pos").alias("at"))
-    return graph.bound_scores(found, marks.place(marks.with_reach(e, graph.spans(e))).select("id", F.col("before").alias("at")))
-
-
-NAMES = (f02_marks, f03_spoken_words, f05_graph_words, f09_as_typed, f16_german_variants, f19_previews, f20_participles, f22_mark_bits, f34_key_costs, pred23_sentence_ends, pred24_vowelless, u03_u06_bounds)
+NAMES = (f02_marks, f03_spoken_words, f05_graph_words, f09_as_typed, f16_german_variants, f19_previews, f20_participles, f22_mark_bits, f34_key_costs, pred23_sentence_ends, pred24_vowelless)
 
 
 def sql() -> dict[str, str]:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..data import ASKING, QUESTION
 from ..operators import gesture, graph, lexicon, marks
 from ..streaming import touch
-from ..tables import table
+from ..tables import ready, shared_folder, table
 from . import base as B
 
 KEYS = "etaoinshr"
@@ -33,7 +33,7 @@ def t01_sessions(s, d):
 def t01_stream(s, d):
     """The same rows through a stream that reads the table file by file and writes into the folder for checkpoints."""
     ev = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    folder = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexloom-')}/touch-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(s)}/touch-{uuid.uuid4().hex}"
     run = touch.stream(touches(ev)).writeStream.outputMode("append").format("parquet").trigger(availableNow=True).option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").start()
     run.awaitTermination()
     return s.read.schema(touch.OPS).parquet(f"{folder}/rows")
@@ -44,62 +44,93 @@ def t12_hourly(s, d):
     return touch.pressed_counts(ev)
 
 
-def l11_gesture(s, d):
-    """The word of every lexicon row whose id is divisible by 20, drawn and matched with all words of its language."""
-    lex = lexicon.priors(B.words(s, d))
+LANGS = ("de", "en", "es", "fr", "pt", "ru")
+
+
+def _drawn(s, d) -> DataFrame:
+    """The word of every lexicon row whose id is divisible by 20, drawn on the keys of its language."""
     rows = table(s, d, "lexicon").where("word_id % 20 = 0").select("lang", F.lower("w").alias("word"))
-    out = []
-    for lang in ("de", "en", "es", "fr", "pt", "ru"):
-        own, keys = lex.where(F.col("lang") == lang), gesture.phone_keys(lang)
-        drawn = own.join(rows, ["lang", "word"], "left_semi").select(F.col("rk").cast("long").alias("gid"), "lang", gesture.path_of(F.col("word"), keys).alias("path"))
-        out.append(gesture.match(drawn, own, keys).withColumn("lang", F.lit(lang)))
-    return reduce(DataFrame.unionByName, out)
-
-
-# Invented parses, one sentence a line.
-PARSES = [
-    (1, "он/2/nsubj/PRON пришёл/0/root/VERB/fin когда/5/mark/SCONJ стало/5/cop/AUX/fin темно/2/advcl/ADJ"),
-    (2, "прочитав/3/advcl/VERB/conv письмо/1/obj/NOUN он/4/nsubj/PRON ушёл/0/root/VERB/fin"),
-    (3, "дом/5/nsubj/NOUN построенный/1/acl/VERB/part у/4/case/ADP реки/2/obl/NOUN стоит/0/root/VERB/fin"),
-    (4, "я/2/nsubj/PRON купил/0/root/VERB/fin хлеб/2/obj/NOUN молоко/3/conj/NOUN и/6/cc/CCONJ сыр/3/conj/NOUN"),
-    (5, "он/3/nsubj/PRON не/3/advmod/PART устал/0/root/VERB/fin но/5/cc/CCONJ заснул/3/conj/VERB/fin"),
-    (6, "москва/2/nsubj/PROPN столица/0/root/NOUN страны/2/nmod/NOUN"),
-    (7, "где/2/advmod/ADV живёт/0/root/VERB/fin брат/2/nsubj/NOUN"),
-    (8, "ну/2/discourse/INTJ пойдём/0/root/VERB/fin друг/2/vocative/NOUN домой/2/advmod/ADV"),
-    (9, "конечно/3/parataxis/ADV он/3/nsubj/PRON знает/0/root/VERB/fin что/6/mark/SCONJ мы/6/nsubj/PRON придём/3/ccomp/VERB/fin"),
-    (10, "солнце/2/nsubj/NOUN село/0/root/VERB/fin и/5/cc/CCONJ луна/5/nsubj/NOUN взошла/2/conj/VERB/fin"),
-]
-
-
-def _parsed(s) -> DataFrame:
-    e = marks.parse_rows(s, PARSES)
+    asked = B.words(s, d).join(rows, ["lang", "word"], "left_semi").select("lang", "word")
+    path = reduce(lambda acc, lang: F.when(F.col("lang") == lang, gesture.path_of(F.col("word"), gesture.phone_keys(lang))).otherwise(acc), LANGS, gesture.path_of(F.col("word"), gesture.phone_keys("en")))
+    return asked.select(F.xxhash64("lang", "word").alias("gid"), "lang", "word", path.alias("path"))
+
+
+def l11_gesture(s, d):
+    """Drawn words matched with all words of their language, in all six."""
+    return gesture.match(_drawn(s, d).select("gid", "lang", "path"), lexicon.priors(B.words(s, d)))
+
+
+def _edges(s, d) -> DataFrame:
+    return graph.shallow(B.sentences(s, d))
+
+
+def _parsed(s, d) -> DataFrame:
+    e = _edges(ready(s), d).checkpoint()  # read by each rule
     return marks.with_reach(e, graph.spans(e))
 
 
 def l23_marks(s, d):
-    return marks.place(_parsed(s)).union(marks.dashes(_parsed(s)))
+    e = _parsed(s, d)
+    return marks.place(e).union(marks.dashes(e))
 
 
 def l24_end_marks(s, d):
-    return marks.end_marks(_parsed(s))
+    return marks.end_marks(_edges(s, d))
 
 
 def g03_parts(s, d):
-    return graph.parts(marks.parse_rows(s, PARSES))
+    return graph.parts(_edges(s, d))
 
 
 def a28_link_kinds(s, d):
-    e = marks.parse_rows(s, PARSES)
-    tags = e.groupBy("word").agg(F.array_sort(F.collect_set("upos")).alias("tags"))
+    e = _edges(s, d)
+    tags = e.groupBy("word").agg(F.array_sort(F.collect_set("upos")).alias("tags"))  # a word has one tag here
     return graph.link_kinds(e, tags)
 
 
 def g08_text_links(s, d):
-    return graph.text_links(marks.parse_rows(s, PARSES))
+    return graph.text_links(_edges(s, d)).groupBy("event", "role", "word").agg(F.count("*").alias("n"))
+
+
+def u03_u06_bounds(s, d):
+    """Part bounds against the commas of the texts."""
+    e = _edges(ready(s), d).checkpoint()
+    p = graph.parts(e)
+    nxt = p.select("id", (F.col("pos") - 1).alias("pos"), F.col("part").alias("then"))
+    found = p.join(nxt, ["id", "pos"]).where("part <> then").select("id", (F.col("pos") + 1).alias("at"))
+    return graph.bound_scores(found, e.where("comma").select("id", F.col("pos").alias("at")))
+
+
+NAMES = (t01_sessions, t01_stream, t12_hourly, l11_gesture, l23_marks, l24_end_marks, g03_parts, a28_link_kinds, g08_text_links, u03_u06_bounds)
 
 
-NAMES = (t01_sessions, t01_stream, t12_hourly, l11_gesture, l23_marks, l24_end_marks, g03_parts, a28_link_kinds, g08_text_links)
+def edges_sql() -> str:
+    """The shallow parse: ``e`` (id, pos, word, head, rel, upos, comma)."""
+    listed = lambda ws: "(" + ", ".join(B.q(w) for w in sorted(set(ws))) + ")"
+    return f"""{B.S}, sw AS (SELECT DISTINCT sent_id AS id, text, list_filter(t, lambda x: NOT regexp_matches(x, '^\\s+$')) AS t FROM s),
+      wi AS (SELECT id, i, t[i] AS word, coalesce(i > 1 AND t[i - 1] = ',', false) AS comma FROM (SELECT id, t, CAST(unnest(range(1, len(t) + 1)) AS INTEGER) AS i FROM sw) WHERE {B.is_word('t[i]')}),
+      wt AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) AS INTEGER) AS pos, word, comma, CASE WHEN word IN {listed(graph.COORDINATING)} THEN 'CCONJ' WHEN word IN {listed(graph.JOINERS)} THEN 'SCONJ' WHEN word IN {listed(graph.ADPOSITIONS)} THEN 'ADP' WHEN word IN {listed(graph.SUBJECTS)} THEN 'PRON'
+        WHEN regexp_matches(word, '{graph.VERB_ENDS}') THEN 'VERB' WHEN regexp_matches(word, '{graph.ADJECTIVE_ENDS}') THEN 'ADJ' ELSE 'NOUN' END AS upos FROM wi),
+      wr AS (SELECT *, lag(upos) OVER (PARTITION BY id ORDER BY pos) AS prev, count(*) OVER (PARTITION BY id) AS n, coalesce(min(pos) FILTER (upos = 'VERB') OVER (PARTITION BY id), 1) AS root FROM wt),
+      e AS (SELECT id, pos, word, comma, upos, CAST(CASE WHEN pos = root THEN 0 WHEN upos IN ('ADP', 'ADJ', 'CCONJ', 'SCONJ') AND pos < n THEN pos + 1 ELSE root END AS INTEGER) AS head,
+        CASE WHEN pos = root THEN 'root' WHEN upos = 'ADP' THEN 'case' WHEN upos = 'ADJ' THEN 'amod' WHEN upos = 'CCONJ' THEN 'cc' WHEN upos = 'SCONJ' THEN 'mark' WHEN upos = 'VERB' THEN CASE WHEN prev = 'CCONJ' THEN 'conj' WHEN prev = 'SCONJ' THEN 'advcl' ELSE 'parataxis' END
+          WHEN pos < root THEN 'nsubj' WHEN prev = 'ADP' THEN 'obl' ELSE 'obj' END AS rel FROM wr)"""
 
 
 def sql() -> dict[str, str]:
-    return {"t12_hourly": "SELECT date_trunc('hour', ts) AS start, event_type AS action, count(*) AS n FROM events GROUP BY ALL"}
+    e = edges_sql()
+    words = lambda ws: "(" + ", ".join(B.q(w) for w in ws) + ")"
+    starts = f"rel IN {words(graph.PART_STARTS)} OR head = 0"
+    climbed = f"""WITH RECURSIVE {e}, up AS (SELECT id, pos, pos AS at FROM e UNION ALL SELECT up.id, up.pos, e.head FROM up JOIN e ON e.id = up.id AND e.pos = up.at WHERE NOT ({starts})),
+      pt AS (SELECT up.id, up.pos, up.at AS part FROM up JOIN e ON e.id = up.id AND e.pos = up.at WHERE {starts})"""
+    asking = f"c.word IN {words(ASKING)} AND c.rel NOT IN ('mark', 'cc', 'fixed')"
+    return {
+        "t12_hourly": "SELECT date_trunc('hour', ts) AS start, event_type AS action, count(*) AS n FROM events GROUP BY ALL",
+        "l24_end_marks": f"""WITH {e}, r AS (SELECT id, pos AS root FROM e WHERE head = 0) SELECT c.id, CASE WHEN bool_or(coalesce(((c.pos = root OR c.head = root) AND c.word IN {words(QUESTION)}) OR (c.head = root AND {asking}) OR (u.head = root AND u.rel IN ('obl', 'obj', 'nsubj', 'advmod', 'nmod', 'iobj') AND {asking})
+          OR (c.pos = root AND c.pos = 1 AND {asking}), false)) THEN '?' ELSE '.' END AS mark FROM e c JOIN r USING (id) LEFT JOIN e u ON u.id = c.id AND u.pos = c.head GROUP BY c.id""",
+        "g03_parts": f"{climbed} SELECT id, pos, part FROM pt",
+        "a28_link_kinds": f"WITH {e} SELECT d.upos AS ltag, h.upos AS htag, d.rel, CASE WHEN d.pos < d.head THEN 'before' ELSE 'after' END AS side, CAST(least(abs(d.pos - d.head), 4) AS INTEGER) AS far, CAST(count(*) AS DOUBLE) AS share FROM e d JOIN e h ON h.id = d.id AND h.pos = d.head GROUP BY ALL",
+        "g08_text_links": f"WITH {e} SELECT h.word AS event, CASE d.rel WHEN 'nsubj' THEN 'who' WHEN 'obj' THEN 'what' WHEN 'iobj' THEN 'whom' WHEN 'obl' THEN 'where' ELSE 'how' END AS role, d.word, count(*) AS n FROM e d JOIN e h ON h.id = d.id AND h.pos = d.head WHERE h.upos = 'VERB' AND d.rel IN ('nsubj', 'obj', 'iobj', 'obl', 'advmod') GROUP BY ALL",
+        "u03_u06_bounds": f"""{climbed}, f AS (SELECT a.id, b.pos AS place FROM pt a JOIN pt b ON b.id = a.id AND b.pos = a.pos + 1 AND b.part <> a.part), g AS (SELECT id, pos AS place FROM e WHERE comma), c AS (SELECT (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM f JOIN g USING (id, place)) AS right_n)
+          SELECT found, gold, right_n, round(right_n / greatest(found, 1), 6) AS precision, round(right_n / greatest(gold, 1), 6) AS recall FROM c""",
+    }

@@ -12,9 +12,10 @@ from . import consistent as C
 from . import cooccur, encode, frequency, langid, mixing, overlap, packing
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    recs = mixing.records(table(spark, d, "build_frames"))
-    return recs, mixing.mix_plan(recs, table(spark, d, "mix_targets"))
+def _mix(spark: SparkSession, d: str, *keep: str) -> tuple[DataFrame, DataFrame, int]:
+    """(records, plan, number of targets, from the file's footer)."""
+    frames, targets = table(spark, d, "build_frames"), table(spark, d, "mix_targets")
+    return mixing.records(frames, keep=keep), mixing.mix_plan(mixing.records(frames), targets), targets.count()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,11 +23,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(*_mix(spark, d))
+    recs, plan, targets = _mix(spark, d)
+    return mixing.mix_report(recs, plan, targets=targets)
 
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_emit(*_mix(spark, d)).withColumnRenamed("id", "sent_id")
+    recs, plan, targets = _mix(spark, d, "lang", "text")
+    return mixing.mix_emit(recs, plan, targets=targets).withColumnRenamed("id", "sent_id")
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +145,11 @@ def _form(text: str, lang: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     src = "lower(trim(source, e' \\t\\r\\n\\u00a0'))"
-    recs = f"recs AS (SELECT sent_id AS id, max({src}) AS source, max(coalesce(length(text), 0)) AS size FROM build_frames WHERE sent_id IS NOT NULL GROUP BY sent_id)"
+    recs = f"recs AS (SELECT sent_id AS id, max({src}) AS source, max(coalesce(length(text), 0)) AS size, max(lang) AS lang, max(text) AS text FROM build_frames WHERE sent_id IS NOT NULL GROUP BY sent_id)"
     plan = f"""{recs}, sized AS (SELECT t.source, t.weight, t.max_repeat, count(r.id) AS records, CAST(coalesce(sum(r.size), 0) AS BIGINT) AS size FROM mix_targets t LEFT JOIN recs r ON r.source = t.source GROUP BY ALL),
       plan AS (SELECT *, CASE WHEN size > 0 THEN least(weight * mix / size, max_repeat) ELSE 0 END AS rate, weight * mix > max_repeat * size AS short FROM (SELECT *, (SELECT CAST(sum(size) AS BIGINT) FROM sized) AS mix FROM sized))"""
     mix = f"""{plan}, drawn AS (SELECT r.*, p.rate, CAST(CAST('0x' || substr(md5('0:' || r.id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u FROM recs r JOIN plan p USING (source)),
-      mixed AS (SELECT id, source, size, CAST(unnest(range(1, 1 + CAST(floor(rate) AS BIGINT) + (u < rate - floor(rate))::BIGINT)) AS INTEGER) AS copy FROM drawn)"""
+      mixed AS (SELECT id, source, size, lang, text, CAST(unnest(range(1, 1 + CAST(floor(rate) AS BIGINT) + (u < rate - floor(rate))::BIGINT)) AS INTEGER) AS copy FROM drawn)"""
     frames = f"frames AS (SELECT DISTINCT sent_id, lang, regexp_extract_all(lower({_form('text', 'lang')}), '{C.WORD}') AS ws FROM build_frames WHERE sent_id IS NOT NULL AND text IS NOT NULL)"
     toks = f"{frames}, n AS (SELECT lang, count(*) AS n FROM frames WHERE len(ws) > 0 GROUP BY lang), toks AS (SELECT lang, sent_id, unnest(ws) AS term FROM frames)"
     terms = f"terms AS (SELECT lang, term, max(c) AS c FROM (SELECT lang, lower({_form('w', 'lang')}) AS term, coalesce(c, 0) AS c FROM lexicon WHERE w IS NOT NULL) WHERE regexp_full_match(term, '{C.WORD}') GROUP BY ALL)"
@@ -166,7 +169,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {plan} SELECT source FROM plan WHERE short",
         "p1_report": f"""WITH {mix}, got AS (SELECT source, count(*) AS emitted, CAST(sum(size) AS BIGINT) AS emitted_size FROM mixed GROUP BY 1)
           SELECT source, weight, max_repeat, records, size, round(rate, 6) AS rate, coalesce(emitted, 0) AS emitted, coalesce(emitted_size, 0) AS emitted_size, round(coalesce(emitted_size, 0) / (SELECT sum(emitted_size) FROM got), 6) AS share, short FROM plan LEFT JOIN got USING (source)""",
-        "p1_mix": f"WITH {mix} SELECT id AS sent_id, source, size, copy FROM mixed",
+        "p1_mix": f"WITH {mix} SELECT id AS sent_id, source, size, lang, text, copy FROM mixed",
         "p2_found": f"{freq} SELECT lang, term, mark FROM res WHERE mark IS NOT NULL",
         "p2_terms": f"{freq} SELECT lang, term, occurrences, records, c, mark FROM res",
         "p3_found": f"WITH {texts} SELECT a.tab, a.id AS a_id, b.id AS b_id FROM texts a JOIN texts b ON a.tab = b.tab AND a.lang = b.lang AND a.form = b.form AND a.id < b.id AND a.text <> b.text WHERE regexp_matches(a.form, '\\p{{L}}')",

@@ -31,6 +31,41 @@ def test_mix_repeats_within_the_cap_and_meets_its_shares(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_mix_carries_the_texts(spark):
+    rows = [(i, f"text {i}", "a" if i % 3 else "b", i) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "sent_id long, text string, source string, copy int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], "source string, weight double, max_repeat long")
+    recs = mixing.records(df, keep=("text",))
+    out = mixing.mix_emit(recs, mixing.mix_plan(mixing.records(df), targets), targets=2).collect()
+    assert all(r.text == f"text {r.id}" for r in out) and len({(r.id, r.copy) for r in out}) == len(out)
+
+
+def test_mix_refilled(spark):
+    """What a source at its cap leaves is shared by weight, step by step; a mix that no caps can fill stays short."""
+    sizes = {"a": 100, "b": 300, "c": 50, "d": 550}
+    weights = {"a": (0.4, 2), "b": (0.3, 1), "c": (0.1, 1), "d": (0.2, 2)}
+    df = spark.createDataFrame([(f"{s}{i}", "x", s) for s, n in sizes.items() for i in range(n)], "sent_id string, text string, source string")
+    targets = spark.createDataFrame([(s, *w) for s, w in weights.items()], "source string, weight double, max_repeat long")
+    caps, left, level = {s: sizes[s] * weights[s][1] for s in sizes}, dict(weights), 1000.0
+    while True:  # brute force: cap, share out, again
+        level = (1000 - sum(caps[s] for s in sizes if s not in left)) / sum(w for w, _ in left.values())
+        full = [s for s, (w, _) in left.items() if w * level > caps[s]]
+        if not full:
+            break
+        for s in full:
+            del left[s]
+    got = {r.source: r.rate for r in mixing.mix_plan(mixing.records(df), targets, refill=True).collect()}
+    assert all(abs(got[s] - min(weights[s][0] * level, caps[s]) / sizes[s]) < 1e-9 for s in sizes) and abs(sum(got[s] * sizes[s] for s in sizes) - 1000) < 1e-6
+    low = targets.withColumn("max_repeat", F_one())
+    assert {r.source: r.rate for r in mixing.mix_plan(mixing.records(df), low, refill=True).collect()} == dict.fromkeys(sizes, 1.0)
+
+
+def F_one():
+    from pyspark.sql import functions as F
+
+    return F.lit(1).cast("long")
+
+
 def test_mix_of_empty_tables(spark):
     df = spark.createDataFrame([], "sent_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeat long")

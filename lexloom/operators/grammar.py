@@ -183,3 +183,48 @@ def linked_tag(upos: Column, rel: Column, readings: Column) -> Column:
     fit = F.filter(readings, lambda r: (r.bitwiseAND(part) != 0) & (~has(r, NOMINAL) | (cases(r).bitwiseAND(want) != 0)))
     return F.coalesce(F.get(fit, 0), F.get(readings, 0))
 
+
+
+# Own table: readings by ending, for lexicons without a tagged dictionary.
+ENDINGS = {
+    "ый": "ADJF,masc,sing,nomn ADJF,masc,sing,accs,inan",
+    "ий": "ADJF,masc,sing,nomn ADJF,masc,sing,accs,inan",
+    "ая": "ADJF,femn,sing,nomn",
+    "ое": "ADJF,neut,sing,nomn ADJF,neut,sing,accs",
+    "ые": "ADJF,plur,nomn ADJF,plur,accs,inan",
+    "ого": "ADJF,masc,sing,gent ADJF,neut,sing,gent",
+    "ому": "ADJF,masc,sing,datv ADJF,neut,sing,datv",
+    "ет": "VERB,sing,3per,pres",
+    "ит": "VERB,sing,3per,pres",
+    "ют": "VERB,plur,3per,pres",
+    "ал": "VERB,masc,sing,past",
+    "ил": "VERB,masc,sing,past",
+    "ала": "VERB,femn,sing,past",
+    "ила": "VERB,femn,sing,past",
+    "или": "VERB,plur,past",
+    "ать": "INFN",
+    "ить": "INFN",
+    "я": "GRND NOUN,inan,femn,sing,nomn",
+    "ость": "NOUN,inan,femn,sing,nomn NOUN,inan,femn,sing,accs",
+    "ение": "NOUN,inan,neut,sing,nomn NOUN,inan,neut,sing,accs",
+    "тель": "NOUN,anim,masc,sing,nomn",
+    "ник": "NOUN,anim,masc,sing,nomn",
+    "ок": "NOUN,inan,masc,sing,nomn NOUN,inan,masc,sing,accs",
+    "ура": "NOUN,inan,femn,sing,nomn",
+    "ина": "NOUN,inan,femn,sing,nomn",
+    "ка": "NOUN,inan,femn,sing,nomn",
+    "у": "NOUN,inan,femn,sing,accs NOUN,inan,masc,sing,datv",
+    "о": "ADVB",
+}
+
+
+def by_ending(words: DataFrame) -> DataFrame:
+    """(lang, word, readings): readings of words (lang, word) by their longest ending in the table; prepositions, pronouns and words without one have none."""
+    bits = {k: [mask(r.replace(",", " ")) for r in v.split()] for k, v in ENDINGS.items()}
+    none = F.array().cast("array<bigint>")
+    found = none
+    for ending in sorted(bits, key=len):
+        found = F.when(F.col("word").endswith(ending), F.array(*(F.lit(b).cast("long") for b in bits[ending]))).otherwise(found)
+    out = F.when(F.col("word").isin(*GOVERNS, *PRONOUNS), none).otherwise(found)
+    return words.select("lang", "word", out.alias("readings"))
+

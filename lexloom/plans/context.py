@@ -9,27 +9,28 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import context as K
 from ..operators import corpus as C
-from ..tables import ready, table
+from ..tables import table
 from . import base as B
+from . import index as I
 from .base import LEX, NB, PAIRS, S, TOK, q
 
 
 def j08_confusions(s, d):
-    return K.confusions(B.words(s, d))
+    return I.space(s, d, "confusions")
 
 
 def j10_spelling_pairs(s, d):
     words = B.words(s, d)
-    return K.spelling_pairs(words, K.confusions(words))
+    return K.spelling_pairs(words, I.space(s, d, "confusions"))
 
 
 def j09_accent_groups(s, d):
     words = B.words(s, d)
-    return K.accent_groups(words, K.spelling_pairs(words, K.confusions(words)))
+    return K.accent_groups(words, K.spelling_pairs(words, I.space(s, d, "confusions")))
 
 
 def _observed(s, d):
-    return K.observations(B.sentences(s, d), K.confusions(B.words(s, d)))
+    return K.observations(B.sentences(s, d), I.space(s, d, "confusions"))
 
 
 def a21_observations(s, d):
@@ -37,12 +38,11 @@ def a21_observations(s, d):
 
 
 def a22_decision_list(s, d):
-    return K.decision_list(_observed(ready(s), d).checkpoint(), min_count=3, min_favoured=2)
+    return I.space(s, d, "rules")
 
 
 def l18_evidence(s, d):
-    obs = _observed(ready(s), d).checkpoint()
-    rules = K.decision_list(obs, min_count=3, min_favoured=2)
+    obs, rules = _observed(s, d), I.space(s, d, "rules")
     typed = obs.select("lang", F.concat_ws(":", "id", "pos", "a", "b").alias("id"), F.col("truth").alias("typed"), F.when(F.col("truth") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("alt"), F.get(F.filter("features", lambda f: f.startswith("w+1=")), 0).alias("f")).where("f IS NOT NULL")
     return K.evidence(typed.select("lang", "id", "typed", "alt", F.expr("substring(f, 5)").alias("next")), rules)
 
@@ -52,7 +52,7 @@ def w04_gaps(s, d):
 
 
 def _commas(s, d):
-    return K.comma_table(K.bare_gaps(B.sentences(s, d)), least=10)
+    return I.space(s, d, "commas")
 
 
 def a13_comma_logits(s, d):
@@ -69,9 +69,7 @@ def d09_commas_to_put(s, d):
 
 
 def a10_a12_class_pairs(s, d):
-    classes = B.words(s, d).select("lang", "word", F.concat("lang", F.lit(":"), F.left("word", F.lit(2))).alias("cls"))
-    bags = C.word_tokens(B.sentences(s, d), "sent_id").join(classes, ["lang", "word"]).select(F.col("sent_id").alias("id"), "cls")
-    return K.class_pairs(bags, min_pairs=20, min_pmi=0.3)
+    return I.space(s, d, "topics")
 
 
 def a11_ppmi(s, d):
@@ -80,18 +78,11 @@ def a11_ppmi(s, d):
 
 
 def a08_tag_pairs(s, d):
-    sents, lex = B.sentences(s, d), B.words(s, d)
-    return K.tag_pairs(C.in_lexicon(C.pair_counts(sents), lex, "prev", "word"), K.suffix_tags(lex))
-
-
-OUTCOMES = ("other", "a", "e", "o", "s", "n", "t", "m")
+    return I.space(s, d, "tag_pairs")
 
 
 def a16_a17_frames(s, d):
-    pairs = C.pair_counts(B.sentences(s, d))
-    last = X.fold_accents(F.right("word", F.lit(1)))
-    outcome = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, OUTCOMES)), last), F.lit(0)) - 1, F.lit(0))
-    rows = K.frames(pairs.select("lang", F.col("prev").alias("key"), outcome.cast("int").alias("outcome"), F.col("n").cast("double").alias("weight")), least=50)
+    rows = I.space(s, d, "frames")
     return rows.select("lang", "key", F.posexplode("values").alias("i", "v")).select("lang", "key", "i", F.bround(F.round(F.col("v") * 1000, 3), 0).cast("int").alias("milli"))
 
 
@@ -177,7 +168,7 @@ def sql() -> dict[str, str]:
         "a11_ppmi": f"WITH {S}, {NB}, p AS (SELECT lang || ':' || prev AS prev, lang || ':' || word AS word, count(*) AS n FROM nb GROUP BY ALL HAVING count(*) >= 3) SELECT prev, word, round(greatest(ln(CAST(n AS DOUBLE) * sum(n) OVER () / (CAST(sum(n) OVER (PARTITION BY prev) AS DOUBLE) * sum(n) OVER (PARTITION BY word))), 0), 6) AS ppmi FROM p",
         "a08_tag_pairs": f"""WITH {S}, {TOK}, {NB}, {LEX}, {PAIRS}, tg AS (SELECT lang, word, list_distinct(['*' || right(word, 1), '*' || right(word, 2)]) AS tags FROM lex), b AS (SELECT p.lang, l.ltag, r.rtag, sum(n * (1.0 / l.k) * (1.0 / r.k)) AS c FROM prs p JOIN (SELECT lang, word AS prev, unnest(tags) AS ltag, len(tags) AS k FROM tg) l USING (lang, prev) JOIN (SELECT lang, word, unnest(tags) AS rtag, len(tags) AS k FROM tg) r USING (lang, word) GROUP BY ALL)
           SELECT lang, ltag, rtag, CAST(round_even(round((greatest(-8, least(8, (ln(CAST(c AS DOUBLE) / l) - ln(CAST(r AS DOUBLE) / total)) * CAST(c AS DOUBLE) / (c + 5.0))) + 8) * 1000, 6), 0) AS INTEGER) AS pmi8_milli FROM (SELECT lang, ltag, rtag, CAST(c AS DOUBLE) AS c, CAST(sum(c) OVER (PARTITION BY lang, ltag) AS DOUBLE) AS l, CAST(sum(c) OVER (PARTITION BY lang, rtag) AS DOUBLE) AS r, CAST(sum(c) OVER (PARTITION BY lang) AS DOUBLE) AS total FROM b) WHERE round(c, 6) >= 1""",
-        "a16_a17_frames": f"""WITH {S}, {NB}, p AS (SELECT lang, prev AS key, greatest(coalesce(list_position([{', '.join(map(q, OUTCOMES))}], {fa('right(word, 1)')}), 1) - 1, 0) AS o, count(*) AS n FROM nb GROUP BY ALL), kk AS (SELECT lang, key, sum(n) AS n FROM p GROUP BY ALL HAVING sum(n) >= 50), sh AS (SELECT l.lang, i, greatest(coalesce(sum(p.n), 0) / any_value(l.total), 1e-6) AS pr FROM (SELECT lang, sum(n) AS total FROM p GROUP BY 1) l CROSS JOIN (SELECT unnest(range(8)) AS i) LEFT JOIN p ON p.lang = l.lang AND p.o = i GROUP BY l.lang, i),
+        "a16_a17_frames": f"""WITH {S}, {NB}, p AS (SELECT lang, prev AS key, greatest(coalesce(list_position([{', '.join(map(q, I.OUTCOMES))}], {fa('right(word, 1)')}), 1) - 1, 0) AS o, count(*) AS n FROM nb GROUP BY ALL), kk AS (SELECT lang, key, sum(n) AS n FROM p GROUP BY ALL HAVING sum(n) >= 50), sh AS (SELECT l.lang, i, greatest(coalesce(sum(p.n), 0) / any_value(l.total), 1e-6) AS pr FROM (SELECT lang, sum(n) AS total FROM p GROUP BY 1) l CROSS JOIN (SELECT unnest(range(8)) AS i) LEFT JOIN p ON p.lang = l.lang AND p.o = i GROUP BY l.lang, i),
           v AS (SELECT kk.lang, kk.key, i, round(ln((coalesce(x.n, 0) + 20 * pr) / (kk.n + 20) / pr), 3) AS v FROM kk JOIN sh ON sh.lang = kk.lang LEFT JOIN (SELECT lang, key, o, sum(n) AS n FROM p GROUP BY ALL) x ON x.lang = kk.lang AND x.key = kk.key AND x.o = i)
           SELECT lang, key, CAST(i AS INTEGER) AS i, CAST(round_even(round(v * 1000, 3), 0) AS INTEGER) AS milli FROM (SELECT *, max(abs(v)) OVER (PARTITION BY lang, key) AS m FROM v) WHERE round(m, 3) >= 0.3""",
         "a18_agreement": f"""WITH {S}, {NB}, c AS (SELECT lang, prev AS key, count(*) FILTER (right(prev, 1) = right(word, 1)) AS yes, count(*) AS n FROM nb GROUP BY ALL), g AS (SELECT lang, sum(yes) / sum(n) AS p FROM c GROUP BY lang HAVING sum(yes) > 0 AND sum(yes) < sum(n))

@@ -9,8 +9,9 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import lexicon as L
-from ..tables import ready, table
+from ..tables import table
 from . import base as B
+from . import index as I
 from .base import LEX, NB, PAIRS, PRIOR, S, TOK, q
 
 
@@ -39,15 +40,8 @@ def a03_pairs(s, d):
     return C.in_lexicon(C.pair_counts(B.sentences(s, d)), B.words(s, d), "prev", "word").select("lang", "prev", "word", "n")
 
 
-def _mixed(s, d):
-    sents, lex = B.sentences(ready(s), d), B.words(s, d)
-    uni = C.in_lexicon(C.unigrams(sents, "source"), lex, "word").checkpoint()  # a row per word and source, read several times
-    units = C.source_units(uni, B.weights(s, d))
-    return C.mixture(uni, units, "word"), C.mixture(C.in_lexicon(C.pair_counts(sents, "source"), lex, "prev", "word"), units, "prev", "word"), lex
-
-
 def a04_source_mixture(s, d):
-    return _mixed(s, d)[0].select("lang", "word", F.round("mass", 9).alias("mass"), "raw")
+    return I._mixed(s, d)[0].select("lang", "word", F.round("mass", 9).alias("mass"), "raw")
 
 
 def w01_neighbours(s, d):
@@ -55,13 +49,11 @@ def w01_neighbours(s, d):
 
 
 def w03_bigrams_kept(s, d):
-    uni, pairs, lex = _mixed(s, d)
-    return C.bigrams(uni, pairs, lex)
+    return I.space(s, d, "pairs")
 
 
 def a09_ending_pmi(s, d):
-    sents, lex = B.sentences(s, d), B.words(s, d)
-    return C.ending_pmi(C.in_lexicon(C.unigrams(sents), lex, "word"), C.in_lexicon(C.pair_counts(sents), lex, "prev", "word"))
+    return I.space(s, d, "endings")
 
 
 def a06_form_share(s, d):

@@ -20,17 +20,12 @@ from ..operators import vectors as V
 from ..operators.channel import ALPHABET
 from ..tables import ready, table
 from . import base as B
+from . import index as I
 from .base import LEX, NB, PAIRS, PRIOR, S, TOK, q
 
 
 def _lex(s, d):
-    return L.priors(B.words(s, d))
-
-
-def _meant(s, d):
-    """Every lexicon word, with an error of a kind chosen by its rank."""
-    t = E.typos(_lex(s, d).where(F.length("word") > 3))
-    return t.withColumn("qid", F.xxhash64("lang", "word", "kind"))
+    return I.space(s, d, "dictionary")
 
 
 def e01_typos(s, d):
@@ -57,7 +52,7 @@ def a35_accuracy(s, d):
 
 
 def d01_autocorrect(s, d):
-    """At normal strength, with completions of what was typed; the misspelt words of the slang list that have a model word are rejected ones."""
+    """At normal strength, with completions of what was typed."""
     lex, asked = _lex(s, d), _asked(s, d).select("qid", "lang", "typed")
     low = F.lower("typed")
     more = D.complete(asked.select("lang", low.alias("prefix")), lex).select("lang", F.col("prefix").alias("low"), "word", "cost_milli")
@@ -86,9 +81,7 @@ def pred19_contains(s, d):
 
 
 def _pairs(s, d):
-    from .corpus import w03_bigrams_kept
-
-    return w03_bigrams_kept(s, d)
+    return I.space(s, d, "pairs")
 
 
 def l09_predict(s, d):
@@ -106,7 +99,7 @@ def l27_word_cost(s, d):
 
 
 def l26_casing(s, d):
-    flags = C.casing_flags(C.casing_counts(B.sentences(s, d))).select("lang", "word", "flag")
+    flags = I.space(s, d, "casing").select("lang", "word", "flag")
     return B.words(s, d).join(flags, ["lang", "word"], "left").select("lang", "word", F.coalesce("flag", F.lit(0)).alias("flag"))
 
 
@@ -125,21 +118,17 @@ def d04_merge(s, d):
 
 
 def l15_context_cost(s, d):
-    from .corpus import a09_ending_pmi
-
     places = C.pair_counts(B.sentences(s, d, heldout=True)).select("lang", "prev", "word").join(_lex(s, d).select("lang", "word", "prior_milli"), ["lang", "word"])
-    return R.in_context(places, _pairs(s, d), a09_ending_pmi(s, d)).select("lang", "prev", "word", "cost_milli")
+    return R.in_context(places, _pairs(s, d), I.space(s, d, "endings")).select("lang", "prev", "word", "cost_milli")
 
 
 def l14_rerank(s, d):
-    from .corpus import a09_ending_pmi
-
     lex = _lex(s, d)
     rows = table(s, d, "lexicon").where("word_id % 20 = 0").select("lang", F.lower("w").alias("word"))
     heard = C.pair_counts(B.sentences(s, d, heldout=True)).join(lex.join(rows, ["lang", "word"], "left_semi").select("lang", "word"), ["lang", "word"], "left_semi")
     few = E.typos(heard.groupBy("lang", "word").agg(F.min("prev").alias("prev")).select("lang", "word"), ("slip",)).join(heard.groupBy("lang", "word").agg(F.min("prev").alias("prev")), ["lang", "word"]).withColumn("qid", F.xxhash64("lang", "word"))
     found = D.suggest(few.select("qid", "lang", "typed"), lex).join(few.select("qid", "prev"), "qid")
-    return R.rerank(found, _pairs(s, d), a09_ending_pmi(s, d), lex).select("typed", "word", "cost", "rk")
+    return R.rerank(found, _pairs(s, d), I.space(s, d, "endings"), lex).select("typed", "word", "cost", "rk")
 
 
 def g11_lemma_fit(s, d):
@@ -252,7 +241,7 @@ def d11_zone_letters(s, d):
 
 
 def j16_partners(s, d):
-    conf = K.confusions(B.words(s, d))
+    conf = I.space(s, d, "confusions")
     return conf.select("lang", F.col("a").alias("word"), F.col("b").alias("partner")).union(conf.select("lang", "b", "a"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import context, corpus, decode, functions, interactive
+from .plans import context, corpus, decode, files, functions, interactive, words
 
-PLANS = (corpus, context, decode, interactive, functions)
+PLANS = (corpus, context, decode, interactive, functions, files, words)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -70,9 +70,10 @@ def extra_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_forms(spark: SparkSession, path: str) -> DataFrame:
-    """(form, lemma) of a morphological dump ``form lemma tag``; the first line of a form holds."""
+    """(form, lemma) of a morphological dump ``form lemma tag``; the first line of a form holds, by file, block and line in it."""
     z = F.split("value", "\t")
-    rows = _lines(spark, path).where(F.size(z) >= 2).select(z[0].alias("form"), z[1].alias("lemma"), F.monotonically_increasing_id().alias("at"))
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(path).select("value", at.alias("at")).where(F.size(z) >= 2).select(z[0].alias("form"), z[1].alias("lemma"), "at")
     return rows.groupBy("form").agg(F.min_by("lemma", "at").alias("lemma"))
 
 

@@ -6,12 +6,15 @@ the first by source and line holds, except for flags, which are or-ed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns that a table of the store must have.
 LAYOUT = {
-    "dictionary": {"lang", "word", "prior_milli", "rk"},
+    "dictionary": {"lang", "word", "count", "prior_milli"},
     "pairs": {"lang", "prev", "word", "nats_milli"},
     "endings": {"lang", "lclass", "rclass", "pmi8_milli"},
     "tag_pairs": {"lang", "ltag", "rtag", "pmi8_milli"},
@@ -37,16 +40,17 @@ def write(df: DataFrame, folder: str, space: str, sort: tuple[str, ...] = ()) ->
         raise ValueError(f"{space} lacks {', '.join(sorted(missing))}")
     by = ["lang"] if "lang" in df.columns else []
     keys = [*by, *(sort or sorted(LAYOUT[space] & {"word", "prev", "a", "key", "lclass", "ltag", "id", "e_form"}))]
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{space}.schema")
     out = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
     (out.partitionBy(*by) if by else out).parquet(f"{folder}/{space}")
 
 
 def read(spark: SparkSession, folder: str, space: str) -> DataFrame:
-    """A key space; its columns are checked before anything is read."""
-    df = spark.read.parquet(f"{folder}/{space}")
-    if missing := LAYOUT[space] - set(df.columns):
+    """A key space, by the schema it was written with; its columns are checked before anything is read."""
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{folder}/{space}.schema").first()[0]))
+    if missing := LAYOUT[space] - set(schema.names):
         raise ValueError(f"{folder}/{space} lacks {', '.join(sorted(missing))}")
-    return df
+    return spark.read.schema(schema).parquet(f"{folder}/{space}").select(*schema.names)
 
 
 def casing_flags(proper: DataFrame, offensive: DataFrame) -> DataFrame:

@@ -85,11 +85,11 @@ def test_parses_and_facts(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    d = spark.createDataFrame([("ru", "дом", 5, 1), ("en", "cat", 7, 1)], "lang string, word string, prior_milli int, rk int")
+    d = spark.createDataFrame([("ru", "дом", 5, 1), ("en", "cat", 7, 1)], "lang string, word string, prior_milli int, count long")
     store.write(d, str(tmp_path / "st"), "dictionary")
     assert rows(store.read(spark, str(tmp_path / "st"), "dictionary"), "lang", "word") == [("en", "cat"), ("ru", "дом")]
     with pytest.raises(ValueError):
-        store.write(d.drop("rk"), str(tmp_path / "st"), "dictionary")
+        store.write(d.drop("count"), str(tmp_path / "st"), "dictionary")
     proper = spark.createDataFrame([("ru", "иван", 1, 1), ("ru", "иван", 2, 2)], "lang string, word string, flag int, line int")
     bad = spark.createDataFrame([("ru", "иван"), ("ru", "бяка")], "lang string, word string")
     assert rows(store.casing_flags(proper, bad)) == [("ru", "бяка", 4), ("ru", "иван", 5)]
@@ -97,6 +97,6 @@ def test_store(spark, tmp_path):
     assert rows(store.yo_masks(yo)) == [("ru", "елка", 1)]
     v = store.quantised_vectors(spark.createDataFrame([(1, [1.0, -2.0])], "id int, vec array<float>")).first()
     assert list(v.vec) == [64, -127] and v.scale == 2.0
-    store.write_tsv(d.select("word", "rk"), str(tmp_path / "out"), "word")
+    store.write_tsv(d.select("word", "count"), str(tmp_path / "out"), "word")
     store.write_log(d, str(tmp_path / "log"), 1)
     assert spark.read.json(str(tmp_path / "log")).count() == 2

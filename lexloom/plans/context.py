@@ -19,13 +19,20 @@ def j08_confusions(s, d):
     return I.space(s, d, "confusions")
 
 
-def j10_spelling_pairs(s, d):
+def _spelled(s, d):
+    """The lexicon with Russian verbs in -ся and -ься beside those in -т, and words without their accents."""
     words = B.words(s, d)
-    return K.spelling_pairs(words, I.space(s, d, "confusions"))
+    verbs = words.where("lang = 'ru' AND word LIKE '%т'").select("lang", F.explode(F.array(F.struct(F.concat("word", F.lit("ся")).alias("word"), "count"), F.struct(F.concat("word", F.lit("ься")).alias("word"), (F.col("count") + 1).alias("count")))).alias("z")).select("lang", "z.word", "z.count")
+    bare = words.select("lang", X.fold_accents(F.col("word")).alias("word"), (F.col("count") + 100).alias("count")).where("lang <> 'ru'")
+    return words.unionByName(verbs).unionByName(bare).groupBy("lang", "word").agg(F.max("count").alias("count"))
+
+
+def j10_spelling_pairs(s, d):
+    return K.spelling_pairs(_spelled(s, d), I.space(s, d, "confusions"))
 
 
 def j09_accent_groups(s, d):
-    words = B.words(s, d)
+    words = _spelled(s, d)
     return K.accent_groups(words, K.spelling_pairs(words, I.space(s, d, "confusions")))
 
 
@@ -101,13 +108,17 @@ def f33_pair_nats(s, d):
     return pairs.join(uni, ["lang", "prev"]).select("lang", "prev", "word", N.nats_milli(F.col("n") / F.col("n_prev")).alias("nats_milli"), N.quant05(-F.ln(F.col("n") / F.col("n_prev"))).alias("byte"))
 
 
-def j03_slang_neighbours(s, d):
-    slang = table(s, d, "slang").select("lang", F.lower("c0").alias("word")).distinct()
-    return C.unigrams(B.sentences(s, d)).join(slang, ["lang", "word"], "left_semi")
+def j03_pair_masses(s, d):
+    """Pairs with the counts of both words and of all words in the right one's script."""
+    uni = C.unigrams(B.sentences(s, d))
+    script = uni.groupBy("lang", X.script(F.col("word")).alias("script")).agg(F.sum("n").alias("n_script"))
+    of = lambda name, n: uni.select("lang", F.col("word").alias(name), F.col("n").alias(n))
+    pairs = C.pair_counts(B.sentences(s, d)).where("n >= 2").withColumn("script", X.script(F.col("word")))
+    return pairs.join(of("prev", "n_prev"), ["lang", "prev"]).join(of("word", "n_word"), ["lang", "word"]).join(F.broadcast(script), ["lang", "script"]).select("lang", "prev", "word", "n", "n_prev", "n_word", "n_script")
 
 
 NAMES = (j08_confusions, j10_spelling_pairs, j09_accent_groups, a21_observations, a22_decision_list, l18_evidence, w04_gaps, a13_comma_logits, l20_comma_odds, d09_commas_to_put, a10_a12_class_pairs, a11_ppmi,
-         a08_tag_pairs, a16_a17_frames, a18_agreement, a19_kind_fit, f33_pair_nats, j03_slang_neighbours)
+         a08_tag_pairs, a16_a17_frames, a18_agreement, a19_kind_fit, f33_pair_nats, j03_pair_masses)
 
 
 def sql() -> dict[str, str]:
@@ -147,12 +158,14 @@ def sql() -> dict[str, str]:
     odds = f"""WITH {gaps(False)}, {commas}, {gaps(True).replace('s AS (', 'hs AS (', 1).replace('FROM s)', 'FROM hs)').replace(' FROM s)', ' FROM hs)').replace('wm AS', 'hwm AS').replace('FROM wm)', 'FROM hwm)').replace('FROM s', 'FROM hs').replace('g0', 'hg0').replace('g1', 'hg1').replace(' g AS', ' hg AS')},
       od AS (SELECT DISTINCT p.lang, p.a, p.b, coalesce(vp.logit_milli, coalesce(va.logit_milli, v0.logit_milli) + coalesce(vb.logit_milli, v0.logit_milli) - v0.logit_milli) AS odds_milli FROM (SELECT DISTINCT lang, a, b FROM hg) p JOIN ct v0 ON v0.lang = p.lang AND v0.key = '@'
         LEFT JOIN ct vp ON vp.lang = p.lang AND vp.key = {B.fold_yo('p.a')} || ' ' || {B.fold_yo('p.b')} LEFT JOIN ct va ON va.lang = p.lang AND va.key = '<' || {B.fold_yo('p.a')} LEFT JOIN ct vb ON vb.lang = p.lang AND vb.key = '>' || {B.fold_yo('p.b')})"""
-    spell = f"""WITH {conf}, pr AS (SELECT 'ru' AS lang, * FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in K.PREPOSITIONS)}) v(x, y) UNION ALL SELECT lang, word, regexp_replace(word, 'тся$', 'ться') FROM tw WHERE word LIKE '%тся' AND lang = 'ru'),
-          rk AS (SELECT DISTINCT pr.lang, CASE WHEN a.rk < b.rk THEN x ELSE y END AS a, CASE WHEN a.rk < b.rk THEN y ELSE x END AS b FROM pr JOIN tw a ON a.lang = pr.lang AND a.word = x JOIN tw b ON b.lang = pr.lang AND b.word = y) SELECT * FROM rk ANTI JOIN (SELECT lang, a, b FROM conf UNION SELECT lang, b, a FROM conf) c USING (lang, a, b)"""
+    spelled = f"""sp0 AS (SELECT lang, word, max(count) AS count FROM (SELECT * FROM lex UNION ALL SELECT lang, word || 'ся', count FROM lex WHERE lang = 'ru' AND word LIKE '%т' UNION ALL SELECT lang, word || 'ься', count + 1 FROM lex WHERE lang = 'ru' AND word LIKE '%т' UNION ALL SELECT lang, {fa('word')}, count + 100 FROM lex WHERE lang <> 'ru') GROUP BY ALL),
+      tv AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS rk FROM sp0)"""
+    spell = f"""WITH {conf}, {spelled}, pr AS (SELECT 'ru' AS lang, * FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in K.PREPOSITIONS)}) v(x, y) UNION ALL SELECT lang, word, regexp_replace(word, 'тся$', 'ться') FROM tv WHERE word LIKE '%тся' AND lang = 'ru'),
+          rk AS (SELECT DISTINCT pr.lang, CASE WHEN a.rk < b.rk THEN x ELSE y END AS a, CASE WHEN a.rk < b.rk THEN y ELSE x END AS b FROM pr JOIN tv a ON a.lang = pr.lang AND a.word = x JOIN tv b ON b.lang = pr.lang AND b.word = y) SELECT * FROM rk ANTI JOIN (SELECT lang, a, b FROM conf UNION SELECT lang, b, a FROM conf) c USING (lang, a, b)"""
     return {
         "j08_confusions": f"WITH {conf} SELECT DISTINCT * FROM conf",
         "j10_spelling_pairs": spell,
-        "j09_accent_groups": f"WITH {LEX}, g AS (SELECT lang, word, count, {fa('word')} AS bare FROM lex WHERE count >= 100 AND length(word) >= 3), sp AS ({spell}) SELECT x.lang, x.word AS a, y.word AS b FROM g x JOIN g y ON x.lang = y.lang AND x.bare = y.bare AND (x.count > y.count OR (x.count = y.count AND x.word > y.word)) ANTI JOIN (SELECT lang, a, b FROM sp UNION SELECT lang, b, a FROM sp) c ON c.lang = x.lang AND c.a = x.word AND c.b = y.word",
+        "j09_accent_groups": f"WITH {LEX}, {spelled}, g AS (SELECT lang, word, count, {fa('word')} AS bare FROM sp0 WHERE count >= 100 AND length(word) >= 3), sp AS ({spell}) SELECT x.lang, x.word AS a, y.word AS b FROM g x JOIN g y ON x.lang = y.lang AND x.bare = y.bare AND (x.count > y.count OR (x.count = y.count AND x.word > y.word)) ANTI JOIN (SELECT lang, a, b FROM sp UNION SELECT lang, b, a FROM sp) c ON c.lang = x.lang AND c.a = x.word AND c.b = y.word",
         "a21_observations": f"WITH {obs} SELECT lang, a, b, truth, feature, count(*) AS n FROM ob GROUP BY ALL",
         "a22_decision_list": f"WITH {rules} SELECT * FROM rl",
         "l18_evidence": f"""WITH {rules}, ty AS (SELECT DISTINCT lang, a, b, sent_id || ':' || (i - 1) || ':' || a || ':' || b AS id, CASE WHEN truth = a THEN b ELSE a END AS alt, feature FROM ob WHERE starts_with(feature, 'w+1='))
@@ -175,5 +188,5 @@ def sql() -> dict[str, str]:
           SELECT lang, key, {r3('ln((yes + 20 * p) / (n + 20) / p)')} AS agree_milli, {r3('ln((n - yes + 20 * (1 - p)) / (n + 20) / (1 - p))')} AS disagree_milli FROM c JOIN g USING (lang)""",
         "a19_kind_fit": f"WITH {S}, {NB}, p AS (SELECT lang || ':' || right(prev, 1) AS l, lang || ':' || right(word, 1) AS r, count(*) AS n FROM nb GROUP BY ALL) SELECT l, r, n, {r3('ln(CAST(n AS DOUBLE) * sum(n) OVER () / (CAST(sum(n) OVER (PARTITION BY l) AS DOUBLE) * sum(n) OVER (PARTITION BY r)))')} AS fit_milli FROM p",
         "f33_pair_nats": f"WITH {S}, {TOK}, {NB}, p AS (SELECT lang, prev, word, count(*) AS n FROM nb GROUP BY ALL HAVING count(*) >= 3), u AS (SELECT lang, word AS prev, count(*) AS np FROM tok GROUP BY ALL) SELECT lang, prev, word, {r3('-ln(least(n / np, 1))')} AS nats_milli, CAST(greatest(0, least(255, round(round(-ln(n / np) / 0.05, 9)) + 128)) AS INTEGER) AS byte FROM p JOIN u USING (lang, prev)",
-        "j03_slang_neighbours": f"WITH {S}, {TOK} SELECT lang, word, count(*) AS n FROM tok WHERE (lang, word) IN (SELECT (lang, lower(c0)) FROM slang) GROUP BY ALL",
+        "j03_pair_masses": f"WITH {S}, {TOK}, {NB}, u AS (SELECT lang, word, count(*) AS n FROM tok GROUP BY ALL), sc AS (SELECT lang, regexp_matches(word, '[а-яё]') AS cyr, CAST(sum(n) AS BIGINT) AS n_script FROM u GROUP BY ALL), p AS (SELECT lang, prev, word, count(*) AS n FROM nb GROUP BY ALL HAVING count(*) >= 2) SELECT p.lang, prev, p.word, p.n, l.n AS n_prev, r.n AS n_word, n_script FROM p JOIN u l ON l.lang = p.lang AND l.word = p.prev JOIN u r ON r.lang = p.lang AND r.word = p.word JOIN sc ON sc.lang = p.lang AND cyr = regexp_matches(p.word, '[а-яё]')",
     }

@@ -180,8 +180,10 @@ def f13_slang_forms(s, d):
 
 
 def f15_compounds(s, d):
+    """German words, and those made of one twice with a linking s, cut into a known modifier and head."""
     lex = B.words(s, d).where("lang = 'de'")
-    return L.compounds(lex, lex.where(F.length("word") >= 4))
+    made = lex.select("lang", "word").union(lex.select("lang", F.concat("word", F.lit("s"), "word"))).distinct()
+    return L.compounds(made, lex.where(F.length("word") >= 4))
 
 
 NAMES = (f01_tokens_by_lang, f08_ending_classes, a01_lexicon, a02_summed_list, a03_unigrams_top, a03_pairs, a04_source_mixture, w01_neighbours, w03_bigrams_kept, a09_ending_pmi,
@@ -249,6 +251,6 @@ def sql() -> dict[str, str]:
         "f11_layout_flip": f"WITH {LEX} SELECT lang, word, {flip('word')} AS flipped, translate(word, {q(''.join(a for a, _ in homes))}, {q(''.join(b for _, b in homes))}) AS home FROM lex",
         "f30_priors": f"WITH {LEX}, {PRIOR} SELECT lang, word, prior_milli, CAST(row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS INTEGER) AS rk FROM pri",
         "f31_quantised": f"WITH {LEX}, {PRIOR} SELECT lang, CAST((prior_milli + 25) // 50 AS INTEGER) AS code, count(*) AS n, CAST(max(abs((prior_milli + 25) // 50 * 50 - prior_milli)) AS INTEGER) AS worst FROM pri GROUP BY ALL",
-        "f15_compounds": f"""WITH {LEX}, h AS (SELECT word FROM lex WHERE lang = 'de' AND length(word) >= 4), c AS (SELECT word, left(word, i) AS modifier, substr(word, i + 1) AS head FROM (SELECT word, CAST(unnest(range(4, length(word) - 3)) AS INTEGER) AS i FROM lex WHERE lang = 'de')), v AS (SELECT DISTINCT word, head, unnest([modifier, regexp_replace(modifier, 's$', '')]) AS modifier FROM c WHERE head IN (FROM h))
+        "f15_compounds": f"""WITH {LEX}, h AS (SELECT word FROM lex WHERE lang = 'de' AND length(word) >= 4), cw AS (SELECT word FROM lex WHERE lang = 'de' UNION SELECT word || 's' || word FROM lex WHERE lang = 'de'), c AS (SELECT word, left(word, i) AS modifier, substr(word, i + 1) AS head FROM (SELECT word, CAST(unnest(range(4, length(word) - 3)) AS INTEGER) AS i FROM cw)), v AS (SELECT DISTINCT word, head, unnest([modifier, regexp_replace(modifier, 's$', '')]) AS modifier FROM c WHERE head IN (FROM h))
           SELECT 'de' AS lang, word, modifier, head FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY length(head) DESC, length(modifier) DESC) AS rn FROM v WHERE modifier IN (FROM h)) WHERE rn = 1""",
     }

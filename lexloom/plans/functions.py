@@ -39,8 +39,13 @@ def f19_previews(s, d):
     return table(s, d, "documents").select("doc_id", X.one_line(F.regexp_replace("text", r"[\x0B\x1C-\x1F]", " ")).alias("preview"))
 
 
+PARTICIPLES = ("ющий", "вшаяся", "щ", "емый")
+
+
 def f20_participles(s, d):
-    return B.words(s, d).where("lang = 'ru'").where(X.is_active_participle(F.col("word"))).select("word")
+    """Russian words and what their stems make with the endings of participles and others."""
+    made = B.words(s, d).where("lang = 'ru'").select(F.explode(F.array("word", *[F.concat("word", F.lit(e)) for e in PARTICIPLES])).alias("word")).distinct()
+    return made.where(X.is_active_participle(F.col("word"))).select("word")
 
 
 def f22_mark_bits(s, d):
@@ -78,7 +83,7 @@ def sql() -> dict[str, str]:
         "f09_as_typed": f"WITH {LEX} SELECT lang, word, CASE WHEN upper(left(word, 1)) <> lower(left(word, 1)) THEN upper(left(word, 1)) || substr(word, 2) ELSE word END AS cap, CASE WHEN length(word) > 1 AND upper(word) <> lower(word) THEN upper(word) WHEN upper(left(word, 1)) <> left(word, 1) THEN upper(word) ELSE word END AS upper_form, word AS plain FROM lex",
         "f16_german_variants": f"WITH {LEX}, v AS (SELECT DISTINCT word, unnest([{', '.join(f'replace(word, {q(a)}, {q(b)})' for a, b in german)}]) AS variant FROM lex WHERE lang = 'de') SELECT word, variant, variant IN (SELECT word FROM lex WHERE lang = 'de') AS known FROM v WHERE variant <> word",
         "f19_previews": "SELECT doc_id, CASE WHEN length(p) > 40 THEN left(p, 39) || '…' ELSE p END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM documents)",
-        "f20_participles": f"WITH {LEX} SELECT word FROM lex WHERE lang = 'ru' AND regexp_matches(regexp_replace(translate(word, 'ё', 'е'), '(ся|сь)$', ''), '(ущ|ющ|ащ|ящ|вш)(ий|ая|ее|ие|его|ей|их|ему|им|ую|ими|ем)$|(ш)(ий|ая|ее|ие)$')",
+        "f20_participles": f"WITH {LEX} SELECT word FROM (SELECT DISTINCT unnest([word, {', '.join('word || ' + q(e) for e in PARTICIPLES)}]) AS word FROM lex WHERE lang = 'ru') WHERE regexp_matches(regexp_replace(translate(word, 'ё', 'е'), '(ся|сь)$', ''), '(ущ|ющ|ащ|ящ|вш)(ий|ая|ее|ие|его|ей|их|ему|им|ую|ими|ем)$|(ш)(ий|ая|ее|ие)$')",
         "f22_mark_bits": f"WITH {S} SELECT lang, CAST({' + '.join(f'CASE WHEN contains({marked}, {q(m)}) THEN {1 << i} ELSE 0 END' for i, m in enumerate(',.!?:;—' + chr(34) + '()'))} AS BIGINT) AS bits, count(*) AS n FROM s GROUP BY ALL",
         "f34_key_costs": f"WITH k(board, ch, x, y) AS (VALUES {keys}) SELECT a.board, a.ch AS typed, b.ch AS meant, round(least((pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / (2 * 0.45 * 0.45), 6.0) + 0.5, 6) AS cost FROM k a JOIN k b ON a.board = b.board AND a.ch <> b.ch",
         "pred23_sentence_ends": f"WITH {S} SELECT lang, rtrim(text) = '' OR (regexp_matches(rtrim(text), '[.!?…][»”\")]*$') AND NOT regexp_matches(rtrim(text), '(^|[\\s(])\\p{{L}}\\.$|(^|\\s)(т|д|п|e|z|i|u|s|g|p)\\.\\s?(е|к|н|п|g|B|d|a|ex)\\.$')) AS ends, count(*) AS n FROM s GROUP BY ALL",

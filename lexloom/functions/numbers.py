@@ -11,6 +11,16 @@ def prior_milli(count: Column, total: Column) -> Column:
     return F.floor(F.round(F.greatest(F.ln(F.greatest(total, F.lit(1)).cast("double")) - F.ln(count + F.lit(0.5)), F.lit(0.0)) * 1000, 6)).cast("int")
 
 
+def floor_milli(total: Column) -> Column:
+    """The prior of a word that the counts never saw, in steps of a tenth of a nat."""
+    return (F.round(F.round((F.ln(F.greatest(total, F.lit(1)).cast("double")) - F.ln(F.lit(0.5))) * 10, 6)) * 100).cast("int")
+
+
+def unseen(prior: Column, floor: Column, span: int = 1700) -> Column:
+    """Whether a prior is at the floor, or within ``span`` of it: a word hardly ever seen."""
+    return prior + span >= floor
+
+
 def quantise(prior: Column, step: int = 50) -> Column:
     return F.floor((prior + step // 2) / step).cast("int")
 

@@ -338,3 +338,9 @@ def nearest_by_levenshtein(typed: DataFrame, lexicon: DataFrame, most: int = 2,
     j = spread(typed.select("qid", "lang", "typed"), "typed").join(spread(lexicon.select("lang", "word"), "word"), ["lang", "key"]).select("qid", "typed", "word").distinct()
     d = j.withColumn("dist", F.levenshtein("typed", "word")).where(F.col("dist") <= most)
     return d.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "word"))).where(F.col("rk") <= k)
+
+
+def without_blocked(cands: DataFrame, offensive: DataFrame) -> DataFrame:
+    """Candidates (lang, typed, word, ...) without offensive words (lang, word), unless one is exactly what was typed."""
+    bad = offensive.select("lang", "word", F.lit(True).alias("__bad")).distinct()
+    return cands.join(bad, ["lang", "word"], "left").where(F.col("__bad").isNull() | (F.col("word") == F.col("typed"))).select(*cands.columns)

@@ -309,6 +309,24 @@ def link_kinds(e: DataFrame, tags: DataFrame) -> DataFrame:
     return pairs.join(t.select(F.col("word").alias("dw"), F.col("tag").alias("ltag"), F.col("w").alias("w1")), "dw").join(t.select(F.col("word").alias("hw"), F.col("tag").alias("htag"), F.col("w").alias("w2")), "hw").groupBy("ltag", "htag", "rel", "side", "far").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("share"))
 
 
+def link_recall(kinds: DataFrame, links: DataFrame, least: tuple[float, ...] = (1.0, 5.0, 20.0)) -> DataFrame:
+    """(least, kinds, links, head_hits, hits): how many held-out links the kinds seen ``least`` times or more allow, with any relation and with their own.
+
+    ``kinds`` (ltag, htag, rel, side, far, share), ``links`` the same of held-out links, share their number.
+    """
+    keys = ["ltag", "htag", "side", "far"]
+    out = []
+    for x in least:
+        allowed = kinds.where(F.col("share") >= x)
+        ends = allowed.select(*keys).distinct().withColumn("head", F.lit(1))
+        own = allowed.select(*keys, "rel").withColumn("own", F.lit(1))
+        j = links.join(ends, keys, "left").join(own, [*keys, "rel"], "left")
+        n = j.groupBy(F.lit(float(x)).alias("least")).agg(F.sum("share").alias("links"), F.sum(F.when(F.col("head").isNotNull(), F.col("share")).otherwise(0.0)).alias("head_hits"), F.sum(F.when(F.col("own").isNotNull(), F.col("share")).otherwise(0.0)).alias("hits"))
+        size = allowed.groupBy(F.lit(float(x)).alias("least")).agg(F.count("*").alias("kinds"))
+        out.append(n.join(size, "least").select("least", "kinds", "links", "head_hits", "hits"))  # a row each
+    return reduce(DataFrame.union, out)
+
+
 def antecedents(nouns: DataFrame, pronouns: DataFrame) -> DataFrame:
     """(id, pos, noun_pos, p): earlier nouns a pronoun may mean, by gender and number; the chances of one pronoun are equal."""
     j = pronouns.alias("p").join(nouns.alias("n"), (F.col("p.id") == F.col("n.id")) & (F.col("n.pos") < F.col("p.pos")) & F.col("n.gender").eqNullSafe(F.col("p.gender")) & F.col("n.number").eqNullSafe(F.col("p.number")))

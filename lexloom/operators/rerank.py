@@ -32,6 +32,47 @@ def rerank(cands: DataFrame, pairs: DataFrame, endings: DataFrame, lexicon: Data
     return priced.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("cost", "word"))).select("qid", "typed", "word", "cost", "rk")
 
 
+# How far a fit and a topic may move a word, and what a pair of readings never seen together says.
+FIT_CLAMP, TOPIC_CLAMP, UNSEEN_CLASS_PAIR = 4.0, 1.5, -1.5
+
+
+def class_fit(places: DataFrame, tags: DataFrame, tag_pairs: DataFrame) -> DataFrame:
+    """(lang, prev, word, class_fit): how much likelier a word's grammar is after the previous one's, by the best pair of their readings.
+
+    ``places`` (lang, prev, word), ``tags`` (lang, word, tags); places with a word without readings have no row.
+    """
+    of = lambda w, t: tags.where(F.size("tags") > 0).select("lang", F.col("word").alias(w), F.col("tags").alias(t))
+    j = places.select("lang", "prev", "word").distinct().join(of("prev", "lt"), ["lang", "prev"]).join(of("word", "rt"), ["lang", "word"])
+    each = j.select("lang", "prev", "word", F.explode("lt").alias("ltag"), "rt").select("lang", "prev", "word", "ltag", F.explode("rt").alias("rtag"))
+    scored = each.join(tag_pairs.select("lang", "ltag", "rtag", "pmi8_milli"), ["lang", "ltag", "rtag"], "left")
+    return scored.groupBy("lang", "prev", "word").agg(F.coalesce(F.max("pmi8_milli") / 1000 - 8, F.lit(UNSEEN_CLASS_PAIR)).alias("class_fit"))
+
+
+def weigh(cands: DataFrame, pairs: DataFrame, endings: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(qid, word, cost, rk): candidates (qid, lang, prev, word, edit, cost) as the place gives them; cost less edit is the word's own price.
+
+    Further columns of ``cands`` speak where they are there and not null: ``frame_fit`` (the previous word's frame), ``class_fit`` (the
+    readings of both), ``lemma_fit`` (the lemma vectors), ``phrase`` with ``by_subject`` (what the words before rule and ask), ``topic``
+    (the mean of the sense classes of the sentence), and ``chooser`` (a model's log odds).  The frame speaks before the classes, and these before
+    the endings.  A place without a previous word keeps the word's own price.  Ties go in order of the words.
+    """
+    at = lambda c: F.col(c) if c in cands.columns else F.lit(None).cast("double")
+    clamp = lambda x, most: F.greatest(F.lit(-most), F.least(F.lit(most), x))
+    c = cands.withColumn("__l", X.left_class(F.col("prev"))).withColumn("__r", X.right_class(F.col("word")))
+    j = c.join(pairs.select("lang", "prev", "word", "nats_milli"), ["lang", "prev", "word"], "left").join(endings.select("lang", F.col("lclass").alias("__l"), F.col("rclass").alias("__r"), "pmi8_milli"), ["lang", "__l", "__r"], "left")
+    forms = F.coalesce(F.nullif(at("frame_fit"), F.lit(0.0)), at("class_fit"))
+    ending = F.coalesce(F.col("pmi8_milli") / 1000 - 8, F.lit(0.0))
+    fit = F.when(forms.isNotNull(), cfg.classes * clamp(forms, FIT_CLAMP)).otherwise(cfg.endings * clamp(ending, FIT_CLAMP))
+    lemma = cfg.lemma * clamp(F.coalesce(at("lemma_fit"), F.lit(0.0)), FIT_CLAMP)
+    own = (F.col("cost") - F.col("edit")) / cfg.w_lm
+    mixed = F.when(F.col("prev").isNull(), own).otherwise(N.contextual(own, F.col("nats_milli") / 1000, fit + lemma, cfg.ctx_lambda))
+    phrase = F.when(F.coalesce(at("by_subject").cast("boolean"), F.lit(False)), cfg.subject).otherwise(cfg.phrase) * F.coalesce(at("phrase"), F.lit(0.0))
+    chooser = clamp(cfg.chooser * F.coalesce(at("chooser"), F.lit(0.0)), cfg.chooser_clamp)
+    topic = cfg.topic * clamp(F.coalesce(at("topic"), F.lit(0.0)), TOPIC_CLAMP)
+    priced = j.select("qid", "word", F.round(F.col("edit") + cfg.w_lm * mixed - phrase - chooser - topic, 6).alias("cost"))
+    return priced.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("cost", "word")))
+
+
 def topic_shift(words: DataFrame, topics: DataFrame, pmi: DataFrame, weight: float = 0.25, most: float = 1.5) -> DataFrame:
     """(id, word, shift_milli): a word (id, word, cls) against the topics of a place (id, topic): the mean of what is known, clamped."""
     j = words.join(topics, "id").join(pmi.select(F.col("a").alias("cls"), F.col("b").alias("topic"), "pmi_milli"), ["cls", "topic"], "left")

@@ -16,14 +16,16 @@ from ..sources import store
 from ..tables import ready, shared_folder
 from . import base as B
 
-TABLES = ("build_frames", "lexicon", "mix_targets")
+#: The tables a key space is made of; those not listed are made of all three.
+NEEDS = {"dictionary": ("lexicon",), "confusions": ("lexicon",), "yo": ("lexicon",)}
+ALL = ("build_frames", "lexicon", "mix_targets")
 _BUILT: dict[tuple, str] = {}
 
 
-def _stamp(s: SparkSession, d: str) -> tuple:
+def _stamp(s: SparkSession, d: str, space: str) -> tuple:
     """When the tables were written, and how large they are: another one means another store."""
     out = []
-    for name in TABLES:
+    for name in NEEDS.get(space, ALL):
         path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
         fs = path.getFileSystem(s._jsc.hadoopConfiguration())
         out.append((fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
@@ -32,7 +34,7 @@ def _stamp(s: SparkSession, d: str) -> tuple:
 
 def space(s: SparkSession, d: str, name: str) -> DataFrame:
     """A key space of the tables of a folder, from the store."""
-    key = (s.sparkContext.applicationId, d, name, _stamp(s, d))
+    key = (s.sparkContext.applicationId, d, name, _stamp(s, d, name))
     if key not in _BUILT:
         folder = f"{shared_folder(s)}/lexloom-store-{uuid.uuid4().hex}"
         store.write(MAKE[name](ready(s), d), folder, name)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import context, corpus, decode, files, functions, interactive, words
+from .plans import context, corpus, decode, files, functions, interactive, more, words
 
-PLANS = (corpus, context, decode, interactive, functions, files, words)
+PLANS = (corpus, context, decode, interactive, functions, files, words, more)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

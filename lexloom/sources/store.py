@@ -60,6 +60,49 @@ def casing_flags(proper: DataFrame, offensive: DataFrame) -> DataFrame:
     return first.join(bad, ["lang", "word"], "full").select("lang", "word", F.coalesce("flag", F.lit(0)).bitwiseOR(F.coalesce("bad", F.lit(0))).alias("flag"))
 
 
+def prior_blocks(priors: DataFrame, size: int = 64) -> DataFrame:
+    """(lang, block, level, least): the least prior of blocks of ``size`` words in order of the words, and of blocks of such blocks.
+
+    ``priors`` (lang, place, prior_milli), where place counts from 0.  Level 0 holds blocks of words, level 1 blocks of blocks.
+    """
+    zero = priors.groupBy("lang", F.floor(F.col("place") / size).cast("long").alias("block")).agg(F.min("prior_milli").alias("least"))
+    one = zero.groupBy("lang", F.floor(F.col("block") / size).cast("long").alias("block")).agg(F.min("least").alias("least"))
+    return zero.select("lang", "block", F.lit(0).alias("level"), "least").union(one.select("lang", "block", F.lit(1), "least"))
+
+
+def write_weights(spark: SparkSession, weights: dict, folder: str) -> None:
+    """Matrices of a model as bytes with a scale per row: (name, row, bytes, scale)."""
+    import numpy as np
+
+    rows = []
+    for name, w in weights.items():
+        m = np.atleast_2d(w)
+        scale = np.maximum(np.abs(m).max(-1, keepdims=True), 1e-12) / 127
+        rows += [(name, i, np.round(m[i] / scale[i]).astype(int).tolist(), float(scale[i, 0]), w.ndim) for i in range(len(m))]
+    spark.createDataFrame(rows, "name string, row int, bytes array<int>, scale double, dims int").withColumn("bytes", F.transform("bytes", lambda x: x.cast("tinyint"))).write.mode("overwrite").parquet(folder)
+
+
+def read_weights(spark: SparkSession, folder: str) -> dict:
+    """The matrices again, within half a step of each row's scale."""
+    import numpy as np
+
+    out: dict = {}
+    for r in spark.read.parquet(folder).orderBy("name", "row").collect():  # a model's own size
+        out.setdefault(r.name, (r.dims, []))[1].append(np.array(r.bytes, float) * r.scale)
+    return {k: np.array(m) if dims == 2 else m[0] for k, (dims, m) in out.items()}
+
+
+def user_words(overlay: DataFrame, changes: DataFrame) -> DataFrame:
+    """(word): a user's own words after changes (word, at, add boolean); the last change of a word holds.
+
+    Taken are words of letters with inner apostrophes and hyphens, at most 32 long.
+    """
+    last = changes.groupBy("word").agg(F.max_by("add", "at").alias("add"))
+    fits = (F.length("word") <= 32) & F.col("word").rlike(r"^[\p{L}'-]*\p{L}[\p{L}'-]*$")
+    kept = overlay.select("word").distinct().join(last.where("NOT add").select("word"), "word", "left_anti")
+    return kept.union(last.where("add").where(fits).select("word")).distinct()
+
+
 def yo_masks(words: DataFrame) -> DataFrame:
     """(lang, e_form, mask): which е of a word are ё, for words spelled with е that aren't words of their own."""
     bits = F.aggregate(F.transform(F.split("word", ""), lambda c, i: F.when(c == "ё", F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)

@@ -61,16 +61,23 @@ def step(state: dict, ts: int, tilt: list[float] | None, tap: float | None, over
     return None
 
 
-def stream(samples: DataFrame, grips: dict[str, dict]) -> DataFrame:
-    """(session, ts_ms, grip, chance) whenever the guess changes; samples (session, ts_ms, tilt array<double>, tap double, overlap boolean), streaming."""
+def stream(samples: DataFrame, grips: dict[str, dict], idle_ms: int = 6 * 3_600_000) -> DataFrame:
+    """(session, ts_ms, grip, chance) whenever the guess changes; samples (session, ts_ms, tilt array<double>, tap double, overlap boolean), streaming.
+
+    The state of a session that is idle for ``idle_ms`` of processing time is dropped.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
         state = json.loads(kept.get[0]) if kept.exists else fresh()
         out = _replay(state, key[0], pd.concat(list(frames)).sort_values("ts_ms", kind="stable"), grips)
         kept.update((json.dumps(state),))
+        kept.setTimeoutDuration(idle_ms)
         yield out
 
-    return samples.groupBy("session").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("session").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def batch(samples: DataFrame, grips: dict[str, dict]) -> DataFrame:

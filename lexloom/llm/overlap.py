@@ -69,22 +69,13 @@ def first_words(n: int, shared: int, of: int) -> int:
     return min(out, n)
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+class _Hashes(dict):
+    """64 bits of hash of words, the last ones remembered."""
 
-
-class _Words:
-    """Words as numbers in the common order: the count of their cell, then 44 bits of their hash."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.memo = counts, {}
-
-    def __call__(self, word: str) -> int:
-        if (v := self.memo.get(word)) is None:
-            if len(self.memo) >= MOST_KEPT:
-                self.memo.clear()
-            h = _hash(word)
-            self.memo[word] = v = (min(int(self.counts[h % CELLS]), (1 << 19) - 1) << 44) | (h >> 20)
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_KEPT:
+            self.clear()
+        self[word] = v = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return v
 
 
@@ -98,42 +89,54 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sets(batch: pa.RecordBatch) -> tuple[list[int], list[set[str]], np.ndarray]:
-    """(rows, sets, classes) of the rows of (text, lang) with a word; a class is two numbers, both hashes of a set's words."""
-    rows, sets = [], []
-    for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())):
-        if ws := set(words_of(text, lang == "ru")):
-            rows.append(i)
-            sets.append(ws)
-    digest = b"".join(xxhash.xxh3_64_digest("\0".join(sorted(ws)).encode("utf-8", "surrogatepass")) for ws in sets)
-    return rows, sets, np.frombuffer(digest, "<i8")
-
-
-def _described(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The number of words and the bitmap of each set; ``hashes`` are those of the words, set after set."""
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    bits = np.bitwise_or.reduceat(np.uint64(1) << ((hashes & np.uint64((1 << 44) - 1)) % np.uint64(BITS) + np.uint64(12)), np.cumsum(sizes) - sizes)
-    return (bits | np.minimum(sizes, SIZE).astype(np.uint64)).view(np.int64)
+class _Sets:
+    """The word sets of the rows of (text, lang) that have a word.
 
+    ``rows`` are their places, ``sizes`` their numbers of words, ``hashes`` those of the words, set after set, which begin at ``starts``
+    and belong to ``row``.  A class is two numbers, ``k``, a sum of hashes, and ``kn``, the number of words and a bitmap of them.
+    """
 
-def _unseen(classes: np.ndarray, seen: set[int]) -> list[int]:
-    """The places of classes that a task has not given yet."""
-    out = []
+    def __init__(self, batch: pa.RecordBatch, memo: _Hashes):
+        self.rows, self.sets = [], []
+        for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())):
+            if ws := set(words_of(text, lang == "ru")):
+                self.rows.append(i)
+                self.sets.append(ws)
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        self.hashes = np.fromiter(map(memo.__getitem__, chain.from_iterable(self.sets)), np.uint64, int(self.sizes.sum()))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.row = np.repeat(np.arange(len(self.sets)), self.sizes)
+        if self.sets:
+            self.k = np.add.reduceat(_mix(self.hashes, self.hashes >> np.uint64(32)), self.starts).view(np.int64)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (self.hashes % np.uint64(BITS) + np.uint64(12)), self.starts)
+            self.kn = (bits | np.minimum(self.sizes, SIZE).astype(np.uint64)).view(np.int64)
+        else:
+            self.k = self.kn = np.zeros(0, np.int64)
+
+
+def _unseen(classes: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which classes a task has not given yet."""
+    out = np.zeros(len(classes), bool)
     for i, k in enumerate(classes.tolist()):
         if k not in seen:
             if len(seen) >= MOST_KEPT:
                 seen.clear()
             seen.add(k)
-            out.append(i)
+            out[i] = True
     return out
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(CELLS, np.int64)
+    sums, memo = np.zeros(CELLS, np.int64), _Hashes()
     for batch in batches:
-        cells = [_hash(w) % CELLS for ws in _sets(batch)[1] for w in ws]
-        sums += np.bincount(np.array(cells, np.int64), minlength=CELLS)
+        sums += np.bincount((_Sets(batch, memo).hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
     at = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["cell", "n"])
 
@@ -153,19 +156,22 @@ def _signatures(counts, table, shared: int, of: int) -> Callable[[Iterator[pa.Re
     """Rows of (text, lang) -> one row per signature of each class, once a task; without those that a table of bits lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = _Words(counts.value), set()
+        memo, seen = _Hashes(), set()
+        often = np.minimum(counts.value, (1 << 19) - 1).astype(np.uint64)
         for batch in batches:
-            _, sets, classes = _sets(batch)
-            new = _unseen(classes, seen)
-            if not new:
+            z = _Sets(batch, memo)
+            if not len(z.sets):
+                continue
+            new = _unseen(z.k, seen)
+            own = new[z.row]
+            k, kn, n = z.k[new], z.kn[new], z.sizes[new]
+            if not len(k):
                 continue
-            lists = [sorted(map(number, sets[i])) for i in new]
-            k, n = classes[new], np.array([len(x) for x in lists])
-            keys = np.fromiter(chain.from_iterable(lists), np.uint64, int(n.sum()))
-            kn = _described(n, keys)
-            starts = np.cumsum(n) - n
+            # the common order: how often the word's cell was counted, then its hash
+            keys = (often[(z.hashes[own] % np.uint64(CELLS)).astype(np.int64)] << np.uint64(44)) | (z.hashes[own] >> np.uint64(20))
             row = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(keys)) - starts[row]
+            keys = keys[np.lexsort((keys, row))]
+            place = np.arange(len(keys)) - (np.cumsum(n) - n)[row]
             end = np.array([first_words(int(x), shared, of) for x in n])[row]
             met = keys >= np.uint64(1 << 44)  # words that an evaluation record may hold
             sigs, rows = [k], [np.arange(len(n))]
@@ -199,17 +205,14 @@ def _members(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """Rows of (id, held, text, lang) -> (id, held, k, kn, words): the records of the wanted classes (of all, if None); a task gives the words of a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        memo, seen = _Hashes(), set()
         for batch in batches:
-            rows, sets, classes = _sets(batch)
-            kept = np.arange(len(rows)) if wanted is None else np.flatnonzero(np.isin(classes, wanted.value))
-            own, k = batch.take(pa.array(np.array(rows, np.int64)[kept])), classes[kept]
-            mine = [sets[i] for i in kept.tolist()]
-            hashes = np.fromiter((_hash(w) >> 20 for ws in mine for w in ws), np.uint64)
-            kn = _described(np.fromiter(map(len, mine), np.int64, len(mine)), hashes)
-            first = set(_unseen(k, seen))
-            words = [sorted(ws) if j in first else None for j, ws in enumerate(mine)]
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k), pa.array(kn), pa.array(words, pa.list_(pa.string()))], names=["id", "held", "k", "kn", "words"])
+            z = _Sets(batch, memo)
+            kept = np.arange(len(z.rows)) if wanted is None else np.flatnonzero(_among(z.k, wanted.value))
+            own, k = batch.take(pa.array(np.array(z.rows, np.int64)[kept])), z.k[kept]
+            first = _unseen(k, seen)
+            words = [sorted(z.sets[i]) if new else None for i, new in zip(kept.tolist(), first)]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k), pa.array(z.kn[kept]), pa.array(words, pa.list_(pa.string()))], names=["id", "held", "k", "kn", "words"])
 
     return run
 
@@ -231,7 +234,7 @@ def _of_classes(recs: DataFrame, wanted) -> DataFrame:
     return recs.select("id", "held", "text", "lang").mapInArrow(_members(wanted), f"id {kind}, held boolean, k long, kn long, words array<string>")
 
 
-def class_pairs(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int = 2_000_000, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def class_pairs(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int = 500_000, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((hk, hkn, tk, tkn): pairs of similar classes, (id, held, k, kn): the records of these classes), both written.
 
     Up to ``most_kept`` classes are told to the scan that fetches words, beyond that they are joined.  ``rows`` is about how many
@@ -267,7 +270,7 @@ def class_pairs(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int =
     return checked.select(*pair).checkpoint(), found.select("id", "held", "k", "kn").distinct()
 
 
-def overlaps(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int = 2_000_000, rows: int | None = None) -> DataFrame:
+def overlaps(recs: DataFrame, shared: int = 7, of: int = 10, most_kept: int = 500_000, rows: int | None = None) -> DataFrame:
     """(held_id, train_id): all pairs of a held-out and a training record with at least shared / of of all their words in common."""
     pairs, members = class_pairs(recs, shared, of, most_kept, rows)
     side = lambda cond, name, x: members.where(cond).select(F.col("id").alias(name), F.col("k").alias(f"{x}k"), F.col("kn").alias(f"{x}kn"))

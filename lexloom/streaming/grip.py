@@ -61,10 +61,11 @@ def step(state: dict, ts: int, tilt: list[float] | None, tap: float | None, over
     return None
 
 
-def stream(samples: DataFrame, grips: dict[str, dict], idle_ms: int = 6 * 3_600_000) -> DataFrame:
+def stream(samples: DataFrame, grips: dict[str, dict], idle_ms: int | None = None) -> DataFrame:
     """(session, ts_ms, grip, chance) whenever the guess changes; samples (session, ts_ms, tilt array<double>, tap double, overlap boolean), streaming.
 
-    The state of a session that is idle for ``idle_ms`` of processing time is dropped.
+    With ``idle_ms`` the state of a session that is idle for so long, by processing time, is dropped.  That is for streams that run on:
+    a trigger that ends when all input is read never ends with it, as time goes on.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,10 +75,11 @@ def stream(samples: DataFrame, grips: dict[str, dict], idle_ms: int = 6 * 3_600_
         state = json.loads(kept.get[0]) if kept.exists else fresh()
         out = _replay(state, key[0], pd.concat(list(frames)).sort_values("ts_ms", kind="stable"), grips)
         kept.update((json.dumps(state),))
-        kept.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            kept.setTimeoutDuration(idle_ms)
         yield out
 
-    return samples.groupBy("session").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return samples.groupBy("session").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def batch(samples: DataFrame, grips: dict[str, dict]) -> DataFrame:

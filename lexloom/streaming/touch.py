@@ -118,10 +118,11 @@ def batch(events: DataFrame, fixes: dict[str, str] | None = None) -> DataFrame:
     return clean.repartition("session").sortWithinPartitions("session", "ts_ms", "action", "key").mapInPandas(run, OPS)
 
 
-def stream(events: DataFrame, fixes: dict[str, str] | None = None, idle_ms: int = 6 * 3_600_000) -> DataFrame:
+def stream(events: DataFrame, fixes: dict[str, str] | None = None, idle_ms: int | None = None) -> DataFrame:
     """The same of a stream; each trigger's events of a session are taken in order of time, the state is kept as JSON.
 
-    The state of a session that is idle for ``idle_ms`` of processing time is dropped.
+    With ``idle_ms`` the state of a session that is idle for so long, by processing time, is dropped.  That is for streams that run on:
+    a trigger that ends when all input is read never ends with it, as time goes on.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -132,11 +133,12 @@ def stream(events: DataFrame, fixes: dict[str, str] | None = None, idle_ms: int
         pdf = pd.concat(list(frames)).sort_values(["ts_ms", "action", "key"], kind="stable")  # one trigger's events of one session
         out = list(_run(state, key[0], zip(pdf["ts_ms"].tolist(), pdf["action"], pdf["key"]), fixes))
         kept.update((json.dumps(state),))
-        kept.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            kept.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "seq", "op", "text"])
 
     clean = events.where("session IS NOT NULL AND ts_ms IS NOT NULL AND action IS NOT NULL AND key IS NOT NULL").select("session", F.col("ts_ms").cast("long").alias("ts_ms"), "action", "key")
-    return clean.groupBy("session").applyInPandasWithState(run, OPS, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clean.groupBy("session").applyInPandasWithState(run, OPS, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def pressed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

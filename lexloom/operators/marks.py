@@ -1,18 +1,22 @@
 """Marks of a sentence from its links, as rules over an edge table.
 
-Each rule is a filter of edges that yields places; where several speak of a place the earliest word's, then the
+Each rule is a test of a word that yields places, read within its sentence; where several speak of a place the earliest word's, then the
 rule that stands first in ``ORDER``, holds.  Edges (id, pos, word, head, rel, upos, form, chance) come with the
 reach of each subtree (lo, hi); forms are conv (gerund), part (participle), fin, inf.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..data import ADVERSATIVE, APART_MORE, ASIDE_FIRST, ASIDE_PHRASES, ASKING, GERUND_IDIOMS, INTERJECTIONS, JOINING, PAREN_PHRASES, PARENTHETICAL, QUESTION, SAYING, SUBORDINATING
+from .graph import reach_of
 
 ORDER = (
     "aside first", "interjection first", "gerund idiom", "gerund", "participle after", "relative", "subordinate first", "subordinate", "advcl", "ccomp", "address",
@@ -24,92 +28,199 @@ def with_reach(e: DataFrame, reach: DataFrame) -> DataFrame:
     return e.join(reach.select("id", "pos", "lo", "hi"), ["id", "pos"])
 
 
+#: Set phrases by their first word.
+PHRASES: dict[str, list[tuple[list[str], str]]] = {}
+for _phrases, _rule in ((PAREN_PHRASES, "set phrase"), (ASIDE_PHRASES, "set aside")):
+    for _p in _phrases:
+        PHRASES.setdefault(_p.split(" ")[0], []).append((_p.split(" "), _rule))
+RANK = {r: k for k, r in enumerate(ORDER)}
+IDIOMS, ADVERSE, SAID = {*GERUND_IDIOMS}, {*ADVERSATIVE} - {*JOINING}, (*SAYING,)
+FIRST, SUBORDINATE, PAREN, APART, CRIES = (frozenset(x) for x in (ASIDE_FIRST, SUBORDINATING, PARENTHETICAL, APART_MORE, INTERJECTIONS))
+STILL = {"nsubj", "cc", "punct", "mark"}
+
+
+class Sentence:
+    """The words of one sentence in their order, as lists, and the words that hang on each; what is missing is empty."""
+
+    def __init__(self, pos: list[int], word: list[str], head: list[int], rel: list[str], upos: list[str], form: list[str], lo: list[int], hi: list[int]):
+        self.pos, self.word, self.head, self.rel, self.upos, self.form, self.lo, self.hi = pos, word, head, rel, upos, form, lo, hi
+        self.kids: dict[int, list[int]] = {}
+        for i, h in enumerate(head):
+            if h > 0:
+                self.kids.setdefault(h, []).append(i)
+
+    def rule(self, i: int) -> tuple[str, tuple[int, ...]] | None:
+        """The first rule that fits a word, and where it puts commas."""
+        pos, word, head, rel, form = self.pos[i], self.word[i], self.head[i], self.rel[i], self.form[i]
+        lo, kids = self.lo[i], self.kids.get(pos, ())
+        around = (lo, self.hi[i] + 1)
+        if pos == 1 and self.pos[-1] > 1 and not kids and rel not in ("case", "det", "amod", "nummod", "fixed", "flat", "compound"):
+            if word in FIRST:
+                return "aside first", (2,)
+            if word in CRIES:
+                return "interjection first", (2,)
+        if rel not in RULED:
+            return None
+        rels = [self.rel[k] for k in kids]
+        clause = form == "fin" or "nsubj" in rels or "cop" in rels
+        if rel == "advcl":
+            if form == "conv" or any(self.rel[k] == "cop" and self.form[k] == "conv" for k in kids):
+                idiom = i + 1 < len(self.pos) and self.pos[i + 1] == pos + 1 and (word, self.word[i + 1]) in IDIOMS
+                return ("gerund idiom", ()) if idiom else ("gerund", around)
+            if clause:
+                joined = any(self.rel[k] == "mark" and self.word[k] in SUBORDINATE for k in kids)
+                return ("advcl" if not joined else "subordinate first" if lo == 1 else "subordinate"), around
+        if rel == "acl" and form == "part":
+            return "participle after", around if lo > head else ()
+        if rel in ("acl", "acl:relcl") and form != "part" and clause:
+            return "relative", around
+        if rel == "ccomp" and clause:
+            return "ccomp", around
+        if rel == "vocative":
+            return "address", around
+        if rel == "parataxis" and word in PAREN:
+            return "parenthetical", around
+        if (rel == "discourse" and word in CRIES) or (rel == "parataxis" and word in APART):
+            return "apart word", around
+        if not kids and rel in ("discourse", "parataxis") and self.upos[i] == "INTJ":
+            return "interjection", around
+        if rel == "parataxis":
+            if not kids and lo == 1 and head > 1:
+                return "apart at the start", around
+            if lo > head and word.startswith(SAID):
+                return "said", around
+        if rel in ("parataxis", "appos"):
+            return "aside", ()  # dash, colon or brackets as often: the writer's
+        if rel in ("obl", "advcl") and any(self.word[k] == "несмотря" for k in kids):
+            return "despite", around
+        if rel == "conj":
+            cc = next((k for k in kids if self.rel[k] == "cc" and self.pos[k] < pos), None)
+            start = (lo if cc is None else self.pos[cc],)
+            if cc is None:
+                return "listed", start
+            if self.word[cc] in ADVERSE:
+                return "adversative", start
+            sisters = self.kids.get(head, ())
+            before = [k for k in sisters if self.pos[k] < head]
+            if clause and "nsubj" in rels and any(self.rel[k] == "nsubj" for k in sisters) and all(self.rel[k] in STILL for k in before):
+                return "clauses", start
+            if any(self.rel[k] == "cc" and self.word[k] == self.word[cc] for k in before):
+                return "repeated", start
+        return None
+
+    def commas(self) -> list[tuple[int, str, str, int]]:
+        """(before, mark, rule, index of the word that put it); single words speak before set phrases, earlier words before later ones."""
+        n, best = self.pos[-1], {}
+
+        def put(at: int, *key) -> None:
+            if 2 <= at <= n and (at not in best or key < best[at]):
+                best[at] = key
+
+        for i, w in enumerate(self.word):
+            if (i == 0 or self.rel[i] in RULED) and (found := self.rule(i)):
+                for at in found[1]:
+                    put(at, False, i, RANK[found[0]], found[0])
+            for phrase, rule in PHRASES.get(w, ()):
+                if self.word[i : i + len(phrase)] == phrase:
+                    # one of «по» and a noun with all that hangs on the noun
+                    last = i + len(phrase) - 1
+                    end = max(self.hi[last], self.pos[last]) if w == "по" and len(phrase) == 2 else self.pos[last]
+                    put(self.pos[i], True, last, RANK[rule], rule)
+                    put(end + 1, True, last, RANK[rule], rule)
+        return [(at, ",", rule, i) for at, (_, i, _, rule) in best.items()]
+
+    def dashes(self) -> list[tuple[int, str, str, int]]:
+        out = []
+        for i, pos in enumerate(self.pos):
+            kids = self.kids.get(pos, ())
+            if not kids or any(self.rel[k] in ("cop", "aux") for k in kids):
+                continue
+            for k in kids:
+                if self.rel[k] == "nsubj" and self.pos[k] < pos:
+                    nouns = self.upos[i] in ("NOUN", "PROPN", "NUM") and self.upos[k] in ("NOUN", "PROPN")
+                    if nouns or (self.form[i] == "inf" and self.form[k] == "inf"):
+                        at = min([self.lo[i], *(self.pos[x] for x in kids if self.word[x] == "это")])
+                        at = at if at > self.hi[k] else max(self.hi[k] + 1, at)
+                        if at >= 2:
+                            out.append((at, "—", "zero copula" if nouns else "infinitives", i))
+        return out
+
+
+#: The relations that a rule speaks of, besides those of the first word.
+RULED = {"advcl", "acl", "acl:relcl", "ccomp", "vocative", "parataxis", "discourse", "appos", "obl", "conj"}
+PARTS = ("pos", "word", "head", "rel", "upos", "form", "lo", "hi")
+
+
+#: Words by which one that stands first, a phrase, or «несмотря» on another word may put commas; relations that may.
+SPEAKING, SPEAKING_RELS = pa.array(sorted({*PHRASES, *FIRST, *CRIES, "несмотря"})), pa.array(sorted(RULED - {"obl"}))
+
+
+def _may_speak(flat: dict[str, pa.Array], cuts: np.ndarray) -> np.ndarray:
+    """Which sentences hold a word that a rule or a dash could speak of; no mark stands in the others."""
+    of = lambda c, held: pc.is_in(flat[c], value_set=held).to_numpy(zero_copy_only=False)
+    speaks, subject = of("word", SPEAKING) | of("rel", SPEAKING_RELS), of("rel", pa.array(["nsubj"]))
+    if "pos" not in flat and len(subject):
+        sizes = np.diff(cuts)
+        head, size = flat["head"].fill_null(0).to_numpy(), np.repeat(sizes, sizes)
+        inside = subject & (head > 0) & (head <= size)
+        above = np.where(inside, np.repeat(cuts[:-1], sizes) + head - 1, 0)
+        subject = inside & (of("upos", pa.array(["NOUN", "PROPN", "NUM"])) | of("form", pa.array(["inf"])))[above]
+    return np.diff(np.r_[0, np.cumsum(speaks | subject)][cuts]) > 0
+
+
+def _of_sentences(rows: DataFrame, commas: bool, dashes: bool) -> DataFrame:
+    """(id, before, mark, rule, by, chance) of a row for each sentence: arrays of its words' columns.  Without ``pos`` words count from 1, without ``lo`` and ``hi`` reaches are those of the heads."""
+    names = [c for c in (*PARTS, "chance") if c in rows.columns]
+
+    def parted(b: pa.RecordBatch) -> tuple[dict[str, pa.Array], np.ndarray]:
+        offsets = b.column("word").offsets.to_numpy()
+        return {c: b.column(c).flatten() for c in names}, offsets - offsets[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, cuts = parted(b)
+            flat, cuts = parted(b := b.filter(pa.array(_may_speak(flat, cuts))))
+            cuts = cuts.tolist()
+            held = {c: (v.fill_null("") if pa.types.is_string(v.type) else v).to_pylist() for c, v in flat.items() if c != "chance"}
+            out: list[tuple] = []
+            for r, (a, z) in enumerate(zip(cuts, cuts[1:])):
+                if z > a:
+                    own = {c: v[a:z] for c, v in held.items()}
+                    own.setdefault("pos", [*range(1, z - a + 1)])
+                    if "lo" not in own:
+                        lo, hi = reach_of(own["head"])
+                        own["lo"], own["hi"] = lo[1:], hi[1:]
+                    s = Sentence(**own)
+                    out += [(r, a + i, at, mark, rule, own["pos"][i]) for at, mark, rule, i in (s.commas() if commas else []) + (s.dashes() if dashes else [])]
+            r, i, at, mark, rule, by = zip(*out) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(pa.array(r, pa.int64())), pa.array(at, pa.int32()), pa.array(mark, pa.string()), pa.array(rule, pa.string()), pa.array(by, pa.int32()), flat["chance"].take(pa.array(i, pa.int64()))], ["id", "before", "mark", "rule", "by", "chance"]
+            )
+
+    return rows.select("id", *names).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, before int, mark string, rule string, by int, chance double")
+
+
+def _gathered(e: DataFrame) -> DataFrame:
+    rows = e.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*PARTS, "chance"))).alias("w"))  # one sentence
+    return rows.select("id", *[F.col("w")[c].alias(c) for c in (*PARTS, "chance")])
+
+
+def of_sentences(rows: DataFrame) -> DataFrame:
+    """(id, before, mark, rule, by, chance): commas and dashes of parsed sentences (id, word, head, rel, upos, form, chance), a row and arrays for each.
+
+    All that a mark depends on stands in its sentence, so nothing is shuffled.
+    """
+    return _of_sentences(rows, True, True)
+
+
 def place(e: DataFrame) -> DataFrame:
     """(id, before, mark, rule, by, chance): commas before the words at ``before`` (from 1), each with the rule and the word that put it."""
-    n = e.groupBy("id").agg(F.max("pos").alias("n"))
-    kids = e.where("head > 0").groupBy("id", F.col("head").alias("pos")).agg(F.collect_list(F.struct("pos", "word", "rel", "upos", "form")).alias("kids"))  # one sentence
-    up = e.select("id", F.col("pos").alias("head"), F.struct("word", "rel", "lo", "hi", "form").alias("up"))
-    near = e.select("id", (F.col("pos") + 1).alias("pos"), F.col("word").alias("prev"))
-    far = e.select("id", (F.col("pos") - 1).alias("pos"), F.col("word").alias("nxt"))
-    heads_kids = kids.select("id", F.col("pos").alias("head"), F.col("kids").alias("sisters"))
-    x = (
-        e.join(n, "id").join(kids, ["id", "pos"], "left").join(up, ["id", "head"], "left").join(heads_kids, ["id", "head"], "left").join(near, ["id", "pos"], "left").join(far, ["id", "pos"], "left")
-        .withColumn("kids", F.coalesce("kids", F.array().cast("array<struct<pos:int,word:string,rel:string,upos:string,form:string>>")))
-        .withColumn("sisters", F.coalesce("sisters", F.array().cast("array<struct<pos:int,word:string,rel:string,upos:string,form:string>>")))
-    )
-    rel, word, lo, hi, pos, head = (F.col(c) for c in ("rel", "word", "lo", "hi", "pos", "head"))
-    has = lambda k, r: F.exists(k, lambda z: z["rel"] == r)
-    clause = has("kids", "nsubj") | (F.col("form") == "fin") | has("kids", "cop")
-    idiom = reduce(lambda a, b: a | b, [(word == a) & (F.col("nxt") == b) for a, b in GERUND_IDIOMS])
-    gerund = (F.col("form") == "conv") | F.exists("kids", lambda z: (z["rel"] == "cop") & (z["form"] == "conv"))
-    joined = F.exists("kids", lambda z: (z["rel"] == "mark") & z["word"].isin(*SUBORDINATING))
-    cc = F.filter("kids", lambda z: (z["rel"] == "cc") & (z["pos"] < pos))
-    start = F.coalesce(F.get(cc, 0)["pos"], lo)
-    ccw = F.get(cc, 0)["word"]
-    own_subjects = clause & has("kids", "nsubj") & has("sisters", "nsubj") & ~F.exists("sisters", lambda z: (z["pos"] < head) & ~z["rel"].isin("nsubj", "cc", "punct", "mark"))
-    twice = F.exists("sisters", lambda z: (z["pos"] < head) & (z["rel"] == "cc") & (z["word"] == ccw))
-    around, left_only, nowhere = F.array(lo, hi + 1), lambda c: F.array(c), F.array().cast("array<int>")
-    advcl, leaf = (rel == "advcl") & ~gerund, F.size("kids") == 0
-    opens = (pos == 1) & (F.col("n") > 1) & leaf & ~rel.isin("case", "det", "amod", "nummod", "fixed", "flat", "compound")
-    adversative = ccw.isin(*ADVERSATIVE) & ~ccw.isin(*JOINING)
-    said = reduce(lambda a, b: a | b, [word.startswith(x) for x in SAYING])
-    rules: list[tuple[str, Column, Column]] = [
-        ("aside first", opens & word.isin(*ASIDE_FIRST), left_only(F.lit(2))),
-        ("interjection first", opens & word.isin(*INTERJECTIONS), left_only(F.lit(2))),
-        ("gerund idiom", (rel == "advcl") & gerund & F.coalesce(idiom, F.lit(False)), nowhere),
-        ("gerund", (rel == "advcl") & gerund, around),
-        ("participle after", (rel == "acl") & (F.col("form") == "part"), F.when(lo > head, around).otherwise(nowhere)),
-        ("relative", rel.isin("acl", "acl:relcl") & (F.col("form") != "part") & clause, around),
-        ("subordinate first", advcl & clause & joined & (lo == 1), around),
-        ("subordinate", advcl & clause & joined & (lo > 1), around),
-        ("advcl", advcl & clause & ~joined, around),
-        ("ccomp", (rel == "ccomp") & clause, around),
-        ("address", rel == "vocative", around),
-        ("parenthetical", (rel == "parataxis") & word.isin(*PARENTHETICAL), around),
-        ("apart word", ((rel == "discourse") & word.isin(*INTERJECTIONS)) | ((rel == "parataxis") & word.isin(*APART_MORE)), around),
-        ("interjection", leaf & rel.isin("discourse", "parataxis") & (F.col("upos") == "INTJ"), around),
-        ("apart at the start", leaf & (rel == "parataxis") & (lo == 1) & (head > 1), around),
-        ("said", (rel == "parataxis") & (lo > head) & said, around),
-        ("aside", rel.isin("parataxis", "appos"), nowhere),  # dash, colon or brackets as often: the writer's
-        ("despite", rel.isin("obl", "advcl") & F.exists("kids", lambda z: z["word"] == "несмотря"), around),
-        ("adversative", (rel == "conj") & F.coalesce(adversative, F.lit(False)), left_only(start)),
-        ("listed", (rel == "conj") & ccw.isNull(), left_only(start)),
-        ("clauses", (rel == "conj") & own_subjects, left_only(start)),
-        ("repeated", (rel == "conj") & twice, left_only(start)),
-    ]
-    # a word speaks by the first rule that fits it
-    fits = reduce(lambda acc, r: F.when(F.coalesce(r[1], F.lit(False)), F.struct(F.lit(ORDER.index(r[0])).alias("k"), F.lit(r[0]).alias("rule"), r[2].alias("at"))).otherwise(acc), reversed(rules), F.lit(None).cast("struct<k:int,rule:string,at:array<int>>"))
-    put = x.withColumn("f", fits).where("f IS NOT NULL").select("id", "f.k", "f.rule", F.col("pos").alias("by"), "chance", F.explode("f.at").alias("before"))
-    every = put.unionByName(set_phrases(e)).join(n, "id").where((F.col("before") >= 2) & (F.col("before") <= F.col("n")))
-    # single words speak before set phrases, earlier words before later ones
-    first = F.min(F.struct((F.col("k") >= ORDER.index("set phrase")).alias("phrase"), "by", "k", "rule", "chance")).alias("w")
-    return every.groupBy("id", "before").agg(first).select("id", "before", F.lit(",").alias("mark"), "w.rule", "w.by", "w.chance")
-
-
-def set_phrases(e: DataFrame) -> DataFrame:
-    """(id, k, rule, by, chance, before): set phrases of several words apart; one of «по» and a noun with all that hangs on the noun."""
-    # phrases meet the sentences by their first word
-    kinds = [(p.split(" "), r) for ps, r in ((PAREN_PHRASES, "set phrase"), (ASIDE_PHRASES, "set aside")) for p in ps]
-    phrases = e.sparkSession.createDataFrame([(p[0], p, r, ORDER.index(r)) for p, r in kinds], "word string, phrase array<string>, rule string, k int")
-    words = e.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda z: z["word"]).alias("ws"))  # one sentence
-    begun = e.select("id", "pos", "word").join(F.broadcast(phrases), "word").join(words, "id")
-    whole = begun.where(F.slice("ws", F.col("pos"), F.size("phrase")) == F.col("phrase")).withColumn("by", F.col("pos") + F.size("phrase") - 1)
-    last = e.select("id", F.col("pos").alias("by"), "hi", "chance")
-    placed = whole.join(last, ["id", "by"]).withColumn("end", F.when((F.col("word") == "по") & (F.size("phrase") == 2), F.greatest("hi", "by")).otherwise(F.col("by")))
-    return placed.select("id", "k", "rule", "by", "chance", F.explode(F.array(F.col("pos"), F.col("end") + 1)).alias("before"))
+    return _of_sentences(_gathered(e), True, False)
 
 
 def dashes(e: DataFrame) -> DataFrame:
     """(id, before, mark, rule, by, chance): dashes between a subject noun and a predicate noun, or two infinitives, without a copula."""
-    s = e.where(F.col("rel") == "nsubj").select("id", F.col("head").alias("pos"), F.struct("pos", "upos", "form", "hi").alias("s"))
-    cop = e.where(F.col("rel").isin("cop", "aux")).select("id", F.col("head").alias("pos")).distinct()
-    eto = e.where(F.col("word") == "это").groupBy("id", F.col("head").alias("pos")).agg(F.min("pos").alias("eto"))
-    j = e.join(s, ["id", "pos"]).where(F.col("s.pos") < F.col("pos")).join(cop, ["id", "pos"], "left_anti").join(eto, ["id", "pos"], "left")
-    nouns = F.col("upos").isin("NOUN", "PROPN", "NUM") & F.col("s.upos").isin("NOUN", "PROPN")
-    infinitives = (F.col("form") == "inf") & (F.col("s.form") == "inf")
-    at = F.least(F.coalesce("eto", "lo"), F.col("lo"))
-    at = F.when(at > F.col("s.hi"), at).otherwise(F.greatest(F.col("s.hi") + 1, at))
-    return j.where(nouns | infinitives).select("id", at.alias("before"), F.lit("—").alias("mark"), F.when(nouns, "zero copula").otherwise("infinitives").alias("rule"), F.col("pos").alias("by"), "chance").where("before >= 2")
+    return _of_sentences(_gathered(e), False, True)
 
 
 def end_marks(e: DataFrame) -> DataFrame:

@@ -64,14 +64,8 @@ def _edges(s, d) -> DataFrame:
     return graph.shallow(B.sentences(s, d))
 
 
-def _parsed(s, d) -> DataFrame:
-    e = _edges(ready(s), d).checkpoint()  # read by each rule
-    return marks.with_reach(e, graph.spans(e))
-
-
 def l23_marks(s, d):
-    e = _parsed(s, d)
-    return marks.place(e).union(marks.dashes(e))
+    return marks.of_sentences(graph.shallow_sentences(B.sentences(s, d)))
 
 
 def l24_end_marks(s, d):

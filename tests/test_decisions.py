@@ -213,6 +213,17 @@ def test_mark_rules(spark):
     assert {k: got.get(k) for k in want} == want and not [k for k in got if k[0] == 2]
 
 
+def test_marks_are_found_within_their_sentences(spark):
+    """A row for each sentence gives what its edges give, without a join and with the one shuffle that drops repeated sentences."""
+    sents = spark.createDataFrame([(1, "он пришёл но ушёл"), (2, "дождь будет сказал дед"), (3, "по данным погоды идёт дождь"), (4, "..."), (5, ""), (1, "он пришёл но ушёл")], "sent_id long, text string")
+    e = graph.shallow(sents)
+    e = marks.with_reach(e, graph.spans(e))
+    got = marks.of_sentences(graph.shallow_sentences(sents))
+    assert rows(got) == rows(marks.place(e).union(marks.dashes(e))) and (3, 3) in {(r.id, r.before) for r in got.collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
 def test_end_marks(spark):
     e = marks.parse_rows(spark, [(1, "где/2/advmod/ADV живёт/0/root/VERB"), (2, "он/2/nsubj/PRON живёт/0/root/VERB"), (3, "с/2/case/ADP другом/4/obl/NOUN каким/2/det/DET идёт/0/root/VERB"), (4, "разве/2/advmod/PART придёт/0/root/VERB"), (5, "знает/0/root/VERB что/3/mark/SCONJ придёт/1/ccomp/VERB")])
     assert rows(marks.end_marks(e)) == [(1, "?"), (2, "."), (3, "?"), (4, "?"), (5, ".")]

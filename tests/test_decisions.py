@@ -11,6 +11,7 @@ from lexloom.config import Config
 from lexloom.functions import sql as Q
 from lexloom.operators import context, decode, gesture, graph, lexicon, marks, rerank
 from lexloom.operators import vectors as V
+from lexloom.operators.channel import codes, edit_costs
 from lexloom.sources import store
 from lexloom.tables import rank_all
 
@@ -186,6 +187,19 @@ def test_a_stop_on_the_way_is_a_letter():
     assert cost(stop)[0] - cost(stop)[1] > 1.0 > abs(cost(even)[0] - cost(even)[1])
 
 
+def test_tree_of_words_prices_all_within_and_no_beginning_twice():
+    cfg = Config()
+    words = ["cœur", "coeur", "cour", "cours", "court", "courte", "cou", "été", "ete", "a", "тся", "тьс", "мыться", "моется", "þa", "xþ"]
+    lex, said = decode._Lexicon(words, cfg), ["coeru", "courr", "ctoue", "étée", "мытся", "мытьс"]
+    for t in said:
+        for home in (False, True):
+            x, every = codes([t], len(t)), edit_costs([t] * len(words), words, cfg, home)
+            for most in (3.0, 7.0, 30.0):
+                _, w, e = lex.within(x, np.array([most]), home, np.ones((1, len(words)), bool))
+                assert dict(zip(w.tolist(), e.tolist())) == {i: v for i, v in enumerate(every.tolist()) if v <= most}
+    assert sum(map(len, lex.letter)) == len({w[:k] if "þ" not in w else (w, k) for w in words for k in range(1, len(w) + 1)})
+
+
 def test_paths_that_match_nothing(spark):
     g = spark.createDataFrame([(1, "en", []), (2, "en", None), (3, "en", [(1.0, 1.0)]), (4, "xx", [(1.0, 1.0), (2.0, 2.0)]), (5, "en", [(0.0, 0.0), (0.0, 0.0)])], "gid long, lang string, path array<struct<x:double,y:double>>")
     lex = lexicon.priors(spark.createDataFrame([("en", "hello", 5)], "lang string, word string, count long"))

@@ -3,6 +3,7 @@
 import pytest
 
 from lexloom import queries as Q
+from lexloom.operators import evaluate
 from lexloom.plans import base, decode
 from lexloom.tables import table
 from tests.conftest import DATA, compare
@@ -37,6 +38,11 @@ def test_corrections_ask_for_every_twentieth_row(spark, name):
         assert sum(r.n for r in got.collect()) == asked.count()
 
 
+def test_corrections_of_every_word(spark):
+    typed = evaluate.typos(base.words(spark, DATA)).select("lang", "typed")
+    assert typed.join(ALL["l04_suggest"](spark, DATA), ["lang", "typed"], "left_anti").isEmpty()
+
+
 def test_gestures_are_drawn_in_every_language(spark):
     rows = table(spark, DATA, "lexicon").where("word_id % 20 = 0").selectExpr("lang", "lower(w) AS word")
     asked = base.words(spark, DATA).join(rows, ["lang", "word"], "left_semi").where("length(regexp_replace(word, \"['-]\", '')) > 1")

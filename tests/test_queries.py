@@ -3,6 +3,7 @@
 import pytest
 
 from lexloom import queries as Q
+from lexloom.operators import decode as D
 from lexloom.operators import evaluate
 from lexloom.plans import base, decode
 from lexloom.tables import table
@@ -39,8 +40,15 @@ def test_corrections_ask_for_every_twentieth_row(spark, name):
 
 
 def test_corrections_of_every_word(spark):
-    typed = evaluate.typos(base.words(spark, DATA)).select("lang", "typed")
-    assert typed.join(ALL["l04_suggest"](spark, DATA), ["lang", "typed"], "left_anti").isEmpty()
+    """All but those that no word comes near enough to."""
+    typed = evaluate.typos(base.words(spark, DATA)).select("lang", "typed").distinct()
+    bare = typed.join(ALL["l04_suggest"](spark, DATA), ["lang", "typed"], "left_anti").selectExpr("xxhash64(lang, typed) AS qid", "lang", "typed").cache()
+    assert bare.count() < 20 and D.suggest_exhaustive(bare, decode._lex(spark, DATA)).isEmpty()
+
+
+def test_accuracy_over_every_word(spark):
+    typed = evaluate.typos(base.words(spark, DATA))
+    assert {r.kind: r.n for r in ALL["a35_accuracy"](spark, DATA).collect()} == {r["kind"]: r["count"] for r in typed.groupBy("kind").count().collect()}
 
 
 def test_gestures_are_drawn_in_every_language(spark):
